@@ -21,7 +21,7 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 WHERE l_shipdate >= (SELECT max(l_shipdate)::DATE FROM lineitem) - 30
 GROUP BY p_type ORDER BY total_sales DESC""")
 def q01(t: Tables) -> DataFrame:
-    return R.recent_category_sales(t.lineitem, t.part, R.latest_date(t.lineitem, "l_shipdate"))
+    return R.recent_category_sales(t.lineitem, t.part, R.days_before_latest(t.lineitem, "l_shipdate", 30))
 
 
 @query("q02_frequent_customers", """
@@ -30,8 +30,8 @@ FROM customer JOIN orders ON c_custkey = o_custkey
 WHERE o_orderdate >= (SELECT max(o_orderdate)::DATE FROM orders) - 365
 GROUP BY ALL HAVING count(*) > 3 ORDER BY order_count DESC""")
 def q02(t: Tables) -> DataFrame:
-    as_of = R.latest_date(t.orders, "o_orderdate")
-    return R.frequent_customers(t.customer, t.orders, as_of, days=365, more_than=3)
+    since = R.days_before_latest(t.orders, "o_orderdate", 365)
+    return R.frequent_customers(t.customer, t.orders, since, more_than=3)
 
 
 @query("q03_running_total", """
@@ -152,7 +152,7 @@ SELECT p_partkey, p_name, p_size * 2 AS current_stock, coalesce(q, 0) AS pending
   CASE WHEN p_size * 2 - coalesce(q, 0) < 20 THEN 'LOW' ELSE 'OK' END AS stock_status
 FROM part LEFT JOIN pend ON p_partkey = l_partkey ORDER BY available, p_partkey""")
 def q13(t: Tables) -> DataFrame:
-    return R.stock_alert(t.part, t.lineitem, R.latest_date(t.lineitem, "l_shipdate"))
+    return R.stock_alert(t.part, t.lineitem, R.days_before_latest(t.lineitem, "l_shipdate", 90))
 
 
 @query("q14_union_distinct", """

@@ -43,9 +43,17 @@ def mean(amount: str) -> Column:
     return total(amount) / F.count(amount)
 
 
-def latest_date(df: DataFrame, column: str) -> Column:
-    """The newest date of a table, as a scalar subquery: no driver round trip."""
-    return df.select(F.max(column).cast("date").alias("d")).scalar()
+def days_ago(days: int) -> Column:
+    return F.date_sub(F.current_date(), days)
+
+
+def days_before_latest(df: DataFrame, column: str, days: int) -> Column:
+    """``days`` before the newest day of a table, as a scalar subquery of the column's own type.
+
+    A bare ``column >= subquery`` reaches the scan as a pushed filter once the subquery has run.
+    """
+    newest_day = F.date_sub(F.max(column).cast("date"), days)
+    return df.select(newest_day.cast(df.schema[column].dataType).alias("since")).scalar()
 
 
 def month_number(column: str) -> Column:
@@ -59,10 +67,11 @@ def month_label(number: Column) -> Column:
 # -- totals and rankings ----------------------------------------------------------------
 
 
-def recent_category_sales(lineitem: DataFrame, part: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Sales per part type over the last ``days`` days, largest first."""
+def recent_category_sales(lineitem: DataFrame, part: DataFrame, since: Column | None = None) -> DataFrame:
+    """Sales per part type since a day (30 days ago when not given), largest first."""
+    since = days_ago(30) if since is None else since
     per_part = (
-        lineitem.filter(F.col("l_shipdate") >= F.date_sub(as_of, days))
+        lineitem.filter(F.col("l_shipdate") >= since)
         .groupBy("l_partkey")
         .agg(F.sum(money("l_extendedprice")).alias("amount"))
     )
@@ -75,14 +84,15 @@ def recent_category_sales(lineitem: DataFrame, part: DataFrame, as_of: Column, d
 
 
 def frequent_customers(
-    customer: DataFrame, orders: DataFrame, as_of: Column, days: int = 90, more_than: int = 5
+    customer: DataFrame, orders: DataFrame, since: Column | None = None, more_than: int = 5
 ) -> DataFrame:
-    """Customers with more than ``more_than`` orders in the last ``days`` days.
+    """Customers with more than ``more_than`` orders since a day (90 days ago when not given).
 
     Orders are counted, and the threshold applied, before the join.
     """
+    since = days_ago(90) if since is None else since
     counts = (
-        orders.filter(F.col("o_orderdate") >= F.date_sub(as_of, days))
+        orders.filter(F.col("o_orderdate") >= since)
         .groupBy("o_custkey")
         .agg(F.count("*").alias("order_count"))
         .filter(F.col("order_count") > more_than)
@@ -299,12 +309,13 @@ def moving_average(events: DataFrame, rows: int = 7) -> DataFrame:
 
 
 def stock_alert(
-    part: DataFrame, lineitem: DataFrame, as_of: Column, days: int = 90,
+    part: DataFrame, lineitem: DataFrame, since: Column | None = None,
     stock_factor: int = 2, reorder_point: int = 20,
 ) -> DataFrame:
-    """Stock left after recent open lines, flagged when below the reorder point."""
+    """Stock left after open lines since a day (90 days ago), flagged when below the reorder point."""
+    since = days_ago(90) if since is None else since
     pending = (
-        lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= F.date_sub(as_of, days)))
+        lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= since))
         .groupBy("l_partkey")
         .agg(F.sum(money("l_quantity")).cast("double").alias("pending_qty"))
     )
