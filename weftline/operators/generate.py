@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, BooleanType, FloatType
 
 from weftline.functions.prompts import DEFAULT_WORDING, Wording, few_shot_prompt
 from weftline.functions.text import _col, extract_code
@@ -115,7 +115,7 @@ def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete]
     return prompts.mapInPandas(run, schema).select(*columns, "text", "error")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def parses(code: pd.Series) -> pd.Series:
     """Is the text valid Python syntax? It is parsed, never run."""
 
