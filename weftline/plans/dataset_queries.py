@@ -14,6 +14,7 @@ from weftline.plans.corpus import (
     order_lines, sql_strip, sql_tokens, with_pairs,
 )
 from weftline.plans.registry import Tables, query
+from weftline.plans.reports import large_orders
 from weftline.plans.scoring_queries import CHATML_SQL, SYSTEM
 from weftline.session import scratch_path
 from weftline.sources import catalog, jsonl
@@ -170,17 +171,18 @@ def s10(t: Tables) -> DataFrame:
     return _read_back_chats(t).select("split", F.md5(flat).alias("digest"))
 
 
-@query("s13_catalog_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("s13_catalog_scan", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
 def s13(t: Tables) -> DataFrame:
     catalog.register_tables(t.spark, t.folder)
-    return catalog.scan(t.spark, "nation")
+    return catalog.scan(t.spark, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("s14_console", "SELECT r_regionkey, r_name FROM region")
+@query("s14_console", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
 def s14(t: Tables) -> DataFrame:
     """A report is shown on the console with ``show``; the rows are returned as well."""
-    t.region.show()
-    return t.region
+    result = large_orders(t.orders, 300000)
+    result.show()
+    return result
 
 
 @query("s15_load_counts", f"""

@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from weftline.functions.prompts import DEFAULT_WORDING, Wording
 from weftline.operators.generate import check_requests, few_shot_prompts
 
 
-def read_request_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
+def read_request_stream(
+    spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int = 1000
+) -> DataFrame:
     """New Parquet files of a folder (or glob) as a stream of rows."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
