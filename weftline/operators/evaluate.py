@@ -102,7 +102,10 @@ def long_form(aggregated: DataFrame, by: Sequence[str] = (), metrics: Sequence[s
 
 
 def report(results: DataFrame, key: str = "example_id") -> DataFrame:
-    """Report lines (section, line_no, text): the metric table, then numbered examples."""
+    """Report lines (section, line_no, text): the metric table, then numbered examples.
+
+    ``results`` is read several times; pass a stored table rather than a running evaluation.
+    """
     table = long_form(aggregate(results)).select(
         F.lit("aggregate").alias("section"),
         F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric")).alias("line_no"),

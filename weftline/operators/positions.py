@@ -1,8 +1,10 @@
 """Dense numbering and positional splits without a global one-task window.
 
-Positions are whole numbers such as line numbers, unique per group. They are cut into
-buckets of equal width, so a bucket holds at most ``bucket`` rows whatever the data looks
-like; only the per-bucket counts are ever looked at in one place.
+Positions are 64-bit whole numbers, unique per group. Counts are taken over buckets of
+``WIDTH`` positions, over ``WIDTH`` of those buckets, and so on. So no window ever holds more
+than ``WIDTH`` rows of one parent bucket, however the positions are spread. Three levels
+cover every 64-bit number; for dense positions such as line numbers one level is enough,
+because then the whole table has only one bucket per ``WIDTH`` rows.
 """
 
 from __future__ import annotations
@@ -13,33 +15,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET_ROWS = 1_000_000
+WIDTH = 1_000_000
+ALL_LEVELS = 3
 
 
-def _bucketed(df: DataFrame, position: str, bucket: int) -> DataFrame:
-    return df.withColumn("_bucket", F.expr(f"`{position}` div {bucket}"))
+def _bucket(column: str, width: int) -> Column:
+    return F.expr(f"`{column}` div {width}")
 
 
-def _bucket_offsets(bucketed: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per bucket, and rows in all buckets before it. One row per bucket."""
-    counts = bucketed.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+def _count_levels(df: DataFrame, position: str, within: Sequence[str], levels: int, width: int) -> list[DataFrame]:
+    """Row counts (*within, _b, _rows) per bucket, finest level first."""
+    counts = []
+    current = df.select(*within, F.col(position).alias("_b"), F.lit(1).alias("_rows"))
+    for _ in range(levels):
+        current = current.groupBy(*within, _bucket("_b", width).alias("_b")).agg(F.sum("_rows").alias("_rows"))
+        counts.append(current)
+    return counts
+
+
+def _rows_before(*, parent: Sequence[str], order: Sequence[str]) -> Column:
+    window = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_rows").over(window), F.lit(0))
 
 
 def dense_ordinal(
-    df: DataFrame, position: str, out: str = "ordinal", within: Sequence[str] = (), bucket: int = BUCKET_ROWS
+    df: DataFrame,
+    position: str,
+    out: str = "ordinal",
+    within: Sequence[str] = (),
+    levels: int = ALL_LEVELS,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Add the 0-based rank of each row in (``within``, ``position``) order."""
-    keys = [*within, "_bucket"]
-    rows = _bucketed(df, position, bucket)
-    offsets = _bucket_offsets(rows.select(*keys), keys).drop("_rows")
-    in_bucket = Window.partitionBy(*keys).orderBy(position)
+    *finer, top = _count_levels(df, position, within, levels, width)
+    # The top level has one row per group and at most a few buckets.
+    offsets = top.withColumn("_before", _rows_before(parent=[], order=[*within, "_b"])).drop("_rows")
+    for counts in reversed(finer):
+        here = counts.withColumn("_p", _bucket("_b", width)).withColumn(
+            "_here", _rows_before(parent=[*within, "_p"], order=["_b"])
+        )
+        offsets = here.join(offsets.withColumnRenamed("_b", "_p"), [*within, "_p"]).select(
+            *within, "_b", (F.col("_before") + F.col("_here")).alias("_before")
+        )
+    in_bucket = Window.partitionBy(*within, "_b").orderBy(position)
     return (
-        rows.withColumn("_rank", F.row_number().over(in_bucket))
-        .join(offsets, keys)
+        df.withColumn("_b", _bucket(position, width))
+        .withColumn("_rank", F.row_number().over(in_bucket))
+        .join(offsets, [*within, "_b"])
         .withColumn(out, F.col("_before") + F.col("_rank") - 1)
-        .drop("_bucket", "_rank", "_before")
         .select(*df.columns, out)
     )
 
@@ -55,25 +78,39 @@ def positional_split(
     val_split: float = 0.1,
     within: Sequence[str] = (),
     out: str = "split",
-    bucket: int = BUCKET_ROWS,
+    levels: int = ALL_LEVELS,
+    width: int = WIDTH,
 ) -> DataFrame:
     """Mark the first ``train_rows`` rows as 'train' and the rest as 'val'.
 
-    Only the position of the last training row is needed. Its bucket follows from the bucket
-    counts, and just that bucket is ranked; the rows themselves are never shuffled or sorted.
+    Only the position of the last training row is needed. The bucket counts lead down to the
+    bucket it is in, and just that bucket is ranked; the rows themselves are never shuffled.
     """
-    keys = [*within, "_bucket"]
-    narrow = _bucketed(df.select(*within, position), position, bucket)
-    offsets = _bucket_offsets(narrow, keys)
+    narrow = df.select(*within, position)
+    *finer, top = _count_levels(narrow, position, within, levels, width)
+
+    def holding_nth(counts: DataFrame, before: Column) -> DataFrame:
+        """The one bucket that row number ``_nth`` falls into, and its number in there."""
+        return (
+            counts.withColumn("_before", before)
+            .filter((F.col("_before") < F.col("_nth")) & (F.col("_nth") <= F.col("_before") + F.col("_rows")))
+            .select(*within, "_b", (F.col("_nth") - F.col("_before")).alias("_nth"))
+        )
+
     total = F.sum("_rows").over(Window.partitionBy(F.lit(0)))
-    cut = (
-        offsets.withColumn("_k", train_rows(total, val_split))
-        .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_rows")))
-        .select(*keys, (F.col("_k") - F.col("_before")).alias("_nth"))
+    cut = holding_nth(
+        top.withColumn("_nth", train_rows(total, val_split)), _rows_before(parent=[], order=[*within, "_b"])
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(position))
+    # ``cut`` is one row at every level, hence the broadcasts.
+    for counts in reversed(finer):
+        inside = counts.withColumn("_p", _bucket("_b", width)).join(
+            F.broadcast(cut.withColumnRenamed("_b", "_p")), [*within, "_p"]
+        )
+        cut = holding_nth(inside, _rows_before(parent=[*within, "_p"], order=["_b"]))
+    rank = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(position))
     last_train = (
-        narrow.join(F.broadcast(cut), keys)  # one row
+        narrow.withColumn("_b", _bucket(position, width))
+        .join(F.broadcast(cut), [*within, "_b"])
         .withColumn("_rank", rank)
         .filter(F.col("_rank") == F.col("_nth"))
         .select(F.struct(*within, position).alias("last"))

@@ -23,9 +23,11 @@ RANK_DIGITS = 10
 BROADCAST_BYTES = 64 << 20
 # Index rows (and query rows) per cell when queries are too many for that.
 CELL_ROWS = 65_536
-# Scores held at a time by one task.
+# Scores looked at, and hits held, by one task at a time.
 SCORES_PER_STEP = 4_000_000
+HITS_PER_TASK = 4_000_000
 
+HIT_BYTES = 24
 HITS = "query_id bigint, example_id bigint, score double"
 _HITS_ARROW = pa.schema([("query_id", pa.int64()), ("example_id", pa.int64()), ("score", pa.float64())])
 
@@ -164,7 +166,7 @@ def _search_grid(index: DataFrame, queries: DataFrame, k: int, cell_rows: int) -
     each cell sends k hits per query. Exact for any number of queries.
     """
     index_blocks = max(1, -(-index.count() // cell_rows))
-    query_blocks = max(1, -(-queries.count() // cell_rows))
+    query_blocks = max(1, -(-queries.count() // max(1, min(cell_rows, HITS_PER_TASK // k))))
 
     def block(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -198,7 +200,7 @@ def _search(
     if not length:
         empty = "query_id bigint, rank int, example_id bigint, score double"
         return index.sparkSession.createDataFrame([], empty), True
-    fits = broadcast_bytes // (8 * length)
+    fits = broadcast_bytes // (8 * length + HIT_BYTES * k)
     fetched = queries.limit(fits + 1).toArrow() if fits else None
     if fetched is not None and fetched.num_rows <= fits:
         ids = _column(fetched, "query_id").to_numpy()
@@ -218,8 +220,8 @@ def search(
     ``index`` has (example_id, embedding) and ``queries`` (query_id, embedding), all unit
     vectors of one length. ``k`` of None or 0 means 3; fewer index rows give fewer hits.
 
-    Up to ``broadcast_bytes`` of query vectors go to all executors and the index is read once,
-    without a shuffle. At most one row more than fits is ever fetched to find out. More
+    As many queries as fit ``broadcast_bytes``, together with their k hits, go to all executors
+    and the index is read once, without a shuffle. At most one row more than fits is ever fetched to find out. More
     queries than that take the block join, which broadcasts nothing.
     """
     return _search(index, queries, k, broadcast_bytes, cell_rows)[0]

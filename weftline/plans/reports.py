@@ -164,7 +164,7 @@ def monthly_pivot(lineitem: DataFrame, supplier: DataFrame, months: Sequence[str
         .join(per_supplier, F.col("s_suppkey") == F.col("l_suppkey"))
         .drop("l_suppkey")
         .select("s_suppkey", "s_name", *[F.col(f"`{m}`").alias("m" + m.replace("-", "_")) for m in months])
-        .fillna(0)
+        .fillna(0, subset=["m" + m.replace("-", "_") for m in months])
         .orderBy("s_suppkey")
     )
 
@@ -439,13 +439,13 @@ def second_highest_price(part: DataFrame) -> DataFrame:
 def cohort_retention(orders: DataFrame) -> DataFrame:
     """Active customers per first-order month and months since.
 
-    A customer's active months are bounded by the calendar, so they travel as one
-    small set per customer: a single shuffle, and nothing grows with a hot customer.
+    A customer's distinct active months are bounded by the calendar, so the window over them
+    stays small for a customer with any number of orders. Each (customer, month) is one row,
+    which makes the distinct count a plain count.
     """
-    active = orders.groupBy("o_custkey").agg(F.collect_set(month_number("o_orderdate")).alias("months"))
-    first = F.array_min("months")
+    active = orders.select("o_custkey", month_number("o_orderdate").alias("month")).distinct()
     return (
-        active.select(first.alias("first_month"), F.explode("months").alias("month"))
+        active.withColumn("first_month", F.min("month").over(Window.partitionBy("o_custkey")))
         .groupBy("first_month", (F.col("month") - F.col("first_month")).alias("months_since_first"))
         .agg(F.count("*").alias("active_customers"))
         .select(month_label(F.col("first_month")).alias("cohort_month"), "months_since_first", "active_customers")

@@ -13,6 +13,7 @@ from weftline.operators.ngrams import token_scores
 from weftline.operators.positions import dense_ordinal
 from weftline.plans.corpus import OPS_SQL, example_pairs, sql_normalize, sql_strip, sql_tokens, with_pairs
 from weftline.plans.registry import Tables, query
+from weftline.session import stored
 
 DIGITS = 9  # scores are compared to this many decimals
 
@@ -326,7 +327,7 @@ means AS (
   UNION ALL SELECT 3, 'operation_coverage', avg(operation_coverage) FROM scores
   UNION ALL SELECT 4, 'structural_similarity', avg(structural_similarity) FROM scores)"""))
 def e13(t: Tables) -> DataFrame:
-    return E.report(E.evaluate(example_pairs(t)))
+    return E.report(stored(E.evaluate(example_pairs(t)), "results"))
 
 
 def _two_approaches(t: Tables) -> DataFrame:

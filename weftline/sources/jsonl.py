@@ -63,7 +63,7 @@ def read_predictions(spark: SparkSession, path: str, code_field: str = "pyspark_
     Several files count as one, in path order.
     """
     lines = non_blank(read_lines(spark, path))
-    return dense_ordinal(lines, "line_num", within=["path"]).select(
+    return dense_ordinal(lines, "line_num", within=["path"], levels=1).select(
         "ordinal", F.from_json("value", f"`{code_field}` STRING")[code_field].alias("code")
     )
 

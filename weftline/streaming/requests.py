@@ -44,8 +44,12 @@ def prompt_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         valid = check_requests(batch).filter(F.col("problem").isNull()).drop("problem")
-        prompts = few_shot_prompts(embed_fn(valid) if embed_fn else valid, index, k, wording)
-        prompts.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # The search looks at the requests more than once; keep their embeddings meanwhile.
+        asked = (embed_fn(valid) if embed_fn else valid).persist()
+        try:
+            few_shot_prompts(asked, index, k, wording).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            asked.unpersist()
 
     return _start(requests.writeStream.foreachBatch(each), checkpoint, available_now)
 
