@@ -56,16 +56,22 @@ def fixed4(x: Column | str) -> Column:
     """A score in [0, 1] with four decimals, rounded on its exact binary value, ties to even.
 
     ``format_string('%.4f')`` rounds the shortest decimal form half up instead, and so
-    prints 1/32 as 0.0313 where 0.0312 is right. x * 2^60 is a whole number here.
+    prints 1/32 as 0.0313 where 0.0312 is right. Here x * 2^80 is a whole number (of any x
+    that does not round to 0), taken in two steps because it exceeds 64 bits.
     """
-    one = 2**60
-    scaled = (_col(x) * F.lit(float(one))).cast("bigint").cast("decimal(20,0)") * F.lit(10000).cast("decimal(5,0)")
-    unit = F.lit(one).cast("decimal(20,0)")
+    high_bits, low_bits = 2**60, 2**20
+
+    def number(value: int, digits: int) -> Column:
+        return F.lit(str(value)).cast(f"decimal({digits},0)")
+
+    x = _col(x) * F.lit(float(high_bits))
+    high = x.cast("bigint")
+    low = ((x - high.cast("double")) * F.lit(float(low_bits))).cast("bigint")
+    whole_x = high.cast("decimal(19,0)") * number(low_bits, 7) + low.cast("decimal(7,0)")
+    scaled, unit = whole_x * number(10000, 5), number(high_bits * low_bits, 25)
     rest = scaled % unit
     whole = ((scaled - rest) / unit).cast("bigint")
-    half = F.lit(one // 2).cast("decimal(20,0)")
+    half = number(high_bits * low_bits // 2, 25)
     up = (rest > half) | ((rest == half) & (whole % 2 == 1))
     n = whole + up.cast("bigint")
-    return F.concat(
-        F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0")
-    )
+    return F.concat(F.floor(n / 10000).cast("string"), F.lit("."), F.lpad((n % 10000).cast("string"), 4, "0"))
