@@ -11,8 +11,8 @@ def apply(spark, fn, values):
     return [r.out for r in rows.select("i", fn("v").alias("out")).orderBy("i").collect()]
 
 
-SPACED = ["", "   ", " a  b ", "\ta\n\nb\r\nc ", " a b ", "\x1ca\x1fb", "a\u0085b", "a  b", "　a",
-          "one", "a\x0bb\x0cc", "no​space"]
+SPACED = ["", "   ", " a  b ", "\ta\n\nb\r\nc ", " a b ", "\x1ca\x1fb", "a\u0085b", "a  b", "\u3000a",
+          "one", "a\x0bb\x0cc", "no\u200bspace"]
 
 
 def test_spaces_follow_python(spark):

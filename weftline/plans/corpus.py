@@ -125,7 +125,7 @@ def example_pairs(t: Tables) -> DataFrame:
     kept = F.filter(pieces, lambda x, i: (i + F.col("example_id")) % 7 != 0)
     pairs = pairs.withColumn(
         "candidate",
-        F.when(variant == 0, F.concat(F.lit("\x1c "), F.replace("code", F.lit(" "), F.lit(" \t"))))
+        F.when(variant == 0, F.concat(F.lit("\x1c "), F.replace("code", F.lit(" "), F.lit("\u00a0\t"))))
         .when(variant == 1, F.array_join(kept, " "))
         .when(variant == 2, F.array_join(F.filter(pieces, lambda x, i: i % 2 == 0), " "))
         .when(variant == 3, F.array_join(F.slice(pieces, F.lit(1), F.expr("cast(size(pieces) div 2 as int)")), " "))
@@ -137,7 +137,7 @@ def example_pairs(t: Tables) -> DataFrame:
         F.when(variant == 0, F.concat(F.lit("Sure.\n```python\n"), candidate, F.lit("\n```\nOr:\n```\npass\n```")))
         .when(variant == 1, F.concat(F.lit("``` \n"), candidate, F.lit("```")))
         .when(variant == 2, F.concat(F.lit("```python\n"), candidate))
-        .when(variant == 3, F.concat(F.lit("\u0085"), candidate, F.lit(" ")))
+        .when(variant == 3, F.concat(F.lit("\u0085"), candidate, F.lit("\u2028")))
         .otherwise("```\n```"),
     ).drop("words", "pieces")
 
