@@ -78,6 +78,16 @@ def test_top_hit_of_a_vector_is_itself(spark):
     assert all(r.query_id == r.example_id and abs(r.score - 1) < 1e-6 for r in hits.collect())
 
 
+def test_blocks_when_index_and_queries_share_a_table(spark):
+    vectors = np.random.default_rng(4).normal(size=(80, 5))
+    table = frame(spark, vectors)
+    some = table.join(spark.range(0, 80, 2).select(F.col("id").alias("example_id")), "example_id", "left_semi")
+    queries = table.select(F.col("example_id").alias("query_id"), "embedding")
+    got = found(R.search(some, queries, 3, broadcast_bytes=0, cell_rows=16))
+    want = brute_force(vectors[::2], vectors, 3)
+    assert got == {q: [2 * i for i in ids] for q, ids in want.items()}
+
+
 def test_index_vectors(spark):
     df = frame(spark, [[3, 4], [0, 0]]).withColumns({"description": F.lit("d"), "code": F.lit("c")})
     rows = {r.example_id: r.embedding for r in R.build_index(df).collect()}

@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 
 WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
-STRIP = rf"\A{WS}+|{WS}+\z"
 FENCE = rf"(?s)```(?:python)?{WS}*\n(.*?)```"
+# The members of WS one by one, for trimming.
+WS_CHARS = "".join(
+    chr(c)
+    for c in (
+        *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+        0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
+    )
+)
+# Whitespace runs other than exactly one space (those need no replacing).
+_UNEVEN_WS = rf"[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}&&[^ ]]{WS}*| {WS}+"
 
 
 def _col(c: Column | str) -> Column:
@@ -21,17 +30,19 @@ def _col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), STRIP, "")
+    """Without whitespace at both ends. Only the ends are looked at, so long texts cost nothing."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def normalize_space(c: Column | str) -> Column:
     """Strip, then turn every whitespace run into one space."""
-    return F.regexp_replace(strip(c), f"{WS}+", " ")
+    return F.regexp_replace(strip(c), _UNEVEN_WS, " ")
 
 
 def tokens(c: Column | str) -> Column:
     """Whitespace tokens, none of them empty."""
-    return F.filter(F.split(strip(c), f"{WS}+"), lambda t: t != "")
+    stripped = strip(c)
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, f"{WS}+"))
 
 
 def extract_code(c: Column | str) -> Column:

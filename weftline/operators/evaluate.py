@@ -146,6 +146,7 @@ def promotion_check(
     current: DataFrame, challenger: DataFrame, metric: str = "operation_coverage"
 ) -> DataFrame:
     """Compare two one-row aggregates: promote only when the challenger is better."""
-    return current.select(F.col(metric).alias("current_score")).join(
-        challenger.select(F.col(metric).alias("challenger_score")), F.lit(True)
-    ).withColumn("promote", F.col("challenger_score") > F.col("current_score"))
+    scores = current.select(
+        F.col(metric).alias("current_score"), challenger.select(metric).scalar().alias("challenger_score")
+    )
+    return scores.withColumn("promote", F.col("challenger_score") > F.col("current_score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,11 +59,15 @@ def hashed_words(dim: int = 64) -> Callable[[], Callable[[np.ndarray], np.ndarra
     """Model-free embedding: counts of words hashed into ``dim`` buckets."""
 
     def make() -> Callable[[np.ndarray], np.ndarray]:
+        @lru_cache(maxsize=1 << 18)
+        def bucket(word: str) -> int:
+            return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
+
         def embed_texts(texts: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(texts), dim), np.float32)
-            for row, text in enumerate(texts):
-                for word in text.split():
-                    out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim] += 1
+            counts = [np.bincount([bucket(w) for w in text.split()] or [0], minlength=dim) for text in texts]
+            empty = [i for i, text in enumerate(texts) if not text.strip()]
+            out = np.array(counts, np.float32)
+            out[empty] = 0
             return out
 
         return embed_texts

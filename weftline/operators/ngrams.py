@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,19 +11,6 @@ from weftline.functions.text import tokens
 MAX_N = 4
 
 
-def _ngrams(words: Column, n: int, side: int) -> Column:
-    count = F.size(words)
-    starts = F.when(count >= n, F.sequence(F.lit(1), count - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts,
-        lambda i: F.struct(
-            F.lit(n).cast("tinyint").alias("n"),
-            F.array_join(F.slice(words, i, n), " ").alias("gram"),
-            F.lit(side).alias("in_cand"),
-        ),
-    )
-
-
 def ngram_overlap(
     pairs: DataFrame, key: str = "example_id", reference: str = "code", candidate: str = "candidate"
 ) -> DataFrame:
@@ -36,14 +24,21 @@ def ngram_overlap(
     words = (
         pairs.select(key, reference, candidate)
         .repartition(key)
-        .select(key, tokens(reference).alias("r"), tokens(candidate).alias("c"))
+        .select(key, tokens(reference).alias("ref_1"), tokens(candidate).alias("cand_1"))
     )
-    grams = [_ngrams(F.col(side), n, i) for i, side in enumerate(("r", "c")) for n in range(1, MAX_N + 1)]
+    for side in ("ref", "cand"):
+        for n in range(2, MAX_N + 1):
+            words = NGram(n=n, inputCol=f"{side}_1", outputCol=f"{side}_{n}").transform(words)
+    sets = [
+        F.struct(F.lit(n).alias("n"), F.lit(i).alias("in_cand"), F.col(f"{side}_{n}").alias("grams"))
+        for i, side in enumerate(("ref", "cand"))
+        for n in range(1, MAX_N + 1)
+    ]
     exploded = words.select(
-        key, F.size("r").alias("ref_len"), F.size("c").alias("cand_len"), F.explode_outer(F.concat(*grams)).alias("g")
-    )
-    counted = exploded.groupBy(key, "ref_len", "cand_len", "g.n", "g.gram").agg(
-        F.sum("g.in_cand").alias("in_cand"), F.count("g.gram").alias("in_both")
+        key, F.size("ref_1").alias("ref_len"), F.size("cand_1").alias("cand_len"), F.inline(F.array(*sets))
+    ).select(key, "ref_len", "cand_len", "n", "in_cand", F.explode_outer("grams").alias("gram"))
+    counted = exploded.groupBy(key, "ref_len", "cand_len", "n", "gram").agg(
+        F.sum(F.when(F.col("gram").isNotNull(), F.col("in_cand"))).alias("in_cand"), F.count("gram").alias("in_both")
     )
     in_ref = F.col("in_both") - F.col("in_cand")
     clipped = F.least(in_ref, F.col("in_cand"))

@@ -27,9 +27,11 @@ CELL_ROWS = 65_536
 SCORES_PER_STEP = 4_000_000
 HITS_PER_TASK = 4_000_000
 
-HIT_BYTES = 24
-HITS = "query_id bigint, example_id bigint, score double"
-_HITS_ARROW = pa.schema([("query_id", pa.int64()), ("example_id", pa.int64()), ("score", pa.float64())])
+HIT_BYTES = 32
+HITS = "query_id bigint, example_id bigint, score double, rank_score double"
+_HITS_ARROW = pa.schema([
+    ("query_id", pa.int64()), ("example_id", pa.int64()), ("score", pa.float64()), ("rank_score", pa.float64()),
+])
 
 
 # -- column expressions -----------------------------------------------------------------------
@@ -101,6 +103,7 @@ class _TopK:
         self.where = np.empty(0, np.int64)  # query position
         self.ids = np.empty(0, np.int64)
         self.scores = np.empty(0)
+        self.rank_scores = np.empty(0)
         self.floor = np.full(len(query_ids), -np.inf)  # k-th best so far
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -111,33 +114,37 @@ class _TopK:
     def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"index vectors have length {vectors.shape[1]}, queries {self.queries.shape[1]}")
-        scores = np.round(self.queries @ vectors.T, RANK_DIGITS)
-        passing = scores >= self.floor[:, None]
+        scores = self.queries @ vectors.T
+        rank_scores = np.round(scores, RANK_DIGITS)
+        passing = rank_scores >= self.floor[:, None]
         if len(ids) > self.k and np.count_nonzero(passing) > 4 * self.k * len(scores):
             # Early on nearly all rows pass the floor; the k-th best of this step is a better bar.
-            passing &= scores >= np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k, None]
+            passing &= rank_scores >= np.partition(rank_scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k, None]
         where, at = np.nonzero(passing)
-        where = np.concatenate([self.where, where])
         found = np.concatenate([self.ids, ids[at]])
-        values = np.concatenate([self.scores, scores[where[len(self.where):], at]])
-        order = np.lexsort((found, -values, where))
-        where, found, values = where[order], found[order], values[order]
+        values = np.concatenate([self.scores, scores[where, at]])
+        ranked = np.concatenate([self.rank_scores, rank_scores[where, at]])
+        where = np.concatenate([self.where, where])
+        order = np.lexsort((found, -ranked, where))
+        where = where[order]
         starts = np.searchsorted(where, np.arange(len(self.query_ids)))
         rank = np.arange(len(where)) - starts[where]
-        keep = rank < self.k
-        self.where, self.ids, self.scores = where[keep], found[keep], values[keep]
-        full = rank[keep] == self.k - 1
-        self.floor[self.where[full]] = self.scores[full]
+        keep = order[rank < self.k]
+        self.where, self.ids = where[rank < self.k], found[keep]
+        self.scores, self.rank_scores = values[keep], ranked[keep]
+        last = rank[rank < self.k] == self.k - 1
+        self.floor[self.where[last]] = self.rank_scores[last]
 
     def hits(self) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(self.query_ids[self.where]), pa.array(self.ids), pa.array(self.scores)], schema=_HITS_ARROW
+            [pa.array(self.query_ids[self.where]), pa.array(self.ids), pa.array(self.scores), pa.array(self.rank_scores)],
+            schema=_HITS_ARROW,
         )
 
 
 def _best_hits(candidates: DataFrame, k: int) -> DataFrame:
     """Global top-k from per-task top-k rows. Every query has about the same number of them."""
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("example_id"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), F.asc("example_id"))
     return (
         candidates.withColumn("rank", F.row_number().over(by_score))
         .filter(F.col("rank") <= k)
@@ -176,13 +183,14 @@ def _search_grid(index: DataFrame, queries: DataFrame, k: int, cell_rows: int) -
 
     left = index.select("example_id", "embedding", block("example_id", index_blocks).alias("i"),
                         every(query_blocks).alias("j"))
-    right = queries.select("query_id", "embedding", block("query_id", query_blocks).alias("j"),
-                           every(index_blocks).alias("i"))
+    # New names (hence new columns): index and queries may come from the same table.
+    right = queries.select(F.col("query_id").alias("asked"), F.col("embedding").alias("vector"),
+                           block("query_id", query_blocks).alias("j"), every(index_blocks).alias("i"))
 
     def score(examples: pa.Table, asked: pa.Table) -> pa.Table:
         if not (examples.num_rows and asked.num_rows):
             return _HITS_ARROW.empty_table()
-        best = _TopK(_column(asked, "query_id").to_numpy(), _matrix(_column(asked, "embedding")), k)
+        best = _TopK(_column(asked, "asked").to_numpy(), _matrix(_column(asked, "vector")), k)
         best.add(_column(examples, "example_id").to_numpy(), _matrix(_column(examples, "embedding")))
         return pa.Table.from_batches([best.hits()])
 

@@ -25,65 +25,69 @@ class ValidationError(ValueError):
         self.quarantine = quarantine
 
 
-def _parse_object(text: Column, fields: list[str]) -> Column:
-    """The line as struct of VARIANTs, NULL unless the whole line is exactly one JSON object.
+def _parse_objects(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """Add ``_o``, the line as a struct of VARIANTs, NULL unless the line is exactly one JSON object.
 
     Spark's parser ignores text after the first JSON value. So the line goes between ``[`` and
     a closing element that carries the line's own hash: trailing text breaks the array.
     """
-    seal = F.xxhash64(text).cast("string")
+    text, seal = F.col("value"), F.xxhash64("value").cast("string")
     wrapped = F.concat(F.lit("["), text, F.lit(',{"_seal":"'), seal, F.lit('"}]'))
     struct = ", ".join([f"`{f}`: variant" for f in fields] + ["_seal: string"])
     parsed = F.from_json(wrapped, f"array<struct<{struct}>>", {"allowSingleQuotes": "false"})
-    whole = text.startswith("{") & (F.size(parsed) == 2) & (F.get(parsed, F.lit(1))["_seal"] == seal)
-    return F.when(whole, F.get(parsed, F.lit(0)))
+    whole = text.startswith("{") & (F.size("_parsed") == 2) & (F.get("_parsed", F.lit(1))["_seal"] == seal)
+    return lines.withColumn("_parsed", parsed).withColumn("_o", F.when(whole, F.get("_parsed", F.lit(0))))
 
 
 def check_examples(lines: DataFrame, code_field: str = "pyspark_code") -> DataFrame:
     """Parse (path, line_num, value) lines; every non-blank line comes back.
 
     ``kind`` is null for good lines, 'json' for lines that are no JSON object and 'schema'
-    for objects that break the record's rules; ``detail`` says which.
+    for objects that break the record's rules; ``detail`` says which. Parsing, field types and
+    messages are separate steps, so that no expensive expression is written out twice.
     """
     required, lists = {"description": "description", "code": code_field}, ["tables", "operations"]
     fields = [*required.values(), *lists, "complexity"]
-    parsed = non_blank(lines).withColumn("_o", _parse_object(F.col("value"), fields))
-
-    def kind_of(field: str) -> Column:
-        return F.schema_of_variant(F.col("_o")[field])
-
-    def text_of(field: str) -> Column:
-        return F.try_variant_get(F.col("_o")[field], "$", "string")
-
-    def list_of(field: str) -> Column:
-        return F.try_variant_get(F.col("_o")[field], "$", "array<string>")
+    parsed = _parse_objects(non_blank(lines), fields)
+    typed = parsed.select(
+        "path",
+        "line_num",
+        F.col("value").alias("raw"),
+        F.col("_o").isNull().alias("_broken"),
+        *[F.schema_of_variant(F.col("_o")[f]).alias(f"_is_{f}") for f in fields],
+        *[F.try_variant_get(F.col("_o")[f], "$", "string").alias(name) for name, f in required.items()],
+        *[F.try_variant_get(F.col("_o")[f], "$", "array<string>").alias(f) for f in lists],
+        F.try_variant_get(F.col("_o")["complexity"], "$", "string").alias("complexity"),
+    )
 
     problems = []
     for field in required.values():
-        kind = kind_of(field)
+        kind = F.col(f"_is_{field}")
         problems += [
             F.when(kind.isNull(), F.lit(f"{field}: missing")),
             F.when(kind != "STRING", F.lit(f"{field}: not a string")),
         ]
     for field in lists:
-        kind = kind_of(field)
-        good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(list_of(field), lambda x: x.isNull())
+        kind = F.col(f"_is_{field}")
+        good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(field, lambda x: x.isNull())
         problems.append(F.when(kind.isNotNull() & ~good, F.lit(f"{field}: not a list of strings")))
-    problems.append(F.when(kind_of("complexity") != "STRING", F.lit("complexity: not a string")))
-
+    problems.append(F.when(F.col("_is_complexity") != "STRING", F.lit("complexity: not a string")))
+
+    broken, found = F.col("_broken"), F.col("_problems")
+    row = F.struct(
+        "path",
+        "line_num",
+        F.when(broken, "json").when(found != "", "schema").alias("kind"),
+        F.when(broken, "not a JSON object").when(found != "", found).alias("detail"),
+        "raw", "description", "code", "tables", "operations", "complexity",
+    )
+    # Exploding a one-element array keeps later filters on ``kind`` above this step. Pushed
+    # below it they would repeat the whole parse for every mention of a field.
     return (
-        parsed.withColumn("_problems", F.concat_ws("; ", *problems))
-        .select(
-            "path",
-            "line_num",
-            F.when(F.col("_o").isNull(), "json").when(F.col("_problems") != "", "schema").alias("kind"),
-            F.when(F.col("_o").isNull(), "not a JSON object")
-            .when(F.col("_problems") != "", F.col("_problems")).alias("detail"),
-            F.col("value").alias("raw"),
-            *[text_of(field).alias(name) for name, field in required.items()],
-            *[F.coalesce(list_of(f), F.array().cast("array<string>")).alias(f) for f in lists],
-            F.coalesce(text_of("complexity"), F.lit(DEFAULT_COMPLEXITY)).alias("complexity"),
-        )
+        with_defaults(typed)
+        .withColumn("_problems", F.concat_ws("; ", *problems))
+        .select(F.explode(F.array(row)).alias("_row"))
+        .select("_row.*")
     )
 
 
