@@ -43,16 +43,15 @@ def test_search_is_exact(spark, way, k):
     assert found(hits) == brute_force(index, queries, k)
 
 
-@pytest.mark.parametrize("way", WAYS)
-def test_search_in_small_steps(spark, way, monkeypatch):
+def test_search_in_small_steps(monkeypatch):
     rng = np.random.default_rng(2)
     index, queries = np.round(rng.normal(size=(200, 4)), 1), np.round(rng.normal(size=(20, 4)), 1)
     monkeypatch.setattr(R, "SCORES_PER_STEP", 100)
-    best = R._TopK(np.arange(20), queries.astype(float), 5)
-    best.add(np.arange(200), index.astype(float))
+    monkeypatch.setattr(R, "QUERIES_PER_STEP", 7)
+    batches = [(np.arange(200)[i:i + 60], index[i:i + 60]) for i in range(0, 200, 60)]
     got = {}
-    batch = best.hits()
-    for q, e in zip(batch.column("query_id").to_pylist(), batch.column("example_id").to_pylist()):
+    hits = [h for b in R._score(np.arange(20), queries, 5, iter(batches)) for h in b.to_pylist()]
+    for q, e in ((h["query_id"], h["example_id"]) for h in hits):
         got.setdefault(q, set()).add(e)
     scores = np.round(queries @ index.T, 10)
     for q, row in enumerate(scores):

@@ -78,6 +78,7 @@ def evaluate(
     """One row per example with all scores, plus the columns to ``keep``.
 
     The row scores are taken before the join, so only numbers and ``keep`` travel there.
+    ``pairs`` is read twice: join stored predictions, not a running model.
     """
     by_row = row_scores(pairs, [key, *keep], reference, candidate)
     by_token = token_scores(pairs, key, reference, candidate, epsilon)

@@ -158,8 +158,8 @@ def few_shot_prompts(
     """Search the index for each request and build its prompt.
 
     Adds ``system``, ``user`` and ``retrieved_examples`` (hit descriptions in rank order).
-    Requests need (request_id, description, embedding). At most k hits per request are
-    gathered into a list.
+    Requests need (request_id, description, embedding) and are read more than once, so the
+    embedding should be a stored column. At most k hits per request are gathered into a list.
     """
     asked = requests.select(F.col("request_id").alias("query_id"), "embedding")
     hits = search_examples(index, asked, k)

@@ -19,11 +19,13 @@ from weftline.functions.text import _col
 
 DEFAULT_K = 3
 RANK_DIGITS = 10
+RANK_SLACK = 2 * 10.0**-RANK_DIGITS
 # Largest query set (as doubles) that is shipped to every executor.
 BROADCAST_BYTES = 64 << 20
 # Index rows (and query rows) per cell when queries are too many for that.
 CELL_ROWS = 65_536
-# Scores looked at, and hits held, by one task at a time.
+# Queries and scores looked at, and hits held, by one task at a time.
+QUERIES_PER_STEP = 1024
 SCORES_PER_STEP = 4_000_000
 HITS_PER_TASK = 4_000_000
 
@@ -115,15 +117,20 @@ class _TopK:
         if vectors.shape[1] != self.queries.shape[1]:
             raise ValueError(f"index vectors have length {vectors.shape[1]}, queries {self.queries.shape[1]}")
         scores = self.queries @ vectors.T
-        rank_scores = np.round(scores, RANK_DIGITS)
-        passing = rank_scores >= self.floor[:, None]
+        # Rounding moves a score by half a unit at most, so exact scores this far below the bar
+        # cannot tie with it; only what passes is rounded.
+        passing = scores >= (self.floor - RANK_SLACK)[:, None]
         if len(ids) > self.k and np.count_nonzero(passing) > 4 * self.k * len(scores):
             # Early on nearly all rows pass the floor; the k-th best of this step is a better bar.
-            passing &= rank_scores >= np.partition(rank_scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k, None]
+            bar = np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            passing &= scores >= (bar - RANK_SLACK)[:, None]
         where, at = np.nonzero(passing)
+        if not len(where):
+            return
+        exact = scores[where, at]
         found = np.concatenate([self.ids, ids[at]])
-        values = np.concatenate([self.scores, scores[where, at]])
-        ranked = np.concatenate([self.rank_scores, rank_scores[where, at]])
+        values = np.concatenate([self.scores, exact])
+        ranked = np.concatenate([self.rank_scores, np.round(exact, RANK_DIGITS)])
         where = np.concatenate([self.where, where])
         order = np.lexsort((found, -ranked, where))
         where = where[order]
@@ -142,6 +149,21 @@ class _TopK:
         )
 
 
+def _score(
+    query_ids: np.ndarray, queries: np.ndarray, k: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]
+) -> Iterator[pa.RecordBatch]:
+    """Hits of all queries over batches of (ids, vectors), worked through in blocks of queries."""
+    starts = range(0, len(query_ids), QUERIES_PER_STEP)
+    blocks = [
+        _TopK(query_ids[at : at + QUERIES_PER_STEP], queries[at : at + QUERIES_PER_STEP], k) for at in starts
+    ]
+    for ids, vectors in batches:
+        for block in blocks:
+            block.add(ids, vectors)
+    for block in blocks:
+        yield block.hits()
+
+
 def _best_hits(candidates: DataFrame, k: int) -> DataFrame:
     """Global top-k from per-task top-k rows. Every query has about the same number of them."""
     by_score = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), F.asc("example_id"))
@@ -157,11 +179,8 @@ def _search_broadcast(index: DataFrame, query_ids: np.ndarray, queries: np.ndarr
     shared = index.sparkSession.sparkContext.broadcast((query_ids, queries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _TopK(*shared.value, k)
-        for batch in batches:
-            if batch.num_rows:
-                best.add(_column(batch, "example_id").to_numpy(), _matrix(_column(batch, "embedding")))
-        yield best.hits()
+        rows = ((_column(b, "example_id").to_numpy(), _matrix(_column(b, "embedding"))) for b in batches if b.num_rows)
+        yield from _score(*shared.value, k, rows)
 
     return _best_hits(index.mapInArrow(score, HITS), k)
 
@@ -190,9 +209,9 @@ def _search_grid(index: DataFrame, queries: DataFrame, k: int, cell_rows: int) -
     def score(examples: pa.Table, asked: pa.Table) -> pa.Table:
         if not (examples.num_rows and asked.num_rows):
             return _HITS_ARROW.empty_table()
-        best = _TopK(_column(asked, "asked").to_numpy(), _matrix(_column(asked, "vector")), k)
-        best.add(_column(examples, "example_id").to_numpy(), _matrix(_column(examples, "embedding")))
-        return pa.Table.from_batches([best.hits()])
+        rows = (_column(examples, "example_id").to_numpy(), _matrix(_column(examples, "embedding")))
+        hits = _score(_column(asked, "asked").to_numpy(), _matrix(_column(asked, "vector")), k, iter([rows]))
+        return pa.Table.from_batches(list(hits))
 
     cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(score, HITS)
     return _best_hits(cells, k)

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from weftline.functions.prompts import DEFAULT_WORDING, Wording, chat_messages
 from weftline.functions.text import strip
 from weftline.operators.positions import dense_ordinal, positional_split
+from weftline.session import stored
 
 CHAT_SCHEMA = "messages array<struct<role:string,content:string>>"
 
@@ -71,10 +72,13 @@ def read_predictions(spark: SparkSession, path: str, code_field: str = "pyspark_
 def write_predictions(
     predictions: DataFrame, path: str, key: str = "example_id", code_field: str = "pyspark_code"
 ) -> None:
-    """One JSON object per prediction, sorted by key over the part files, failures as empty code."""
-    predictions.select(
-        key, F.coalesce("code", F.lit("")).alias(code_field)
-    ).orderBy(key).write.mode("errorifexists").json(path)
+    """One JSON object per prediction, sorted by key over the part files, failures as empty code.
+
+    The predictions are stored before they are sorted: a global sort samples its input first,
+    and the model behind them must not be asked twice.
+    """
+    rows = stored(predictions.select(key, F.coalesce("code", F.lit("")).alias(code_field)), "predictions")
+    rows.orderBy(key).write.mode("errorifexists").json(path)
 
 
 def write_chat_dataset(
