@@ -19,11 +19,14 @@ def ngram_overlap(
     The texts are shuffled once, by ``key``. N-grams are made after that and counted where they
     are: grouping by (key, n, gram) and then by key both accept the existing partitioning, so
     the roughly eightfold larger n-gram rows never reach a shuffle. ``key`` is unique, so
-    partitions stay even; a long text only means more rows for a spillable hash aggregate.
+    partitions stay even; a long text only means more rows for a spillable hash aggregate. The
+    number of partitions is spelled out (the session's shuffle partitions), because adaptive
+    execution would merge them by the size of the texts, which is a fraction of the work.
     """
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = (
         pairs.select(key, reference, candidate)
-        .repartition(key)
+        .repartition(partitions, key)
         .select(key, tokens(reference).alias("ref_1"), tokens(candidate).alias("cand_1"))
     )
     for side in ("ref", "cand"):
@@ -34,18 +37,22 @@ def ngram_overlap(
         for i, side in enumerate(("ref", "cand"))
         for n in range(1, MAX_N + 1)
     ]
-    exploded = words.select(
-        key, F.size("ref_1").alias("ref_len"), F.size("cand_1").alias("cand_len"), F.inline(F.array(*sets))
-    ).select(key, "ref_len", "cand_len", "n", "in_cand", F.explode_outer("grams").alias("gram"))
-    counted = exploded.groupBy(key, "ref_len", "cand_len", "n", "gram").agg(
+    exploded = words.select(key, F.inline(F.array(*sets))).select(
+        key, "n", "in_cand", F.explode_outer("grams").alias("gram")
+    )
+    counted = exploded.groupBy(key, "n", "gram").agg(
         F.sum(F.when(F.col("gram").isNotNull(), F.col("in_cand"))).alias("in_cand"), F.count("gram").alias("in_both")
     )
-    in_ref = F.col("in_both") - F.col("in_cand")
-    clipped = F.least(in_ref, F.col("in_cand"))
-    return counted.groupBy(key, "ref_len", "cand_len").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, clipped)), F.lit(0)).alias(f"match_{n}")
-          for n in range(1, MAX_N + 1)],
-        F.coalesce(F.sum(F.when((F.col("n") == 1) & (in_ref > 0), F.col("in_cand"))), F.lit(0)).alias("known_tokens"),
+    in_ref, in_cand, one = F.col("in_both") - F.col("in_cand"), F.col("in_cand"), F.col("n") == 1
+
+    def total(condition: Column, value: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+
+    return counted.groupBy(key).agg(
+        total(one, in_ref).alias("ref_len"),
+        total(one, in_cand).alias("cand_len"),
+        *[total(F.col("n") == n, F.least(in_ref, in_cand)).alias(f"match_{n}") for n in range(1, MAX_N + 1)],
+        total(one & (in_ref > 0), in_cand).alias("known_tokens"),
     )
 
 

@@ -24,16 +24,20 @@ from pyspark.sql.window import Window
 from weftline.operators.skew import salted_join
 
 MONEY = "decimal(18,2)"
-RATE = "decimal(4,2)"
 
 
 def money(name: str) -> Column:
     return F.col(name).cast(MONEY)
 
 
+def hundredths(name: str) -> Column:
+    """A two-decimal amount as whole hundredths: row arithmetic on these is exact and fast."""
+    return F.rint(F.col(name) * 100).cast("bigint")
+
+
 def net_amount() -> Column:
     """Extended price after discount, exact to four decimals."""
-    return money("l_extendedprice") * (F.lit(1).cast(RATE) - F.col("l_discount").cast(RATE))
+    return hundredths("l_extendedprice") * (F.lit(100) - hundredths("l_discount")) / F.lit(10000.0)
 
 
 def total(amount: Column | str) -> Column:
@@ -216,7 +220,7 @@ def order_summary(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, p
         F.col("l_partkey").alias("p_partkey"),
         "l_suppkey", "l_linenumber", "l_quantity",
         F.col("l_extendedprice").alias("total_amount"),
-        net_amount().cast("double").alias("net_amount"),
+        net_amount().alias("net_amount"),
     )
     heads = orders.select(
         "o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("order_date")
@@ -269,17 +273,17 @@ def monthly_status_mix(orders: DataFrame) -> DataFrame:
 
 def explode_charges(lineitem: DataFrame) -> DataFrame:
     """Unnest an array of (kind, amount) structs: gross price, discount and tax of a line."""
-    price = money("l_extendedprice")
+    price = hundredths("l_extendedprice")
 
-    def charge(kind: str, amount: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), amount.cast("double").alias("amount"))
+    def charge(kind: str, ten_thousandths: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (ten_thousandths / F.lit(10000.0)).alias("amount"))
 
     nested = lineitem.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.array(
-            charge("gross", price),
-            charge("discount", -(price * F.col("l_discount").cast(RATE))),
-            charge("tax", price * F.col("l_tax").cast(RATE)),
+            charge("gross", price * 100),
+            charge("discount", -price * hundredths("l_discount")),
+            charge("tax", price * hundredths("l_tax")),
         ).alias("charges"),
     )
     return nested.withColumn("charge", F.explode("charges")).select(

@@ -43,17 +43,15 @@ _MD5_BUCKET = "(('0x' || substr(md5(w), 1, 8))::BIGINT % 64)"
 
 
 @query("r01_embed_texts", f"""
-SELECT doc_id, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS vector FROM (
-  SELECT doc_id, {_MD5_BUCKET} AS bucket, count(*) AS n
-  FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS w FROM documents) GROUP BY ALL)
-GROUP BY doc_id""")
+SELECT doc_id, array_to_string(list_transform(range(64), lambda b: coalesce(m[b], 0)), ',') AS vector FROM (
+  SELECT doc_id, map_from_entries(list((bucket, n))) AS m FROM (
+    SELECT doc_id, {_MD5_BUCKET} AS bucket, count(*) AS n
+    FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS w FROM documents) GROUP BY ALL)
+  GROUP BY doc_id)""")
 def r01(t: Tables) -> DataFrame:
-    """Hashed word counts of all documents, shown as the non-zero bucket:count pairs."""
-    vectors = G.embed(t.documents, "text")
-    pairs = F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("int").alias("n")))
-    filled = F.filter(pairs, lambda p: p["n"] > 0)
-    shown = F.array_join(F.transform(filled, lambda p: F.concat_ws(":", p["i"], p["n"])), ",")
-    return vectors.select("doc_id", shown.alias("vector")).filter(F.col("vector") != "")
+    """Hashed word counts of all documents (none is without words)."""
+    counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return G.embed(t.documents, "text").select("doc_id", F.array_join(counts, ",").alias("vector"))
 
 
 @query("r02_l2_normalize", """
