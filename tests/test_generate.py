@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from weftline.operators import generate as G
 from weftline.streaming import requests as S

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.prompts import DEFAULT_WORDING, few_shot_prompt
+from weftline.functions.prompts import DEFAULT_WORDING
 from weftline.operators import generate as G
 from weftline.operators import retrieval as R
 from weftline.plans.corpus import (
-    INDEXED_SQL, TOP3_SQL, event_requests, example_pairs, indexed_examples, sql_normalize, sql_tokens, with_pairs,
+    INDEXED_SQL, TOP3_SQL, event_requests, indexed_examples, sql_tokens,
 )
 from weftline.plans.dataset_queries import CHECKED_REQUESTS_SQL
 from weftline.plans.registry import Tables, query
-from weftline.plans.scoring_queries import SYSTEM, quoted
+from weftline.plans.scoring_queries import quoted
 from weftline.session import scratch_path
 from weftline.sources.index import read_index, write_index
 from weftline.streaming.requests import prompt_stream, read_request_stream, validate_stream
