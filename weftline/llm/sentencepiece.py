@@ -1,0 +1,211 @@
+"""SentencePiece encoding and decoding: the best segmentation of whole batches of words at a time."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+MARK = "▁"
+UNKNOWN_PENALTY = 10.0
+CACHED_CHUNKS = 200_000
+BATCH_CHARS = 1 << 21
+CELLS = 1 << 18
+
+_NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
+_UNIGRAM = 1
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Pieces:
+    """The pieces of a model file, with log probabilities.
+
+    A unigram model brings its scores. Other models bring an order; their pieces get Zipf's law over it, so that p(rank) is in
+    proportion to 1 / (rank + 2).
+    """
+
+    def __init__(self, path: str) -> None:
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
+            raise ValueError("models with a character map, or that drop white space, are not supported")
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.pieces = [p.piece for p in proto.pieces]
+        kinds = np.array([p.type for p in proto.pieces])
+        usable = np.flatnonzero((kinds == _NORMAL) | (kinds == _USER))
+        if proto.trainer_spec.model_type == _UNIGRAM:
+            scores = np.array([proto.pieces[i].score for i in usable], np.float32)
+        else:
+            odds = 1 / (np.arange(len(usable)) + 2.0)
+            scores = np.log(odds / odds.sum()).astype(np.float32)
+        self.scores = dict(zip(usable.tolist(), scores.tolist()))
+        self.unknown = int(np.flatnonzero(kinds == _UNKNOWN)[0])
+        self.unknown_score = np.float32(scores.min() - UNKNOWN_PENALTY)
+        self.bytes = {int(self.pieces[i][1:-1], 16): int(i) for i in np.flatnonzero(kinds == _BYTE)}
+        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.silent = frozenset(np.flatnonzero(kinds == _CONTROL).tolist())
+        if any(MARK in self.pieces[i].lstrip(MARK) for i in usable):
+            raise ValueError("pieces that reach over a space are not supported")
+        self.longest = max(len(self.pieces[i]) for i in usable)
+        keys = np.array([_hash_of(self.pieces[i]) for i in usable], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids, self.key_scores = keys[order], usable[order], scores[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one hash")
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.keys & np.uint64((1 << 20) - 1)] = True
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Index among the sorted keys of each hash, -1 where there is none."""
+        out = np.full(hashes.shape, -1, np.int32)
+        hit = np.nonzero(self.maybe[hashes & np.uint64(len(self.maybe) - 1)])
+        some = hashes[hit]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        out[hit] = np.where(self.keys[at] == some, at, -1)
+        return out
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return _spread((h + codes.astype(np.uint64) + np.uint64(1)) * _HASH)
+
+
+def _hash_of(piece: str) -> int:
+    h = np.zeros(1, np.uint64)
+    for c in piece:
+        h = _step(h, np.array([ord(c)]))
+    return int(h[0])
+
+
+def best_paths(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """For words of equal length (rows of code points): back-pointers and pieces of the best way to each end.
+
+    back[:, e] is the length of the last piece of the best segmentation of the first e characters, key[:, e] that piece (-1: unknown
+    character). Of equal sums the longer last piece wins.
+    """
+    n, length = codes.shape
+    best = np.zeros((n, length + 1), np.float32)
+    back, key = np.zeros((n, length + 1), np.int16), np.full((n, length + 1), -1, np.int32)
+    reach = min(length, pieces.longest)
+    # hashes of the substrings that end at the current place, by their start; one character more at each step
+    found = np.full((n, length + 1, reach), -1, np.int32)
+    h = np.zeros((n, length), np.uint64)
+    for size in range(1, reach + 1):
+        starts = length - size + 1
+        h = _step(h[:, :starts], codes[:, size - 1 :])
+        found[:, size:, size - 1] = pieces.find(h)
+    for end in range(1, length + 1):
+        most = min(end, reach)
+        sizes = np.arange(most, 0, -1)
+        at = found[:, end, sizes - 1]
+        sums = best[:, end - sizes] + np.where(at >= 0, pieces.key_scores[at], -np.inf).astype(np.float32)
+        sums[:, -1] = np.where(at[:, -1] >= 0, sums[:, -1], best[:, end - 1] + pieces.unknown_score)
+        pick = sums.argmax(axis=1)
+        rows = np.arange(n)
+        best[:, end], back[:, end], key[:, end] = sums[rows, pick], sizes[pick], at[rows, pick]
+    return back, key
+
+
+class Encoder:
+    def __init__(self, path: str) -> None:
+        self.pieces = Pieces(path)
+        self.known: dict[str, np.ndarray] = {}
+        self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+    def _unknown(self, char: str) -> list[int]:
+        p = self.pieces
+        return [p.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if p.bytes else [p.unknown]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Segment chunks not seen before, those of equal length together."""
+        by_length: dict[int, list[str]] = {}
+        for c in chunks:
+            by_length.setdefault(len(c), []).append(c)
+        for length, same in by_length.items():
+            lot = max(1, CELLS // (length * min(length, self.pieces.longest)))
+            for i in range(0, len(same), lot):
+                part = same[i : i + lot]
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+                back, key = best_paths(codes, self.pieces)
+                ids = np.where(key >= 0, self.pieces.ids[key], -1)
+                for chunk, b, k in zip(part, back.tolist(), ids.tolist()):
+                    out, end = [], length
+                    while end:
+                        out.append(k[end] if k[end] >= 0 else -1 - end)
+                        end -= b[end]
+                    out.reverse()
+                    if min(out) < 0:
+                        out = [x for y in out for x in ([y] if y >= 0 else self._unknown(chunk[-y - 2]))]
+                    self.known[chunk] = np.array(out, np.int32)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > CACHED_CHUNKS:
+            self.known = {}
+        start = MARK if self.pieces.prefix else ""
+        split = [self.chunk.findall(start + t.replace(" ", MARK)) if t else [] for t in texts]
+        self._learn(list(dict.fromkeys(c for cs in split for c in cs if c not in self.known)))
+        get, none = self.known.__getitem__, [np.zeros(0, np.int32)]
+        return [np.concatenate([*map(get, cs)] or none) for cs in split]
+
+    def decode(self, ids: np.ndarray) -> str:
+        p, out, raw = self.pieces, [], bytearray()
+        for i in ids.tolist():
+            b = p.byte_of.get(i)
+            if b is not None:
+                raw.append(b)
+                continue
+            if raw:
+                out.append(raw.decode("utf-8", "replace"))
+                raw.clear()
+            if i not in p.silent:
+                out.append(p.pieces[i] if i != p.unknown else " ⁇ ")
+        out.append(raw.decode("utf-8", "replace"))
+        text = "".join(out).replace(MARK, " ")
+        return text[1:] if p.prefix and text.startswith(" ") else text
+
+
+def _lots(texts: pd.Series) -> Iterator[list]:
+    size = np.cumsum(texts.str.len().to_numpy())
+    for _, part in texts.groupby(size // BATCH_CHARS):
+        yield part.tolist()
+
+
+def encode(text: Column, model: str) -> Column:
+    """Piece ids (array of int) of a text column under the SentencePiece file ``model``; null for null, empty for empty.
+
+    Spaces become the mark, one mark is put before the text if the model asks for it, and the text is cut before each run of marks, which no piece reaches over.
+    Every cut is segmented into the pieces of greatest summed log probability. A character without piece becomes its bytes, or the unknown id.
+    """
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(model)
+        for texts in batches:
+            there = texts.notna()
+            done = [x for lot in _lots(texts[there]) for x in encoder.encode(lot)]
+            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out[there] = pd.Series(done, index=texts.index[there], dtype=object)
+            yield out
+
+    return ids(text)
+
+
+def decode(ids: Column, model: str) -> Column:
+    """The text of piece ids; null for null. Ids made by ``encode`` give the text back, except that marks in it become spaces."""
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(model)
+        for lists in batches:
+            yield lists.map(lambda x: None if x is None else encoder.decode(np.asarray(x)))
+
+    return text(ids)
