@@ -3,61 +3,105 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, stored, whole_text
+from weftline.llm.idpool import MOST_WORDS, IdPool, lots
 
 GROUP_PIECES = 1 << 15
-BATCH_CHARS = 1 << 22
-CACHED_WORDS = 300_000
+BATCH_BYTES = 1 << 24
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-class WordIds:
-    """Token ids of texts, word by word: each distinct word is encoded once and remembered.
+_SIMPLE = re.compile(r"([^\W\d_]+)([!-,./:;?|]*)")
 
-    The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a row.
-    Only space and newline are used to split; any other character stays for the tokenizer. The memory is
-    emptied when it holds ``CACHED_WORDS`` words.
-    """
+
+class _Words:
+    """Ids of single words. Letters with or without punctuation after them go to the BPE model at once; other words go through the tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.model = self.tokenizer.model
+        self.parts: dict[str, list[int]] = {}
+        # How byte-level models write bytes as characters; printable ones stand for themselves.
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in kept]
+        self.written = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else "".join(map(self.written.__getitem__, part.encode()))
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > MOST_WORDS:
+            self.parts = {}
+        out, hard = [], []
+        for i, w in enumerate(words):
+            m = _SIMPLE.fullmatch(w)
+            if m and (w.isascii() or m[1].isalpha() and is_normalized("NFC", w) and "\u03a3" not in w and "\u0130" not in w):
+                out.append(self._part(m[1].lower()) + self._part(m[2]) if m[2] else self._part(m[1].lower()))
+            else:
+                hard.append(i)
+                out.append([])
+        for i, e in zip(hard, self.tokenizer.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)):
+            out[i] = e.ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(sizes.sum())), sizes
+
+
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> IdPool:
+    """One for each worker process. The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a row.
+
+    Only space and newline are used to split; any other character stays for the tokenizer.
+    """
+    return IdPool(_Words(path))
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.ids = {}, []
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in self.known))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = len(self.ids)
-            self.ids.append(np.array(e.ids, np.uint32))
-        get, ids, end = self.known.__getitem__, self.ids, np.array([end_id], np.uint32)
-        return [np.concatenate([*[ids[i] for i in map(get, ws)], end]) for ws in words]
+
+def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each begins.
+
+    Fewer words are distinct in lower case and without the point or comma after them; the tokenizer lower-cases and cuts there, too.
+    """
+    texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+    texts = pc.replace_substring_regex(texts, r"(\pL)([.,]) ", r"\1 \2 ")
+    return _word_ids(path).texts(pc.split_pattern(texts, " "))
 
 
 def _pieces(tokenizer: str, length: int, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordIds(tokenizer)
-        for pdf in batches:
-            sizes = np.cumsum(pdf["_text"].str.len().to_numpy())
-            for _, part in pdf.groupby(sizes // BATCH_CHARS):
-                rows = []
-                for doc, ids in zip(part["doc_id"], encoder.encode(part["_text"].tolist(), end_id)):
-                    rows += [(doc, s, min(length, len(ids) - s), zlib.crc32(ids[s : s + length].tobytes()), len(ids)) for s in range(0, len(ids), length)]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.array([end_id], "<u4").tobytes()
+        for batch in batches:
+            docs, rows, at = batch.column(0).to_pylist(), [], 0
+            for texts in lots(batch.column(1), BATCH_BYTES):
+                ids, begins = token_ids(tokenizer, texts)
+                raw = ids.astype("<u4").tobytes()
+                for doc, b, e in zip(docs[at : at + len(texts)], begins[:-1].tolist(), begins[1:].tolist()):
+                    whole = raw[4 * b : 4 * e] + end
+                    n = e - b + 1
+                    rows += [(doc, s, min(length, n - s), zlib.crc32(whole[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
+                at += len(texts)
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
@@ -108,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
-    pieces = stored(texts.mapInPandas(_pieces(tokenizer, length, end_id), PIECES), "pieces")
+    pieces = stored(texts.mapInArrow(_pieces(tokenizer, length, end_id), PIECES), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
     return dealt.repartition(min(groups, partitions(spark)), "_group").groupBy("_group").applyInPandas(_pack(length), PACKED)

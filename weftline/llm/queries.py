@@ -15,7 +15,7 @@ from weftline.llm.langid import held_out, identify, learn
 from weftline.llm.line_dedup import dedup_lines
 from weftline.llm.packing import pack_documents
 from weftline.llm.pii import BASE_KINDS, find_pii
-from weftline.llm.sentencepiece import decode, encode
+from weftline.llm.sentence_pieces import decode, encode
 from weftline.llm.spotsigs import compare_edited, fingerprint
 from weftline.llm.substring_dedup import dedup_passages
 from weftline.sources.catalog import parquet_table

@@ -22,19 +22,17 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN) -> D
     A signature is the hash of a common word and the next ``chain`` words that are not common, of the lower-cased words of the text.
     A text in which no chain is complete has one signature, the hash of all its words, or of the text itself if it has none.
     """
-    words, spots, content = f"_words_{out}", f"_spots_{out}", f"_content_{out}"
+    words, marks, spots, content = f"_words_{out}", f"_marks_{out}", f"_spots_{out}", f"_content_{out}"
     df = df.withColumn(words, F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    df = df.withColumns({
-        spots: F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*COMMON), i))),
-        content: F.filter(words, lambda w: ~w.isin(*COMMON)),
-    })
+    df = df.withColumn(marks, F.transform(words, lambda w: F.when(~w.isin(*COMMON), w)))
+    df = df.withColumns({spots: F.array_compact(F.transform(marks, lambda m, i: F.when(m.isNull(), i))), content: F.array_compact(marks)})
     # The j-th common word, at word p, has p - j content words before it.
     chains = F.transform(spots, lambda p, j: F.when(
         p - j + chain <= F.size(content),
         F.xxhash64(F.get(F.col(words), p), *[F.get(F.col(content), p - j + i) for i in range(chain)])))
-    df = df.withColumn(out, F.array_sort(F.array_distinct(F.array_compact(chains))))
+    df = df.withColumn(out, F.sort_array(F.array_distinct(F.array_compact(chains))))
     whole = F.when(F.size(words) > 0, F.xxhash64(F.lit(1), F.array_join(words, " "))).otherwise(F.xxhash64(F.lit(2), F.col(text)))
-    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(whole))).drop(words, spots, content)
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).otherwise(F.array(whole))).drop(words, marks, spots, content)
 
 
 def likeness(a: str, b: str) -> Column:
