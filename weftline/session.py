@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped_to: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped_to:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(package)))
+    # The driver serves this file to the executors; only the driver reads the folder it lies in.
+    path = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline.zip")
+    with open(path, "wb") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(path)
+    _shipped_to.add(context.applicationId)
