@@ -65,20 +65,36 @@ def near_pairs(docs: DataFrame, similarity: float = 0.75) -> DataFrame:
     return pairs.select("a", "b", likeness("x", "y").alias("likeness")).filter(F.col("likeness") >= similarity)
 
 
-def predecessors(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc, chars; one row per doc) with ``before`` and ``before_chars``: the document that has this one as its next by descending id.
+def _ranges(docs: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """Cut points that deal the ids to about equal ranges, and the largest id of each range that has one, by rising range."""
+    points = docs.agg(F.percentile_approx("doc", [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    cuts = sorted(set(points))
+    tops = docs.groupBy(_range_of("doc", cuts).alias("range")).agg(F.max("doc").alias("top")).collect()
+    return cuts, [r["top"] for r in sorted(tops, key=lambda r: r["range"])]
 
-    That is the next larger id, and for the largest one the smallest. Ids are dealt by ranges and numbered within them; between ranges only
-    the first id of each is looked at.
+
+def _range_of(doc: str, cuts: list[int]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c < F.col(doc)))
+
+
+def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` (doc, hash, ...) with ``next_`` copies of ``columns`` from the next row by descending doc, then hash; after the last comes the first.
+
+    Rows are dealt by ranges of ids, a few for each task, and numbered within them. The rows of the largest id of a range also go, as
+    guests, to the end of the range above it, and those of the largest id of all to the end of the lowest range.
     """
-    spark = ids.sparkSession
-    dealt = stored(ids.repartitionByRange(partitions(spark), "doc").withColumn("part", F.spark_partition_id()), "id-ranges")
-    firsts = dealt.groupBy("part").agg(F.min(F.struct("doc", "chars")).alias("first"))
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.first("first").over(order)).alias("following"))
-    up = F.lead(F.struct("doc", "chars")).over(Window.partitionBy("part").orderBy("doc"))
-    return dealt.withColumn("up", up).join(F.broadcast(following), "part").select(
-        "*", F.coalesce("up", "following").alias("to")).select("doc", F.col("to.doc").alias("before"), F.col("to.chars").alias("before_chars"))
+    cuts, tops = _ranges(docs, 3 * partitions(docs.sparkSession))
+    if not tops:
+        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
+    home = _range_of("doc", cuts)
+    above = dict(zip(tops, [*tops[1:], tops[0]]))
+    guest = F.element_at(F.create_map(*[F.lit(v).cast("long") for pair in above.items() for v in pair]), F.col("doc"))
+    placed = docs.withColumn("_to", guest).withColumn("_place", F.explode(F.when(
+        F.col("_to").isNull(), F.array(F.struct(home.alias("range"), F.lit(False).alias("guest")))).otherwise(
+        F.array(F.struct(home.alias("range"), F.lit(False).alias("guest")), F.struct(_range_of("_to", cuts).alias("range"), F.lit(True).alias("guest"))))))
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc("doc"), "hash")
+    placed = placed.select(*docs.columns, F.col("_place.range").alias("_range"), F.col("_place.guest").alias("_guest"))
+    return placed.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).filter("not _guest").drop("_range", "_guest")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -86,25 +102,16 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the last half (floor) of the code points replaced by the first as many of the next document by descending doc_id
     (after the last one: the first). Returns doc_id, n_chars, edited_text, signatures, edited_signatures, near_edited and near_next: the Jaccard similarity of
-    the document's signatures to those of the edited text, and of the next document.
-
-    Of each text only what its neighbour needs (so many first characters, and the signatures) is sent on to it.
+    the document's signatures to those of the edited text, and of the next document. Texts and signatures are shuffled once.
 
-    Null text counts as empty. Rows that repeat a doc_id have the same next document; as a next document, the one with the least
-    text hash stands for all. A null doc_id is below all others. One document is its own next. No rows give no rows; other
-    columns are not read.
+    Null text counts as empty. Rows that repeat a doc_id follow one another by the hash of their texts. A null doc_id is below all
+    others. One document is its own next. No rows give no rows; other columns are not read.
     """
-    texts = docs.select(document_key().alias("doc"), whole_text().alias("text"))
-    ids = texts.groupBy("doc").agg(F.max(F.char_length("text")).cast("long").alias("chars"), F.min(F.xxhash64("text")).alias("hash"))
-    ids = stored(ids, "ids")
-    before = stored(predecessors(ids.select("doc", "chars")), "predecessors").join(ids.select("doc", "hash"), "doc")
-    told = texts.join(before.hint("shuffle_hash"), "doc").filter(F.xxhash64("text") == F.col("hash"))
-    told = with_signatures(told, "text", "next_sigs").select(
-        F.col("before").alias("doc"), F.left("text", F.floor(F.col("before_chars") / 2).cast("int")).alias("head"), "next_sigs").dropDuplicates(["doc"])
-    both = texts.join(told, "doc").withColumn("n_chars", F.char_length("text").cast("long"))
+    texts = docs.select(document_key().alias("doc"), whole_text().alias("text")).withColumn("hash", F.xxhash64("text"))
+    both = with_next(with_signatures(texts, "text", "signatures"), ["text", "signatures"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    both = both.withColumn("edited_text", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("head", half)))
-    both = with_signatures(with_signatures(both, "text", "signatures"), "edited_text", "edited_signatures")
+    both = both.withColumn("edited_text", F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half)))
+    both = with_signatures(both, "edited_text", "edited_signatures")
     return both.select(
         F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id"), "n_chars", "edited_text", "signatures", "edited_signatures",
-        likeness("signatures", "edited_signatures").alias("near_edited"), likeness("signatures", "next_sigs").alias("near_next"))
+        likeness("signatures", "edited_signatures").alias("near_edited"), likeness("signatures", "next_signatures").alias("near_next"))
