@@ -51,7 +51,7 @@ class Stretches:
         self.count = np.diff(np.concatenate([lead, [len(edges)]]))
         self.text = np.searchsorted(begins, self.first, side="right") - 1
         self.node = nodes[least[lead]]
-        rising = np.concatenate([[0], np.cumsum(hashes * powers(len(hashes)), dtype=np.uint64)]).astype(np.uint64)
+        rising = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes)), dtype=np.uint64)])
         stop = self.first + self.count + span - 1
         inverse = np.uint64(pow(int(powers(2)[1]), -1, 2**64))
         back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(hashes), inverse, np.uint64)]))
@@ -176,7 +176,7 @@ def dedup_passages(docs: DataFrame, span: int = 20, k: int = NODE_WORDS) -> Data
     edges = stored(edges, "edges")
     first = stored(edges.groupBy("node", "edge").agg(F.count("*").alias("rows"), F.min("doc").alias("least")).filter("rows > 1"), "first-edges")
     again = join_hot(edges, first, ["node", "edge"], "rows", ["doc", "first"]).filter("doc > least or not fresh")
-    single = again.groupBy("doc").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("gone"))
+    single = stored(again.groupBy("doc").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("gone")), "single-marks")
     gone = marks.select("doc", "gone").unionByName(single).groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     whole = texts.join(gone.hint("shuffle_hash"), "doc", "left").select(
         F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc"), "text", F.col("gone.first").alias("first"), F.col("gone.count").alias("count"))
