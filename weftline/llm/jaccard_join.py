@@ -16,8 +16,9 @@ from weftline.llm.wordhash import chunks, mix, runs, words
 SHINGLE = 5
 # Least similarity as a fraction.
 LEAST = (3, 4)
-# Shingles with a larger share of all shingles than one in so many are frequent; there are no more than this many.
-FREQUENT = 1 << 20
+# The most frequent shingles, so many at most, of those that at least so many sets share within tasks.
+FREQUENT, OFTEN = 1 << 20, 8
+COUNTED_TOKENS = 1 << 22
 # Further global orders: shingles by their hash under these salts.
 ORDERS = (0x5BD1E995, 0x27D4EB2F)
 
@@ -79,13 +80,20 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that different sets of some lot share, with their number in the lot; in the last row of a lot, all its shingles."""
-    for lot in _new_sets(batches):
-        tokens, counts = np.unique(np.concatenate([s for _, s in lot] or [np.zeros(0, np.uint64)]), return_counts=True)
+    """Shingles that different sets share, with their number among about ``COUNTED_TOKENS`` at a time."""
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
         many = counts > 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*tokens[many].view(np.int64).tolist(), None], pa.int64()), pa.array([*counts[many].tolist(), int(counts.sum())], pa.int64())],
-            ["token", "count"])
+        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "count"])
+
+    held: list[np.ndarray] = []
+    for lot in _new_sets(batches):
+        held += [s for _, s in lot]
+        if sum(map(len, held)) > COUNTED_TOKENS:
+            yield counted(held)
+            held = []
+    if held:
+        yield counted(held)
 
 
 def _prefixes(frequent):
@@ -158,10 +166,9 @@ def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles above one in ``FREQUENT`` of all, and their counts (of repeats within lots): 2^20 at most, so small enough for everyone."""
+    """The most frequent shingles, 2^20 at most, and their counts (of repeats within parts of tasks): few enough to send to everyone."""
     counted = stored(texts.mapInArrow(_often, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "shingle-counts")
-    total = counted.filter("token is null").agg(F.sum("count")).first()[0] or 0
-    rows = counted.filter(F.col("token").isNotNull() & (F.col("count") * FREQUENT > total)).toArrow()
+    rows = counted.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     tokens, counts = rows["token"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
@@ -172,8 +179,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles and component_id, for every row. Documents with equal sets form a class, and one of each class
     is worked on. First order: rare shingles by hash, then frequent ones by count. The prefixes of the classes
-    under it are dealt out by shingle. In each shingle's list, sorted by set size, every class is paired with the
-    first of its size range (frequent shingles: by shares, whose first ones are paired too). Pairs that are similar make up components. Shingles whose
+    under it are dealt out by shingle. In each shingle's list, sorted by set size, every class meets the
+    first of its size range (frequent shingles: by shares, whose first ones meet, too), and is paired with the one it meets most often. Pairs that are similar make up components. Shingles whose
     list then lies in one component are done. In the other lists, classes of different components are paired, if their sizes fit and
     their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
     each further order must meet, too. So no link between components is lost, and groups of near copies give no more pairs than rows.
@@ -202,7 +209,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ends = Window.partitionBy("token", "range").orderBy("first")
     shares = lists.filter("hot").select("token", "range", "first").distinct().select("first", F.first("first").over(ends).alias("other"))
     stars = lists.select(F.col("first").alias("x"), F.col("class").alias("y")).unionByName(shares.select(F.col("other").alias("x"), F.col("first").alias("y")))
-    stars = stars.filter("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count("*").alias("times"))
+    stars = stars.filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("times"))
+    stars = stars.groupBy("y").agg(F.max(F.struct("times", "x")).alias("best")).select("best.x", "y", "best.times")
     named = lambda pairs: pairs.join(
         classes.select(F.col("c1").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na")), "x").join(
         classes.select(F.col("c1").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb")), "y").filter("a <> b")
@@ -217,8 +225,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     pair = marked.select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(
         marked.select("token", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "token").filter(
         (F.col("rx") < F.col("ry")) & _size_fits("nx", "ny"))
-    shared = pair.groupBy("x", "y").agg(F.count("*").alias("times"))
-    rest = named(shared).filter(F.col("times") >= _least_shared("na", "nb"))
+    shared = pair.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("times")).filter(F.col("times") >= _least_shared("nx", "ny"))
+    rest = named(shared.select("x", "y"))
     more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), texts)
 
     final = stored(components(near.unionByName(more)), "roots")
