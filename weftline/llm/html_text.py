@@ -129,7 +129,7 @@ def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def _cluster(ratios: np.ndarray) -> np.ndarray:
-    """Which smoothed ratios belong to the upper of two clusters: the threshold settles between the two means."""
+    """Which smoothed ratios belong to the upper of two clusters: the threshold settles between the two means, or lies at the deviation where that is less."""
     cut = ratios.mean()
     for _ in range(30):
         upper = ratios > cut
@@ -139,7 +139,7 @@ def _cluster(ratios: np.ndarray) -> np.ndarray:
         if abs(new - cut) < 1e-9:
             break
         cut = new
-    return ratios >= min(cut, ratios.max())
+    return ratios >= min(cut, ratios.std(), ratios.max())
 
 
 def main_text(html: str) -> str:
@@ -154,7 +154,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratios = np.array([max(0, len(t) - 2 * b.linked) / max(1, b.tags) for b, t in lines], float)
-    dense = _cluster(np.log1p(smoothed(ratios)))
+    dense = _cluster(smoothed(ratios))
     if ratios.max() <= 0:
         return ""
     at = np.flatnonzero(dense)

@@ -35,9 +35,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     stay (an input column ``n_lines`` or ``n_dropped`` is replaced).
     """
     base = docs.drop("n_lines", "n_dropped")
-    keyed = base.withColumns({
-        "_doc": document_key(), "_text": F.col("text"), "_row": F.xxhash64(whole_text()),
-    })
+    keyed = base.select(F.struct("*").alias("_base"), document_key().alias("_doc"), F.col("text").alias("_text"), F.xxhash64(whole_text()).alias("_row"))
     lines = keyed.select("_doc", "_row", F.posexplode(_lines()).alias("_pos", "_line"))
     key = ascii_lower(F.btrim("_line", F.lit(WS)))
     lines = lines.select("_doc", "_row", "_pos", key.alias("_key")).filter(F.char_length("_key") >= min_chars).select(
@@ -52,7 +50,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     out = keyed.join(lost.hint("shuffle_hash"), ["_doc", "_row"], "left")
     out = out.withColumn("_split", _lines()).withColumn("_lost", F.coalesce("_lost", F.array().cast("array<int>")))
     return out.select(
-        *[F.col(c) for c in base.columns if c != "text"],
-        F.when(F.size("_lost") == 0, whole_text()).otherwise(F.array_join(_without(F.col("_split"), F.col("_lost")), "\n")).alias("text"),
+        *[F.col("_base")[c].alias(c) for c in base.columns if c != "text"],
+        F.when(F.size("_lost") == 0, whole_text("_text")).otherwise(F.array_join(_without(F.col("_split"), F.col("_lost")), "\n")).alias("text"),
         F.size("_split").cast("long").alias("n_lines"), F.size("_lost").cast("long").alias("n_dropped"),
     ).select(*base.columns, "n_lines", "n_dropped")

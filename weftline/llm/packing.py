@@ -38,27 +38,33 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         # How byte-level models write bytes as characters; printable ones stand for themselves.
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in kept]
         self.written = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
+    def _letters(self, part: str) -> list[int]:
+        text = part if part.isascii() else "".join(map(self.written.__getitem__, part.encode()))
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _marks(self, part: str) -> list[int]:
+        ids = self.marks.get(part)
         if ids is None:
-            text = part if part.isascii() else "".join(map(self.written.__getitem__, part.encode()))
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+            ids = self.marks[part] = [t.id for t in self.model.tokenize(part)]
         return ids
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > MOST_WORDS:
-            self.parts = {}
+        if len(self.marks) > MOST_WORDS:
+            self.marks = {}
         out, hard = [], []
         for i, w in enumerate(words):
+            if w.isascii() and w.isalpha():
+                out.append(self._letters(w.lower()))
+                continue
             m = _SIMPLE.fullmatch(w)
-            if m and (w.isascii() or m[1].isalpha() and is_normalized("NFC", w) and "\u03a3" not in w and "\u0130" not in w):
-                out.append(self._part(m[1].lower()) + self._part(m[2]) if m[2] else self._part(m[1].lower()))
+            if m and m[1].isalpha() and is_normalized("NFC", w) and "\u03a3" not in w and "\u0130" not in w:
+                out.append(self._letters(m[1].lower()) + self._marks(m[2]) if m[2] else self._letters(m[1].lower()))
             else:
                 hard.append(i)
                 out.append([])
