@@ -114,3 +114,10 @@ def test_gate_and_promotion(spark):
     assert not E.quality_gate(E.aggregate(worse)).first().passed
     assert E.promotion_check(E.aggregate(worse), E.aggregate(results)).first().promote
     assert not E.promotion_check(E.aggregate(results), E.aggregate(results)).first().promote
+
+
+def test_missing_scores_count_zero_in_the_mean(spark):
+    from weftline.operators.evaluate import aggregate
+
+    rows = spark.createDataFrame([(1, 1.0), (2, None)], "id long, bleu double")
+    assert aggregate(rows, metrics=("bleu",)).first()["bleu"] == 0.5

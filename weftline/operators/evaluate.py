@@ -92,8 +92,8 @@ def _as_number(metric: str) -> Column:
 
 
 def aggregate(results: DataFrame, by: Sequence[str] = (), metrics: Sequence[str] = METRICS) -> DataFrame:
-    """Mean of each metric (exact matches count 1); zeros when there are no rows."""
-    means = [F.coalesce(F.avg(_as_number(m)), F.lit(0.0)).alias(m) for m in metrics]
+    """Mean of each metric (exact matches count 1); a missing score counts 0, and zeros come when there are no rows."""
+    means = [F.coalesce(F.avg(F.coalesce(_as_number(m), F.lit(0.0))), F.lit(0.0)).alias(m) for m in metrics]
     return results.groupBy(*by).agg(*means)
 
 
