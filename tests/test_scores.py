@@ -121,3 +121,11 @@ def test_missing_scores_count_zero_in_the_mean(spark):
 
     rows = spark.createDataFrame([(1, 1.0), (2, None)], "id long, bleu double")
     assert aggregate(rows, metrics=("bleu",)).first()["bleu"] == 0.5
+
+
+def test_a_missing_candidate_scores_like_an_empty_one(spark):
+    from weftline.operators.ngrams import token_scores
+
+    pairs = spark.createDataFrame([(1, "a b c d e", None), (2, "a b c d e", "")], "example_id long, code string, candidate string")
+    rows = [tuple(r)[1:] for r in token_scores(pairs, "example_id", "code", "candidate").orderBy("example_id").collect()]
+    assert rows[0] == rows[1]

@@ -25,7 +25,7 @@ def ngram_overlap(
     """
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = (
-        pairs.select(key, reference, candidate)
+        pairs.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in dict.fromkeys((reference, candidate))])
         .repartition(partitions, key)
         .select(key, tokens(reference).alias("ref_1"), tokens(candidate).alias("cand_1"))
     )
