@@ -10,8 +10,8 @@ from weftline.plans import reports as R
 
 def test_one_word_names_give_null(spark):
     df = spark.createDataFrame([(1, "Ada Lovelace"), (2, "Plato"), (3, "")], "p_partkey bigint, p_name string")
-    rows = R.split_name(df).orderBy("p_partkey").collect()
-    assert [(r.first_name, r.last_name, r.email) for r in rows] == [
+    rows = R.name_addresses(df).orderBy("p_partkey").collect()
+    assert [(r.word_1, r.word_2, r.address) for r in rows] == [
         ("Ada", "Lovelace", "ada.lovelace@example.com"), ("Plato", None, None), ("", None, None)]
 
 
@@ -31,7 +31,7 @@ def parts(spark, rows):
 def test_growth_over_nothing_is_null(spark):
     df = lines(spark, [(1, 0.0, "2020-01-05"), (1, 5.0, "2021-03-01"), (1, 2.5, "2022-03-01"), (1, 2.5, "2022-04-01")])
     rows = R.yearly_growth(df, parts(spark, [(1, "n", "T", 1, 1.0)])).collect()
-    assert [(r.fiscal_year, r.yoy_growth_pct) for r in rows] == [(2020, None), (2021, None), (2022, 0.0)]
+    assert [(r.fiscal_year, r.growth_pct) for r in rows] == [(2020, None), (2021, None), (2022, 0.0)]
 
 
 def test_ties_for_second_place_are_kept(spark):
@@ -53,10 +53,19 @@ def test_reports_count_back_from_today_by_default(spark):
     df = lines(spark, [(1, 10.0, d.isoformat()) for d in days])
     part = parts(spark, [(1, "n", "T", 10, 1.0), (2, "m", "T", 30, 1.0)])
     assert R.recent_category_sales(df, part).first().total_sales == 20.0
-    stock = {r.p_partkey: (r.pending_qty, r.stock_status) for r in R.stock_alert(part, df).collect()}
+    stock = {r.p_partkey: (r.open_qty, r.alert) for r in R.stock_alert(part, df, R.days_ago(90)).collect()}
     assert stock == {1: (12.0, "LOW"), 2: (0.0, "OK")}
 
 
+def test_tiers_by_spend_and_customers_without_orders(spark):
+    day = datetime.datetime(2020, 1, 1)
+    orders = spark.createDataFrame([(1, 1, 600.0, day), (2, 1, 400.0, day + datetime.timedelta(days=9)), (3, 2, 999.99, day)],
+                                   "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate timestamp_ntz")
+    customer = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "c_custkey bigint, c_name string")
+    rows = {r.c_custkey: (r.spend, r.n_orders, r.until, r.value_tier) for r in R.lifetime_value(customer, orders).collect()}
+    assert rows == {1: (1000.0, 2, datetime.date(2020, 1, 10), "C"), 2: (999.99, 1, datetime.date(2020, 1, 1), "D"), 3: (0.0, 0, None, "D")}
+
+
 def test_union_is_by_position(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y")], "other int, name string")

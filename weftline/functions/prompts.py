@@ -9,14 +9,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.text import _col
 
-SYSTEM_RULES = """You turn a plain request for a data report into working Spark code.
-
-Follow these rules:
-- Work with DataFrames, never with RDDs.
-- Read each input by its catalog name, as in spark.table("schema.table").
-- Import everything the code uses.
-- Name computed columns, and explain steps that are hard to follow in comments.
-- Answer with code alone."""
+SYSTEM_RULES = """Reply with one PySpark script for the report described by the user.
+The script has to run as it stands on a cluster, over tables too large for one machine: express the report in joins,
+aggregations and windows, keep rows on the executors, and finish with a DataFrame named `result`.
+If the description leaves something open, choose the simplest reading and state it in the first line of the script."""
 
 
 @dataclass(frozen=True)

@@ -15,11 +15,6 @@ from weftline.functions.text import tokens
 SEQUENCE_TIERS = ((80, 2048), (40, 2048), (24, 2048), (16, 1536), (0, 1024))
 
 
-# Positions of list elements are ordered as position * MAX_LIST + index: a plain number keeps the
-# aggregate hash based, which a struct would not.
-MAX_LIST = 1 << 20
-
-
 def set_sizes(**sets: DataFrame) -> DataFrame:
     """Row count of each named set."""
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("set_name"), "n") for name, df in sets.items()]
@@ -43,7 +38,7 @@ def top_operations(examples: DataFrame, position: str = "line_num", n: int = 10)
     return (
         examples.select(position, F.posexplode("operations").alias("pos", "operation"))
         .groupBy("operation")
-        .agg(F.count("*").alias("n"), F.min(F.col(position) * MAX_LIST + F.col("pos")).alias("first_seen"))
+        .agg(F.count("*").alias("n"), F.min(F.struct(position, "pos")).alias("first_seen"))
         .orderBy(F.desc("n"), "first_seen")
         .limit(n)
         .select("operation", "n")

@@ -7,19 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 64
-
 
 def salted_join(
-    rows: DataFrame, groups: DataFrame, key: Sequence[str], spread_by: Sequence[str], salts: int = SALTS
+    rows: DataFrame, groups: DataFrame, key: Sequence[str], spread_by: Sequence[str], salts: int | None = None
 ) -> DataFrame:
     """Inner join of ``rows`` with per-group values, where few groups may own most rows.
 
     ``groups`` has one row per key, such as an aggregate, and is copied once per salt. A group's
-    rows go to as many tasks as there are salts, chosen by a hash of ``spread_by`` (so a task
+    rows go to as many tasks as there are salts (by default, the session's shuffle partitions), chosen by a hash of ``spread_by`` (so a task
     that is run again finds the same rows). Nothing is broadcast by hint; the optimizer still
     does so by itself where it finds the groups to be small.
     """
+    salts = salts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*key, "_salt"]).drop("_salt")

@@ -142,12 +142,12 @@ def example_pairs(t: Tables) -> DataFrame:
     ).drop("words", "pieces")
 
 
-# Embedded examples: each vector with the document of the same number.
+# Embedded examples: every vector, with the document of the same number if there is one.
 INDEXED_SQL = """
 indexed AS (
-  SELECT vec_id AS example_id, text AS description, list_transform(embedding, lambda x: x::DOUBLE) AS v,
-    'spark.table("' || source || '.' || lang || '").filter(F.col("label") == ' || label || ')' AS code
-  FROM embeddings JOIN documents ON vec_id = doc_id)
+  SELECT vec_id AS example_id, coalesce(text, '') AS description, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+    'spark.table("' || coalesce(source, '') || '.' || coalesce(lang, '') || '").filter(F.col("label") == ' || label || ')' AS code
+  FROM embeddings LEFT JOIN documents ON vec_id = doc_id)
 """
 
 TOP3_SQL = """
@@ -163,11 +163,11 @@ hits AS (
 def indexed_examples(t: Tables) -> DataFrame:
     """(example_id, description, code, embedding) from the vectors and their documents."""
     code = F.concat(
-        F.lit('spark.table("'), "source", F.lit("."), "lang", F.lit('").filter(F.col("label") == '),
+        F.lit('spark.table("'), F.coalesce("source", F.lit("")), F.lit("."), F.coalesce("lang", F.lit("")), F.lit('").filter(F.col("label") == '),
         F.col("label").cast("string"), F.lit(")"),
     )
-    return t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id")).select(
-        F.col("vec_id").alias("example_id"), F.col("text").alias("description"), code.alias("code"), "embedding"
+    return t.embeddings.join(t.documents, F.col("vec_id") == F.col("doc_id"), "left").select(
+        F.col("vec_id").alias("example_id"), F.coalesce("text", F.lit("")).alias("description"), code.alias("code"), "embedding"
     )
 
 

@@ -115,15 +115,19 @@ def running_revenue(
 ) -> DataFrame:
     """Daily revenue per region with its running total.
 
-    Revenue is added up per region and day before the window, which so holds one row per day.
+    Orders are added up per customer and day before the join, so a customer with very many of them meets it as
+    one row a day; then per region and day before the window, which so holds one row per day.
     ``nation`` and ``region`` are fixed-size lookups (25 and 5 rows at every scale).
     """
     places = nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"])
+    per_customer = orders.groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("order_date")).agg(
+        F.sum(money("o_totalprice")).alias("spent")
+    )
     daily = (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("r_name", F.col("o_orderdate").cast("date").alias("order_date"))
-        .agg(F.sum(money("o_totalprice")).alias("amount"))
+        .groupBy("r_name", "order_date")
+        .agg(F.sum("spent").alias("amount"))
     )
     so_far = (
         Window.partitionBy("r_name").orderBy("order_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -201,16 +205,9 @@ def yearly_growth(lineitem: DataFrame, part: DataFrame) -> DataFrame:
         .groupBy("p_type", "fiscal_year")
         .agg(total(F.col("amount")).alias("revenue"))
     )
-    by_year = Window.partitionBy("p_type").orderBy("fiscal_year")
-    prior = F.col("prev_year_revenue")
-    return (
-        yearly.withColumn("prev_year_revenue", F.lag("revenue").over(by_year))
-        .withColumn(
-            "yoy_growth_pct",
-            F.when(prior.isNotNull() & (prior != 0), (F.col("revenue") - prior) / prior * 100),
-        )
-        .orderBy("p_type", "fiscal_year")
-    )
+    before = F.lag("revenue").over(Window.partitionBy("p_type").orderBy("fiscal_year"))
+    growth = F.try_divide(F.col("revenue") - before, before) * 100
+    return yearly.select("*", before.alias("revenue_before"), growth.alias("growth_pct")).orderBy("p_type", "fiscal_year")
 
 
 def order_summary(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
@@ -319,24 +316,18 @@ def stock_alert(
     part: DataFrame, lineitem: DataFrame, since: Column | None = None,
     stock_factor: int = 2, reorder_point: int = 20,
 ) -> DataFrame:
-    """Stock left after open lines since a day (90 days ago), flagged when below the reorder point."""
-    since = days_ago(90) if since is None else since
-    pending = (
-        lineitem.filter((F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= since))
-        .groupBy("l_partkey")
-        .agg(F.sum(money("l_quantity")).cast("double").alias("pending_qty"))
-    )
-    return (
-        part.join(pending, part["p_partkey"] == pending["l_partkey"], "left")
-        .fillna(0, subset=["pending_qty"])
-        .withColumn("current_stock", F.col("p_size") * stock_factor)
-        .withColumn("available", F.col("current_stock") - F.col("pending_qty"))
-        .withColumn(
-            "stock_status", F.when(F.col("available") < reorder_point, "LOW").otherwise("OK")
-        )
-        .select("p_partkey", "p_name", "current_stock", "pending_qty", "available", "stock_status")
-        .orderBy("available", "p_partkey")
+    """Stock less what open lines (of all days, or from ``since`` on) will take, LOW below the reorder point."""
+    still_open = F.col("l_linestatus") == "O"
+    if since is not None:
+        still_open &= F.col("l_shipdate") >= since
+    taken = lineitem.filter(still_open).groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        total("l_quantity").alias("open_qty")
     )
+    stock, pending = F.col("p_size") * stock_factor, F.coalesce("open_qty", F.lit(0.0))
+    return part.join(taken, "p_partkey", "left").select(
+        "p_partkey", "p_name", stock.alias("stock"), pending.alias("open_qty"), (stock - pending).alias("free"),
+        F.when(stock - pending < reorder_point, "LOW").otherwise("OK").alias("alert"),
+    ).orderBy("free", "p_partkey")
 
 
 def union_distinct(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -352,29 +343,26 @@ def order_slice(orders: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+# Names of value tiers with the least spend of each, highest first; who reaches none is in REST_TIER.
+VALUE_TIERS = (("A", 10000.0), ("B", 5000.0), ("C", 1000.0))
+REST_TIER = "D"
+
+
 def lifetime_value(
-    customer: DataFrame, orders: DataFrame,
-    platinum: float = 10000, gold: float = 5000, silver: float = 1000,
+    customer: DataFrame, orders: DataFrame, tiers: Sequence[tuple[str, float]] = VALUE_TIERS, rest: str = REST_TIER
 ) -> DataFrame:
-    """Spend, order count and first/last order per customer, and the value tier."""
-    spend = orders.groupBy("o_custkey").agg(
-        total("o_totalprice").alias("lifetime_value"),
-        F.count("*").alias("order_count"),
-        F.min("o_orderdate").cast("date").alias("first_order"),
-        F.max("o_orderdate").cast("date").alias("last_order"),
-    )
-    value = F.col("lifetime_value")
-    return (
-        customer.join(spend, customer["c_custkey"] == spend["o_custkey"], "left")
-        .fillna(0, subset=["lifetime_value", "order_count"])
-        .withColumn(
-            "tier",
-            F.when(value >= platinum, "Platinum").when(value >= gold, "Gold").when(value >= silver, "Silver")
-            .otherwise("Bronze"),
-        )
-        .select("c_custkey", "c_name", "lifetime_value", "order_count", "first_order", "last_order", "tier")
-        .orderBy(F.desc("lifetime_value"), "c_custkey")
+    """Spend, number of orders and their first and last day for every customer, with the tier that the spend reaches."""
+    bought = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count("*").alias("n"), total("o_totalprice").alias("sum"),
+        F.min("o_orderdate").alias("since"), F.max("o_orderdate").alias("until"),
     )
+    spent = F.coalesce("sum", F.lit(0.0))
+    reached = [F.when(spent >= least, name) for name, least in tiers]
+    return customer.join(bought, "c_custkey", "left").select(
+        "c_custkey", "c_name", spent.alias("spend"), F.coalesce("n", F.lit(0)).alias("n_orders"),
+        F.to_date("since").alias("since"), F.to_date("until").alias("until"),
+        F.coalesce(*reached, F.lit(rest)).alias("value_tier"),
+    ).orderBy(F.desc("spend"), "c_custkey")
 
 
 def filtered_orders(orders: DataFrame, priority: str, since: str) -> DataFrame:
@@ -460,17 +448,13 @@ def cohort_retention(orders: DataFrame) -> DataFrame:
     )
 
 
-def split_name(part: DataFrame, domain: str = "example.com") -> DataFrame:
-    """First and last word of a name and the address made of them; one-word names give null."""
-    words = F.split("p_name", " ")
-    return (
-        part.withColumn("first_name", F.get(words, F.lit(0)))
-        .withColumn("last_name", F.get(words, F.lit(1)))
-        .withColumn(
-            "email",
-            F.concat(F.lower("first_name"), F.lit("."), F.lower("last_name"), F.lit("@" + domain)),
-        )
-        .select("p_partkey", "p_name", "first_name", "last_name", "email")
+def name_addresses(part: DataFrame, domain: str = "example.com") -> DataFrame:
+    """The first two words of a name, and an address of the form first.second@domain; null where there is no second word."""
+    two = F.slice(F.split("p_name", " "), 1, 2)
+    address = F.when(F.size(two) == 2, F.lower(F.array_join(two, ".")))
+    return part.select(
+        "p_partkey", "p_name", F.get(two, F.lit(0)).alias("word_1"), F.get(two, F.lit(1)).alias("word_2"),
+        F.concat(address, F.lit(f"@{domain}")).alias("address"),
     )
 
 

@@ -247,11 +247,12 @@ def _responses(responses: DataFrame) -> DataFrame:
 
 
 @query("u01_embedding_function", f"""
-SELECT example_id, sum(n) AS n_words, count(*) AS n_buckets FROM (
+SELECT conv_id * 1000000 + turn AS example_id, coalesce(n_words, 0) AS n_words, coalesce(n_buckets, 0) AS n_buckets
+FROM conversations LEFT JOIN (SELECT example_id, sum(n) AS n_words, count(*) AS n_buckets FROM (
   SELECT example_id, {_MD5_BUCKET} AS bucket, count(*) AS n FROM (
     SELECT example_id, unnest({sql_tokens('description')}) AS w FROM (
       SELECT conv_id * 1000000 + turn AS example_id, text AS description FROM conversations))
-  GROUP BY ALL) GROUP BY 1""")
+  GROUP BY ALL) GROUP BY 1) ON example_id = conv_id * 1000000 + turn""")
 def u01(t: Tables) -> DataFrame:
     """A user-supplied embedding model on every conversation turn."""
     texts = t.conversations.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("example_id"), "text")
@@ -260,7 +261,7 @@ def u01(t: Tables) -> DataFrame:
     return vectors.select(
         "example_id", total.cast("bigint").alias("n_words"),
         F.size(F.filter("embedding", lambda x: x > 0)).alias("n_buckets"),
-    ).filter("n_words > 0")
+    )
 
 
 _TURNS_SQL = f"""
