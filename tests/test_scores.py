@@ -61,10 +61,19 @@ def test_token_scores_on_random_pairs(spark, cases):
     check(spark, cases)
 
 
-def test_texts_shuffle_once_and_ngrams_never(spark):
+def test_scores_are_a_projection(spark):
     df = spark.createDataFrame([(1, "a", "b")], "example_id bigint, code string, candidate string")
-    plan = token_scores(df)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Window" not in plan
+    for scored in (token_scores(df), E.evaluate(df, keep=())):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_pairs_that_share_an_id_are_scored_apart(spark):
+    df = spark.createDataFrame([(1, "a b c d e", "a b c d e"), (1, "a b c d e", "x"), (2, "a b c d e", None)],
+                               "example_id bigint, code string, candidate string")
+    rows = E.evaluate(df, keep=()).collect()
+    assert sorted(r.bleu for r in rows) == [0.0, 0.0, pytest.approx(1.0)]
+    assert E.aggregate(E.evaluate(df, keep=())).first().exact_match == pytest.approx(1 / 3)
 
 
 def pairs(spark):

@@ -75,14 +75,14 @@ def evaluate(
     candidate: str = "candidate",
     epsilon: float = 0.1,
 ) -> DataFrame:
-    """One row per example with all scores, plus the columns to ``keep``.
+    """One row per pair with all scores, plus the columns to ``keep``: a projection, which reads ``pairs`` once.
 
-    The row scores are taken before the join, so only numbers and ``keep`` travel there.
-    ``pairs`` is read twice: join stored predictions, not a running model.
+    A null candidate scores like an empty one.
     """
-    by_row = row_scores(pairs, [key, *keep], reference, candidate)
-    by_token = token_scores(pairs, key, reference, candidate, epsilon)
-    return by_row.join(by_token, key).select(
+    texts = pairs.withColumn(candidate, F.coalesce(candidate, F.lit("")))
+    scores = ["exact_match", "operation_coverage", "structural_similarity"]
+    by_row = row_scores(texts, [*dict.fromkeys([key, *keep, reference, candidate])], reference, candidate)
+    return token_scores(by_row, [*dict.fromkeys([key, *keep, *scores])], reference, candidate, epsilon).select(
         key, *keep, "bleu", "unigram_precision", "exact_match", "operation_coverage", "structural_similarity"
     )
 

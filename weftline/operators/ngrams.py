@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,48 +13,48 @@ from weftline.functions.text import tokens
 MAX_N = 4
 
 
+def _matches(reference: Column, candidate: Column) -> Column:
+    """Grams of ``candidate`` matched in ``reference``: clipped to its counts, and all whose gram occurs there at all.
+
+    Both lists are sorted into one, a gram's reference entries before its candidate entries, and read once.
+    """
+    entry = lambda side: lambda gram: F.struct(gram.alias("gram"), F.lit(side).alias("side"))
+    entries = F.sort_array(F.concat(F.transform(reference, entry(0)), F.transform(candidate, entry(1))))
+
+    def step(so_far: Column, e: Column) -> Column:
+        same, asked = so_far["gram"].eqNullSafe(e["gram"]), e["side"]
+        held = F.when(same, so_far["held"]).otherwise(F.lit(0)) + (1 - asked)
+        used = F.when(same, so_far["used"]).otherwise(F.lit(0)) + asked
+        return F.struct(
+            e["gram"].alias("gram"), held.alias("held"), used.alias("used"),
+            (so_far["clipped"] + F.when((asked == 1) & (used <= held), 1).otherwise(0)).alias("clipped"),
+            (so_far["known"] + F.when((asked == 1) & (held > 0), 1).otherwise(0)).alias("known"),
+        )
+
+    zero = F.struct(F.lit(None).cast("string").alias("gram"), *[F.lit(0).alias(c) for c in ("held", "used", "clipped", "known")])
+    return F.aggregate(entries, zero, step, lambda s: F.struct(s["clipped"].alias("clipped"), s["known"].alias("known")))
+
+
 def ngram_overlap(
-    pairs: DataFrame, key: str = "example_id", reference: str = "code", candidate: str = "candidate"
+    pairs: DataFrame, keep: Sequence[str] = ("example_id",), reference: str = "code", candidate: str = "candidate"
 ) -> DataFrame:
-    """Per pair: token counts, clipped n-gram matches for n = 1..4, and known tokens.
-
-    The texts are shuffled once, by ``key``. N-grams are made after that and counted where they
-    are: grouping by (key, n, gram) and then by key both accept the existing partitioning, so
-    the roughly eightfold larger n-gram rows never reach a shuffle. ``key`` is unique, so
-    partitions stay even; a long text only means more rows for a spillable hash aggregate. The
-    number of partitions is spelled out (the session's shuffle partitions), because adaptive
-    execution would merge them by the size of the texts, which is a fraction of the work.
+    """Per pair: the columns to ``keep``, token counts, clipped n-gram matches for n = 1..4, and known tokens.
+
+    Both texts of a pair are in one row, so nothing is shuffled and rows that share an id stay apart. Null counts as empty.
     """
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = (
-        pairs.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in dict.fromkeys((reference, candidate))])
-        .repartition(partitions, key)
-        .select(key, tokens(reference).alias("ref_1"), tokens(candidate).alias("cand_1"))
+    words = pairs.select(
+        *keep, *[tokens(F.coalesce(c, F.lit(""))).alias(f"_{side}_1") for side, c in (("ref", reference), ("cand", candidate))]
     )
     for side in ("ref", "cand"):
         for n in range(2, MAX_N + 1):
-            words = NGram(n=n, inputCol=f"{side}_1", outputCol=f"{side}_{n}").transform(words)
-    sets = [
-        F.struct(F.lit(n).alias("n"), F.lit(i).alias("in_cand"), F.col(f"{side}_{n}").alias("grams"))
-        for i, side in enumerate(("ref", "cand"))
-        for n in range(1, MAX_N + 1)
-    ]
-    exploded = words.select(key, F.inline(F.array(*sets))).select(
-        key, "n", "in_cand", F.explode_outer("grams").alias("gram")
-    )
-    counted = exploded.groupBy(key, "n", "gram").agg(
-        F.sum(F.when(F.col("gram").isNotNull(), F.col("in_cand"))).alias("in_cand"), F.count("gram").alias("in_both")
+            words = NGram(n=n, inputCol=f"_{side}_1", outputCol=f"_{side}_{n}").transform(words)
+    found = words.select(
+        *keep, F.size("_ref_1").alias("ref_len"), F.size("_cand_1").alias("cand_len"),
+        *[_matches(F.col(f"_ref_{n}"), F.col(f"_cand_{n}")).alias(f"_{n}") for n in range(1, MAX_N + 1)],
     )
-    in_ref, in_cand, one = F.col("in_both") - F.col("in_cand"), F.col("in_cand"), F.col("n") == 1
-
-    def total(condition: Column, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
-
-    return counted.groupBy(key).agg(
-        total(one, in_ref).alias("ref_len"),
-        total(one, in_cand).alias("cand_len"),
-        *[total(F.col("n") == n, F.least(in_ref, in_cand)).alias(f"match_{n}") for n in range(1, MAX_N + 1)],
-        total(one & (in_ref > 0), in_cand).alias("known_tokens"),
+    return found.select(
+        *keep, "ref_len", "cand_len", *[F.col(f"_{n}.clipped").alias(f"match_{n}") for n in range(1, MAX_N + 1)],
+        F.col("_1.known").alias("known_tokens"),
     )
 
 
@@ -74,10 +76,11 @@ def unigram_precision() -> Column:
 
 
 def token_scores(
-    pairs: DataFrame, key: str = "example_id", reference: str = "code", candidate: str = "candidate",
+    pairs: DataFrame, key: str | Sequence[str] = "example_id", reference: str = "code", candidate: str = "candidate",
     epsilon: float = 0.1,
 ) -> DataFrame:
-    """(key, bleu, unigram_precision) of each pair."""
-    return ngram_overlap(pairs, key, reference, candidate).select(
-        key, bleu(epsilon).alias("bleu"), unigram_precision().alias("unigram_precision")
+    """The key column or columns, bleu and unigram_precision of each pair."""
+    keep = [key] if isinstance(key, str) else list(key)
+    return ngram_overlap(pairs, keep, reference, candidate).select(
+        *keep, bleu(epsilon).alias("bleu"), unigram_precision().alias("unigram_precision")
     )

@@ -209,14 +209,20 @@ def e01(t: Tables) -> DataFrame:
     return example_pairs(t).select("example_id", M.exact_match("code", "candidate").alias("exact_match"))
 
 
+def spread_pairs(t: Tables) -> DataFrame:
+    """The pairs dealt over the session's tasks: n-grams are much work for few bytes, and a small file is one task."""
+    pairs = example_pairs(t)
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "example_id")
+
+
 @query("e02_bleu4", with_scores(f"SELECT example_id, round(bleu, {DIGITS}) AS bleu FROM scores"))
 def e02(t: Tables) -> DataFrame:
-    return token_scores(example_pairs(t)).select("example_id", F.round("bleu", DIGITS).alias("bleu"))
+    return token_scores(spread_pairs(t)).select("example_id", F.round("bleu", DIGITS).alias("bleu"))
 
 
 @query("e03_unigram_precision", with_scores("SELECT example_id, unigram_precision FROM scores"))
 def e03(t: Tables) -> DataFrame:
-    return token_scores(example_pairs(t)).select("example_id", "unigram_precision")
+    return token_scores(spread_pairs(t)).select("example_id", "unigram_precision")
 
 
 @query("e04_operations", with_scores("SELECT example_id, array_to_string(ops_r, ',') AS operations FROM parts"))
@@ -264,7 +270,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query("e08_aggregate", with_scores(f"SELECT {_MEANS_SQL} FROM scores"))
 def e08(t: Tables) -> DataFrame:
-    return _rounded(E.aggregate(E.evaluate(example_pairs(t))), *E.METRICS)
+    return _rounded(E.aggregate(E.evaluate(spread_pairs(t))), *E.METRICS)
 
 
 @query("e09_unmatched_ids", with_pairs("""
@@ -275,7 +281,7 @@ FROM corpus e FULL JOIN (
 ON e.example_id = p.example_id"""))
 def e09(t: Tables) -> DataFrame:
     """Variant-4 predictions carry a wrong id: both sides of each such pair are flagged."""
-    pairs = example_pairs(t)
+    pairs = spread_pairs(t)
     wrong = F.when(F.col("variant") == 4, F.col("example_id") + 500000).otherwise(F.col("example_id"))
     predictions = pairs.select(wrong.alias("example_id"), F.col("candidate").alias("code"))
     return E.pair_by_id(pairs.select("example_id", "code"), predictions, on_mismatch="flag").select(
@@ -287,7 +293,7 @@ def e09(t: Tables) -> DataFrame:
 SELECT ordinal, example_id, md5(code) AS code, md5(candidate) AS candidate FROM (
   SELECT *, row_number() OVER (ORDER BY example_id) - 1 AS ordinal FROM corpus)"""))
 def e10(t: Tables) -> DataFrame:
-    pairs = example_pairs(t)
+    pairs = spread_pairs(t)
     predictions = dense_ordinal(pairs.select("example_id", "candidate"), "example_id").select(
         "ordinal", F.col("candidate").alias("code")
     )
@@ -301,7 +307,7 @@ def e10(t: Tables) -> DataFrame:
 SELECT example_id, description, round(bleu, {DIGITS}) AS bleu, unigram_precision, exact_match, operation_coverage,
   structural_similarity FROM scores"""))
 def e11(t: Tables) -> DataFrame:
-    return _rounded(E.evaluate(example_pairs(t)), "bleu")
+    return _rounded(E.evaluate(spread_pairs(t)), "bleu")
 
 
 @query("e12_self_baseline", with_pairs("""
@@ -310,7 +316,7 @@ SELECT round(avg(CASE WHEN n >= 4 THEN 1 WHEN n = 0 THEN 0 ELSE pow(0.1, (4 - n)
 FROM (SELECT len(words) AS n FROM corpus)"""))
 def e12(t: Tables) -> DataFrame:
     """A copy scores 1 everywhere, but BLEU gives texts of n < 4 tokens only 0.1^((4-n)/4)."""
-    return _rounded(E.aggregate(E.evaluate(E.self_baseline(example_pairs(t)))), *E.METRICS)
+    return _rounded(E.aggregate(E.evaluate(E.self_baseline(spread_pairs(t)))), *E.METRICS)
 
 
 @query("e13_report", with_scores("""
@@ -327,12 +333,12 @@ means AS (
   UNION ALL SELECT 3, 'operation_coverage', avg(operation_coverage) FROM scores
   UNION ALL SELECT 4, 'structural_similarity', avg(structural_similarity) FROM scores)"""))
 def e13(t: Tables) -> DataFrame:
-    return E.report(stored(E.evaluate(example_pairs(t)), "results"))
+    return E.report(stored(E.evaluate(spread_pairs(t)), "results"))
 
 
 def _two_approaches(t: Tables) -> DataFrame:
     """The same examples twice: candidates as they are, and the reference itself."""
-    pairs = example_pairs(t)
+    pairs = spread_pairs(t)
     first = E.evaluate(pairs).withColumn("approach", F.lit("rag"))
     second = E.evaluate(E.self_baseline(pairs)).withColumn("approach", F.lit("finetune"))
     return first.unionByName(second)
@@ -353,14 +359,14 @@ def e14(t: Tables) -> DataFrame:
 @query("e15_quality_gate", with_scores(f"""
 SELECT {_MEANS_SQL}, avg(operation_coverage) > 0.85 AS passed FROM scores"""))
 def e15(t: Tables) -> DataFrame:
-    return _rounded(E.quality_gate(E.aggregate(E.evaluate(example_pairs(t)))), *E.METRICS)
+    return _rounded(E.quality_gate(E.aggregate(E.evaluate(spread_pairs(t)))), *E.METRICS)
 
 
 @query("e16_promotion", with_scores(f"""
 SELECT round(avg(operation_coverage), {DIGITS}) AS current_score, 1::DOUBLE AS challenger_score,
   avg(operation_coverage) < 1 AS promote FROM scores"""))
 def e16(t: Tables) -> DataFrame:
-    pairs = example_pairs(t)
+    pairs = spread_pairs(t)
     current = E.aggregate(E.evaluate(pairs))
     challenger = E.aggregate(E.evaluate(E.self_baseline(pairs)))
     return _rounded(E.promotion_check(current, challenger), "current_score", "challenger_score")
