@@ -97,9 +97,36 @@ def test_index_vectors(spark):
         R.build_index(mixed).collect()
 
 
-def test_vectors_of_other_length_stop_the_search(spark):
-    with pytest.raises(Exception, match="length"):
-        R.search(frame(spark, np.eye(3)), frame(spark, np.eye(4), "query_id")).collect()
+@pytest.mark.parametrize("way", WAYS)
+@pytest.mark.parametrize("bad_first", [True, False])
+def test_bad_queries_are_named_and_the_others_keep_their_hits(spark, way, bad_first):
+    bad = [(100, None), (101, []), (102, [1.0]), (103, [float("nan"), 0.0, 0.0]), (104, [None, 1.0, 0.0]), (105, [float("inf"), 0.0, 0.0])]
+    good = [(i, [float(x) for x in row]) for i, row in enumerate(np.eye(3))]
+    queries = spark.createDataFrame(bad + good if bad_first else good + bad, "query_id bigint, embedding array<float>").coalesce(1)
+    index = frame(spark, np.eye(3))
+    assert {q: e[0] for q, e in found(R.search(index, queries, 3, **WAYS[way])).items()} == {0: 0, 1: 1, 2: 2}
+    errors = {r.query_id: r.error for r in R.rejected_queries(index, queries).collect()}
+    assert sorted(errors) == [q for q, _ in bad] and "length 1, expected 3" in errors[102] and errors[100] == "no vector"
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_index_vectors_that_are_not_numbers_hide_no_others(spark, way):
+    vectors = np.random.default_rng(5).normal(size=(200, 4))
+    broken = vectors.copy()
+    broken[:3] = np.nan
+    got = found(R.search(frame(spark, broken).coalesce(1), frame(spark, vectors, "query_id"), 3, **WAYS[way]))
+    assert got == {q: [e + 3 for e in ids] for q, ids in brute_force(vectors[3:], vectors, 3).items()}
+
+
+def test_an_index_takes_vectors_of_one_length_whatever_comes_first(spark, tmp_path):
+    schema = "example_id bigint, embedding array<float>, description string, code string"
+    for rows in ([(1, None), (2, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], [(1, [float("nan")])]):
+        with pytest.raises(Exception, match="vector"):
+            R.build_index(spark.createDataFrame([(*r, "d", "c") for r in rows], schema)).collect()
+    path = str(tmp_path / "index")
+    write_index(R.build_index(spark.createDataFrame([(1, [1.0, 2.0], "d", "c")], schema)), path)
+    with pytest.raises(Exception, match="expected 2"):
+        write_index(R.build_index(spark.createDataFrame([(2, [1.0, 2.0, 3.0], "d", "c")], schema)), path, append=True)
 
 
 def test_index_table_and_reindex(spark, tmp_path):

@@ -54,23 +54,35 @@ def l2_normalize(v: Column | str) -> Column:
 # -- index ---------------------------------------------------------------------------------------
 
 
+def vector_problem(v: Column | str, length: int | None = None) -> Column:
+    """What keeps a vector from being searched, or null: it is missing, empty, not of ``length``, or has a null or non-finite element."""
+    v = _col(v)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    other = F.lit(False) if length is None else F.size(v) != length
+    return (
+        F.when(v.isNull(), "no vector")
+        .when(F.size(v) == 0, "empty vector")
+        .when(other, F.format_string(f"vector length %d, expected {length}", F.size(v)))
+        .when(~finite, "vector with a null or non-finite element")
+    )
+
+
 def vector_length(df: DataFrame, embedding: str = "embedding") -> int | None:
-    """Length of some vector of the table, or None when it is empty."""
-    row = df.select(F.size(embedding).alias("n")).first()
+    """Length of a usable vector of the table, or None when there is none."""
+    row = df.filter(vector_problem(embedding).isNull()).select(F.size(embedding).alias("n")).first()
     return None if row is None else row.n
 
 
-def same_length(v: Column | str, length: int) -> Column:
-    """The vector itself; any other length stops the job."""
+def same_length(v: Column | str, length: int | None) -> Column:
+    """The vector itself; one that cannot be searched, or of any other length, stops the job."""
     v = _col(v)
-    message = F.format_string("vector length %d, expected " + str(length), F.size(v))
-    return F.when(F.size(v) == length, v).otherwise(F.raise_error(message).cast("array<float>"))
+    problem = vector_problem(v, length)
+    return F.when(problem.isNull(), v).otherwise(F.raise_error(problem).cast("array<float>"))
 
 
 def build_index(examples: DataFrame, embedding: str = "embedding") -> DataFrame:
     """Index rows (example_id, description, code, embedding): unit vectors of one length."""
-    length = vector_length(examples, embedding)
-    vector = F.col(embedding) if length is None else same_length(embedding, length)
+    vector = same_length(embedding, vector_length(examples, embedding))
     return examples.select("example_id", "description", "code", l2_normalize(vector).alias("embedding"))
 
 
@@ -223,7 +235,10 @@ def _search(
     """Hits, and whether their number is bounded by what fits ``broadcast_bytes``."""
     k = k or DEFAULT_K
     index, queries = index.select("example_id", "embedding"), queries.select("query_id", "embedding")
-    length = vector_length(queries)
+    length = vector_length(index)
+    # An index is checked when it is built; rows of a wrong length in another one stop the tasks that meet them.
+    index = index.filter(vector_problem("embedding").isNull())
+    queries = queries.filter(vector_problem("embedding", length).isNull())
     if not length:
         empty = "query_id bigint, rank int, example_id bigint, score double"
         return index.sparkSession.createDataFrame([], empty), True
@@ -246,6 +261,7 @@ def search(
 
     ``index`` has (example_id, embedding) and ``queries`` (query_id, embedding), all unit
     vectors of one length. ``k`` of None or 0 means 3; fewer index rows give fewer hits.
+    Queries that cannot be searched have no hits and change nothing for the others; ``rejected_queries`` names them.
 
     As many queries as fit ``broadcast_bytes``, together with their k hits, go to all executors
     and the index is read once, without a shuffle. At most one row more than fits is ever fetched to find out. More
@@ -254,6 +270,12 @@ def search(
     return _search(index, queries, k, broadcast_bytes, cell_rows)[0]
 
 
+def rejected_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, error) of the queries that ``search`` leaves out."""
+    problem = vector_problem("embedding", vector_length(index))
+    return queries.select("query_id", problem.alias("error")).filter("error is not null")
+
+
 def search_examples(
     index: DataFrame,
     queries: DataFrame,

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.operators.retrieval import same_length, vector_length
+
 INDEX_SCHEMA = "example_id bigint, description string, code string, embedding array<float>"
 
 
 def write_index(index: DataFrame, path: str, append: bool = False) -> None:
-    """Write (or extend) the index; missing folders are created."""
+    """Write (or extend) the index; missing folders are created. Vectors of another length than the stored ones stop the job."""
+    spark = index.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if append and folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        length = vector_length(read_index(spark, path))
+        if length is not None:
+            index = index.withColumn("embedding", same_length("embedding", length))
     index.write.mode("append" if append else "overwrite").parquet(path)
 
 
