@@ -21,6 +21,8 @@ FREQUENT, OFTEN = 1 << 20, 8
 COUNTED_TOKENS = 1 << 22
 # Further global orders: shingles by their hash under these salts.
 ORDERS = (0x5BD1E995, 0x27D4EB2F)
+# Chance orders of a list, and members of a list that are put in order at a time.
+CHANCES, TOGETHER = 3, 512
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -174,6 +176,28 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
+def _in_several(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, class, n, root, length) of the lists that lie in several components."""
+    marked = lists.select("token", "class", "n").join(labels, "class")
+    mixed = stored(marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("entries")).filter("low <> high"), "mixed")
+    return stored(join_hot(marked, mixed.select("token", "entries", F.col("entries").alias("length")), ["token"], "entries", ["class"]), "mixed-lists")
+
+
+def _by_chance(mixed: DataFrame) -> DataFrame:
+    """Pairs (x, y, times): in several chance orders of each list, each class is paired with the one before it, and keeps one for each order.
+
+    A list is ordered in parts, which every order deals anew, and size ranges are shifted from order to order. A list of two has one order.
+    """
+    order = F.explode(F.when(F.col("length") > 2, F.array(*map(F.lit, range(CHANCES)))).otherwise(F.array(F.lit(0))))
+    drawn = mixed.withColumn("order", order).withColumn("draw", F.xxhash64("class", "order")).withColumn(
+        "range", F.floor(F.log("n") / float(np.log(LEAST[1] / LEAST[0])) + F.col("order") / F.lit(CHANCES)).cast("int")).withColumn(
+        "part", F.pmod("draw", F.ceil(F.col("length") / F.lit(TOGETHER))).cast("int"))
+    at = Window.partitionBy("token", "order", "range", "part").orderBy("draw")
+    met = drawn.select("order", F.lag("class").over(at).alias("x"), F.lag("root").over(at).alias("rx"), F.col("class").alias("y"), "root").filter("rx <> root")
+    times = met.groupBy("order", "x", "y").agg(F.count("*").alias("times"))
+    return times.groupBy("order", "y").agg(F.max(F.struct("times", "x")).alias("best")).select("best.x", "y", "best.times")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """For each document the smallest doc_id that links reach; documents link at a Jaccard similarity of 0.75 of their 5-word shingles.
 
@@ -181,7 +205,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     is worked on. First order: rare shingles by hash, then frequent ones by count. The prefixes of the classes
     under it are dealt out by shingle. In each shingle's list, sorted by set size, every class meets the
     first of its size range (frequent shingles: by shares, whose first ones meet, too), and is paired with the one it meets most often. Pairs that are similar make up components. Shingles whose
-    list then lies in one component are done. In the other lists, classes of different components are paired, if their sizes fit and
+    list then lies in one component are done. In the other lists, neighbours in a few chance orders are paired likewise, which joins what is
+    left of groups of near copies. In the lists that still hold several components, classes of different components are paired, if their sizes fit and
     their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
     each further order must meet, too. So no link between components is lost, and groups of near copies give no more pairs than rows.
 
@@ -218,10 +243,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     near = _check(stored(likely.select("a", "b").distinct(), "star-pairs"), texts)
     roots = stored(components(near), "star-roots")
 
-    labels = classes.join(roots, classes["rep"] == roots["node"], "left").select(F.col("c1").alias("class"), F.coalesce("root", "rep").alias("root")).groupBy("class").agg(F.min("root").alias("root"))
-    marked = lists.select("token", "class", "n").distinct().join(labels, "class")
-    mixed = stored(marked.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("entries")).filter("low <> high"), "mixed")
-    marked = stored(join_hot(marked, mixed.select("token", "entries"), ["token"], "entries", ["class"]), "mixed-lists")
+    labels = lambda roots: classes.join(roots, classes["rep"] == roots["node"], "left").select(
+        F.col("c1").alias("class"), F.coalesce("root", "rep").alias("root")).groupBy("class").agg(F.min("root").alias("root"))
+    mixed = _in_several(lists.select("token", "class", "n").distinct(), labels(roots))
+    likely = named(_by_chance(mixed)).filter(_size_fits("na", "nb") & (F.col("times") * 4 >= _least_shared("na", "nb")))
+    near = near.unionByName(_check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), texts))
+    marked = _in_several(mixed, labels(stored(components(near), "chance-roots")))
     pair = marked.select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(
         marked.select("token", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "token").filter(
         (F.col("rx") < F.col("ry")) & _size_fits("nx", "ny"))
