@@ -183,6 +183,19 @@ def test_pages():
     assert html_text.main_text("") == "" and html_text.main_text("<p>un<b>closed") == "unclosed"
 
 
+def test_pages_with_teaser_articles():
+    body = " ".join(f"<p>Paragraph {i} of the story, which goes on for quite a while and has a good many words before it ends.</p>" for i in range(9))
+    teasers = "".join(f"<article><h3><a href='/{i}'>Teaser {i}</a></h3><p>Read on.</p></article>" for i in range(6))
+    want = " ".join(f"Paragraph {i} of the story, which goes on for quite a while and has a good many words before it ends." for i in range(9))
+    got = html_text.main_text(f"<html><body><div><h1>Head</h1>{body}</div><div>{teasers}</div></body></html>")
+    assert got.startswith(f"Head {want}") and "Teaser 3" not in got
+    # An article that is marked and holds most of the text is the bound, short lines and all.
+    assert html_text.main_text(f"<body><p>Outside text of some length, but not of much.</p><article><h1>Head</h1>{body}<p>End.</p></article></body>") == f"Head {want} End."
+    # A short article stays beside longer text outside of it.
+    assert html_text.main_text(f"<body><article><p>Short.</p></article>{'<br>' * 9}<div>{body}</div></body>") == f"Short. {want}"
+    assert html_text.main_text(f"<body><div>{body}</div></body>") == want
+
+
 def test_packing(docs):
     rows = packing.pack_documents(docs, tokenizer("word_bpe_49k.json")).collect()
     assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)

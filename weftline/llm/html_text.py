@@ -31,7 +31,7 @@ SIGMA = 2.0
 class _Block:
     __slots__ = ("parts", "tags", "foreign", "main", "heading", "linked")
 
-    def __init__(self, tags: int, foreign: bool, main: bool, heading: bool) -> None:
+    def __init__(self, tags: int, foreign: bool, main: int, heading: bool) -> None:
         self.parts: list[str] = []
         self.tags, self.foreign, self.main, self.heading, self.linked = tags, foreign, main, heading, 0
 
@@ -45,7 +45,7 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, silent, foreign
-        self.silent = self.foreign = self.main = self.links = 0
+        self.silent = self.foreign = self.main = self.links = self.boxes = 0
         self.blocks: list[_Block] = []
         self.tags = 0
         self.heading = False
@@ -74,6 +74,7 @@ class _Lines(HTMLParser):
         self.open.append((tag, silent, foreign))
         self.silent += silent
         self.foreign += foreign
+        self.boxes += tag in MAIN and not self.main
         self.main += tag in MAIN
         self.links += tag == "a"
         if tag in HEADINGS:
@@ -111,7 +112,7 @@ class _Lines(HTMLParser):
         if self.broken or not self.blocks:
             if not data.strip():
                 return
-            self.blocks.append(_Block(self.tags, bool(self.foreign), bool(self.main), self.heading))
+            self.blocks.append(_Block(self.tags, bool(self.foreign), self.boxes if self.main else 0, self.heading))
             self.tags, self.broken = 0, False
         block = self.blocks[-1]
         block.parts.append(data)
@@ -142,26 +143,36 @@ def _cluster(ratios: np.ndarray) -> np.ndarray:
     return ratios >= min(cut, ratios.std(), ratios.max())
 
 
+def _region(lines: list[tuple[_Block, str]]) -> np.ndarray:
+    """Which lines are the content: the dense region, or the marked articles where one of them holds as much text as is dense outside."""
+    plain = np.array([max(0, len(t) - 2 * b.linked) for b, t in lines], float)
+    ratios = plain / np.array([max(1, b.tags) for b, _ in lines])
+    dense = _cluster(smoothed(ratios)) & (ratios.max() > 0)
+    boxes = np.array([b.main for b, _ in lines])
+    inside = np.bincount(boxes, weights=plain)
+    if len(inside) > 1 and inside[1:].max() >= plain[dense & (boxes == 0)].sum():
+        return boxes > 0
+    keep = np.zeros(len(lines), bool)
+    at = np.flatnonzero(dense)
+    if len(at):
+        first, last = int(at[0]), int(at[-1])
+        while first and lines[first - 1][0].heading:
+            first -= 1
+        for i in range(first, last + 1):
+            b, t = lines[i]
+            keep[i] = b.linked * 2 <= len(t) or b.heading
+    # A marked article that is dense somewhere stays whole, and so does the only one of a page.
+    marked = set(boxes[boxes > 0].tolist())
+    return keep | np.isin(boxes, [k for k in marked if len(marked) == 1 or dense[boxes == k].any()])
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
     lines = [(b, b.text()) for b in parser.blocks]
     lines = [(b, t) for b, t in lines if t and not b.foreign]
-    if any(b.main for b, _ in lines):
-        lines = [(b, t) for b, t in lines if b.main]
-        return " ".join(t for _, t in lines)
-    if not lines:
-        return ""
-    ratios = np.array([max(0, len(t) - 2 * b.linked) / max(1, b.tags) for b, t in lines], float)
-    dense = _cluster(smoothed(ratios))
-    if ratios.max() <= 0:
-        return ""
-    at = np.flatnonzero(dense)
-    first, last = int(at[0]), int(at[-1])
-    while first and lines[first - 1][0].heading:
-        first -= 1
-    return " ".join(t for b, t in lines[first : last + 1] if not b.linked * 2 > len(t) or b.heading)
+    return " ".join(t for (_, t), k in zip(lines, _region(lines)) if k) if lines else ""
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -169,9 +180,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Each page goes through the streaming parser once. It is cut at block elements into lines, each with its characters and the tags before it.
     Parts that are no article by their element, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-    comments) are left out. Where the page marks an article, that is the content region. Elsewhere the ratio of text (less links) to tags is
-    smoothed by a Gaussian, split into two clusters by a threshold, and the region from the first to the last dense line, with the heading
-    before it, is taken. Character references are decoded, white space in a line becomes one space, and lines are joined by one space.
+    comments) are left out. On every page the ratio of text (less links) to tags is smoothed by a Gaussian and split into two clusters by a
+    threshold. If an element that marks an article holds as much text as the dense lines outside of all such elements, the marked ones are the
+    content region. Otherwise (no article, or teasers alone) the region from the first to the last dense line, with the heading before it, is taken,
+    with the whole of each marked article that is dense somewhere or the only one. Character references are decoded, white space in a line becomes one space, and lines are joined by one space.
 
     Null or empty html gives an empty text. Broken markup is read as far as it goes. Repeated rows are treated alike; no rows give no
     rows; other columns stay. There is no shuffle, and a page is the most that is held at a time.
