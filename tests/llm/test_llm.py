@@ -196,6 +196,18 @@ def test_pages_with_teaser_articles():
     assert html_text.main_text(f"<body><div>{body}</div></body>") == want
 
 
+def test_pages_lose_no_sections():
+    for head in ("<head><title>t</title><body>", "<head><title>t</title><meta charset=x>", "<head><style>p{}</style>"):
+        assert html_text.main_text(f"<html>{head}<article><p>All of the text.</p></article>") == "All of the text."
+    assert html_text.main_text("<head><title>t</title>Plain text") == "Plain text"
+    inner = "<section id='related-work'><h2 id='social'>Work</h2><p>Others.</p></section><h2 class='section-header'>End</h2><p id='notice'>Last.</p>"
+    assert html_text.main_text(f"<body><article><p>First.</p>{inner}<div class='related'>More</div></article></body>") == "First. Work Others. End Last."
+    words = "Words of a paragraph that goes on for long enough to be dense, whatever stands beside it on the page. "
+    link = "<p><a href='/x'>A whole line of links in the text</a></p>"
+    got = html_text.main_text(f"<body><div>{link}{f'<p>{words}</p>' * 6}{link}{f'<p>{words}</p>' * 6}{link}</div></body>")
+    assert got == " ".join([words.strip()] * 6 + ["A whole line of links in the text"] + [words.strip()] * 6)
+
+
 def test_packing(docs):
     rows = packing.pack_documents(docs, tokenizer("word_bpe_49k.json")).collect()
     assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)

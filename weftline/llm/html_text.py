@@ -17,7 +17,10 @@ APART = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
-# Words in a class or id that mark a part as none of the article's, and roles that do.
+# What can stand in a head; anything else ends one that is open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+# Elements that hold parts of a page. Words in their class or id mark a part as none of the article's, and roles do so in any element.
+CONTAINERS = frozenset("aside center details div dl fieldset figure footer form header nav ol section table ul".split())
 FOREIGN = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer discussion disqus footer "
     "header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay paywall popup promo promoted promotion reactions "
@@ -59,14 +62,18 @@ class _Lines(HTMLParser):
         names = {k: v or "" for k, v in attrs}
         if names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or re.search(r"display:\s*none", names.get("style", "")):
             return True
-        found = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{names.get('class', '')} {names.get('id', '')}").lower()))
+        if tag not in CONTAINERS:
+            return False
+        named = names.get("class", "") + ("" if self.main and tag == "section" else " " + names.get("id", ""))
+        found = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
         return bool(found & FOREIGN) and not (found & OWN and not found & {"ad", "ads", "comment", "comments", "related", "sidebar"})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag not in INLINE:
             self.broken = True
-        if tag in VOID:
+        self._end_head(tag)
+        if tag in VOID or tag == "head" and any(t != "html" for t, _, _ in self.open):
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS) and self.open and self.open[-1][0] == tag:
             self._close(tag)
@@ -80,6 +87,11 @@ class _Lines(HTMLParser):
         if tag in HEADINGS:
             self.heading = True
 
+    def _end_head(self, tag: str | None) -> None:
+        """A body ends an open head, and so does what stands right in it and cannot."""
+        if self.open and (tag == "body" or self.open[-1][0] == "head" and tag not in IN_HEAD):
+            self._close("head")
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag not in SILENT | APART:
             self.tags += 1
@@ -107,6 +119,8 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.silent and data.strip():
+            self._end_head(None)
         if self.silent:
             return
         if self.broken or not self.blocks:
@@ -158,9 +172,13 @@ def _region(lines: list[tuple[_Block, str]]) -> np.ndarray:
         first, last = int(at[0]), int(at[-1])
         while first and lines[first - 1][0].heading:
             first -= 1
-        for i in range(first, last + 1):
-            b, t = lines[i]
-            keep[i] = b.linked * 2 <= len(t) or b.heading
+        # Links at the ends are none of the content; those between dense lines are.
+        links = [b.linked * 2 > len(t) and not b.heading for b, t in lines]
+        while first < last and links[first]:
+            first += 1
+        while first < last and links[last]:
+            last -= 1
+        keep[first : last + 1] = not links[first]
     # A marked article that is dense somewhere stays whole, and so does the only one of a page.
     marked = set(boxes[boxes > 0].tolist())
     return keep | np.isin(boxes, [k for k in marked if len(marked) == 1 or dense[boxes == k].any()])
@@ -183,9 +201,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     comments) are left out. On every page the ratio of text (less links) to tags is smoothed by a Gaussian and split into two clusters by a
     threshold. If an element that marks an article holds as much text as the dense lines outside of all such elements, the marked ones are the
     content region. Otherwise (no article, or teasers alone) the region from the first to the last dense line, with the heading before it, is taken,
-    with the whole of each marked article that is dense somewhere or the only one. Character references are decoded, white space in a line becomes one space, and lines are joined by one space.
+    with the whole of each marked article that is dense somewhere or the only one. Links are left out at the ends of the region, and kept
+    within. Words of a class or id are looked at in containers alone, and not the ids of sections in an article. Character references are decoded, white space in a line becomes one space, and lines are joined by one space.
 
-    Null or empty html gives an empty text. Broken markup is read as far as it goes. Repeated rows are treated alike; no rows give no
+    Null or empty html gives an empty text. A head without an end tag ends at the body or at the first thing that no head can hold. Broken markup is read as far as it goes. Repeated rows are treated alike; no rows give no
     rows; other columns stay. There is no shuffle, and a page is the most that is held at a time.
     """
     @F.pandas_udf("string")
