@@ -137,6 +137,17 @@ def test_similar_documents_edge_cases(docs):
     assert got[5]["component_id"] == 4 and got[9]["component_id"] == 4 and got[None]["component_id"] is None
 
 
+def test_similar_documents_without_or_with_repeated_ids(spark):
+    words = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    one, two, three = words("one"), words("two"), words("three")
+    near = lambda ws: " ".join([*ws[:-1], "edit"])
+    texts = [(None, " ".join(one)), (None, " ".join(two)), (None, " ".join(two)), (5, near(one)), (6, near(two)), (7, " ".join(three)), (7, near(one) + " more"), (9, near(three))]
+    for rows in (texts, texts[::-1]):
+        found = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+        got = sorted((r["doc_id"] or 0, r["component_id"]) for r in found)
+        assert got == [(0, 5), (0, 6), (0, 6), (5, 5), (6, 6), (7, 5), (7, 7), (9, 7)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 101), (101, 100)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))

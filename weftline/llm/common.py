@@ -27,6 +27,12 @@ def document_key(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long"), F.lit(LOWEST))
 
 
+def text_keys(text: str | Column = "text") -> list[Column]:
+    """128 bits of a text as two columns h1 and h2: with the document key they tell rows apart, unless id and text are the same."""
+    c = whole_text(text)
+    return [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import document_key, join_hot, partitions, stored, whole_text
+from weftline.llm.common import LOWEST, document_key, join_hot, partitions, stored, text_keys, whole_text
 from weftline.llm.components import components
 from weftline.llm.wordhash import chunks, mix, runs, words
 
@@ -21,6 +21,8 @@ FREQUENT, OFTEN = 1 << 20, 8
 COUNTED_TOKENS = 1 << 22
 # Further global orders: shingles by their hash under these salts.
 ORDERS = (0x5BD1E995, 0x27D4EB2F)
+# What tells rows apart: the id, and the hashes of the text.
+ROW = ["doc", "h1", "h2"]
 # Chance orders of a list, and members of a list that are put in order at a time.
 CHANCES, TOGETHER = 3, 512
 
@@ -62,10 +64,10 @@ def _rows_of(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> p
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size and digest of each document."""
+    """Set size and digest of each row."""
     for lot in _lots(batches):
-        rows = [(r[0], len(s), *_digest(s)) for r, s in zip(lot, shingle_sets([r[1] for r in lot]))]
-        yield _rows_of([("doc", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())], rows)
+        rows = [(r[0], *r[2:], len(s), *_digest(s)) for r, s in zip(lot, shingle_sets([r[1] for r in lot]))]
+        yield _rows_of([(c, pa.int64()) for c in (*ROW, "n", "c1", "c2")], rows)
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -158,12 +160,17 @@ def _least_shared(a: str, b: str) -> Column:
     return F.greatest(need - F.greatest(rest(a), rest(b)), F.lit(1))
 
 
-def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similar pairs of (a, b), which name documents; both texts of a pair meet in one row, hot documents over many tasks."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("pairs"))
-    held = stored(texts.join(needed.hint("shuffle_hash"), "doc"), "pair-texts")
-    left = join_hot(pairs, held.select(F.col("doc").alias("a"), F.col("text").alias("text_a"), "pairs"), ["a"], "pairs", ["b"])
-    both = join_hot(left, held.select(F.col("doc").alias("b"), F.col("text").alias("text_b"), "pairs"), ["b"], "pairs", ["a"])
+def _check(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Similar pairs of (a, b), which name classes; both texts of a pair, one for each class, meet in one row, hot classes over many tasks."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
+    needed = stored(classes.select("node", "rep.*", "same").join(needed.hint("shuffle_hash"), "node"), "pair-classes")
+    # Rows of one id and text stand for each other, and however many there are, one of them is taken.
+    found = join_hot(texts.withColumn("_at", F.monotonically_increasing_id()), needed.withColumn("_same", F.col("same")).hint("shuffle_hash"), ROW, "_same", ["_at"])
+    if (needed.agg(F.max("same")).first()[0] or 0) > 1:
+        found = found.groupBy("node").agg(F.first("text").alias("text"), F.first("pairs").alias("pairs"))
+    held = stored(found.select("node", "text", "pairs"), "pair-texts")
+    left = join_hot(pairs, held.select(F.col("node").alias("a"), F.col("text").alias("text_a"), "pairs"), ["a"], "pairs", ["b"])
+    both = join_hot(left, held.select(F.col("node").alias("b"), F.col("text").alias("text_b"), "pairs"), ["b"], "pairs", ["a"])
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "similar")
 
 
@@ -198,26 +205,20 @@ def _by_chance(mixed: DataFrame) -> DataFrame:
     return times.groupBy("order", "y").agg(F.max(F.struct("times", "x")).alias("best")).select("best.x", "y", "best.times")
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """For each document the smallest doc_id that links reach; documents link at a Jaccard similarity of 0.75 of their 5-word shingles.
+def similar_rows(docs: DataFrame) -> DataFrame:
+    """(doc, h1, h2, n, node) for every row of ``docs``: the row's key, the size of its set, and the component of its class (null without shingles).
 
-    Returns doc_id, n_shingles and component_id, for every row. Documents with equal sets form a class, and one of each class
-    is worked on. First order: rare shingles by hash, then frequent ones by count. The prefixes of the classes
-    under it are dealt out by shingle. In each shingle's list, sorted by set size, every class meets the
-    first of its size range (frequent shingles: by shares, whose first ones meet, too), and is paired with the one it meets most often. Pairs that are similar make up components. Shingles whose
-    list then lies in one component are done. In the other lists, neighbours in a few chance orders are paired likewise, which joins what is
-    left of groups of near copies. In the lists that still hold several components, classes of different components are paired, if their sizes fit and
-    their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
-    each further order must meet, too. So no link between components is lost, and groups of near copies give no more pairs than rows.
-
-    Null, empty or blank texts have no shingles and stay alone. Fewer than five words are one shingle. Rows that repeat a
-    doc_id link if their texts do, and share its component; a null doc_id is below all others (component null). No rows give no rows; other
-    columns are not read.
+    See ``similar_documents``, which says the same by document ids.
     """
     spark = docs.sparkSession
     texts = docs.select(document_key().alias("doc"), whole_text().alias("text"))
-    sizes = stored(texts.mapInArrow(_summaries, "doc long, n long, c1 long, c2 long"), "set-sizes")
-    classes = stored(sizes.filter("n > 0").groupBy("c1", "c2").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.count("*").alias("docs")), "classes")
+    keyed = texts.select("doc", "text", *text_keys())
+    sizes = stored(keyed.mapInArrow(_summaries, "doc long, h1 long, h2 long, n long, c1 long, c2 long"), "set-sizes")
+    same = sizes.filter("n > 0").groupBy(*ROW, "c1", "c2").agg(F.first("n").alias("n"), F.count("*").alias("same"))
+    classes = same.groupBy("c1", "c2").agg(
+        F.min(F.struct(*ROW, "same")).alias("rep"), F.first("n").alias("n"), F.sum("same").alias("docs"))
+    classes = classes.select("c1", "c2", F.col("rep").dropFields("same").alias("rep"), "rep.same", "n", "docs", F.monotonically_increasing_id().alias("node"))
+    classes = stored(classes, "classes")
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts))
 
     entries = texts.mapInArrow(_prefixes(frequent), "token long, class long, n int, hot boolean")
@@ -237,28 +238,53 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     stars = stars.filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("times"))
     stars = stars.groupBy("y").agg(F.max(F.struct("times", "x")).alias("best")).select("best.x", "y", "best.times")
     named = lambda pairs: pairs.join(
-        classes.select(F.col("c1").alias("x"), F.col("rep").alias("a"), F.col("n").alias("na")), "x").join(
-        classes.select(F.col("c1").alias("y"), F.col("rep").alias("b"), F.col("n").alias("nb")), "y").filter("a <> b")
+        classes.select(F.col("c1").alias("x"), F.col("node").alias("a"), F.col("n").alias("na")), "x").join(
+        classes.select(F.col("c1").alias("y"), F.col("node").alias("b"), F.col("n").alias("nb")), "y").filter("a <> b")
     likely = named(stars).filter(_size_fits("na", "nb") & (F.col("times") * 4 >= _least_shared("na", "nb")))
-    near = _check(stored(likely.select("a", "b").distinct(), "star-pairs"), texts)
+    near = _check(stored(likely.select("a", "b").distinct(), "star-pairs"), keyed, classes)
     roots = stored(components(near), "star-roots")
 
-    labels = lambda roots: classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        F.col("c1").alias("class"), F.coalesce("root", "rep").alias("root")).groupBy("class").agg(F.min("root").alias("root"))
+    labels = lambda roots: classes.join(roots, "node", "left").select(
+        F.col("c1").alias("class"), F.coalesce("root", "node").alias("root")).groupBy("class").agg(F.min("root").alias("root"))
     mixed = _in_several(lists.select("token", "class", "n").distinct(), labels(roots))
     likely = named(_by_chance(mixed)).filter(_size_fits("na", "nb") & (F.col("times") * 4 >= _least_shared("na", "nb")))
-    near = near.unionByName(_check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), texts))
+    near = near.unionByName(_check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), keyed, classes))
     marked = _in_several(mixed, labels(stored(components(near), "chance-roots")))
     pair = marked.select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(
         marked.select("token", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "token").filter(
         (F.col("rx") < F.col("ry")) & _size_fits("nx", "ny"))
     shared = pair.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("times")).filter(F.col("times") >= _least_shared("nx", "ny"))
     rest = named(shared.select("x", "y"))
-    more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), texts)
+    more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), keyed, classes)
 
     final = stored(components(near.unionByName(more)), "roots")
-    found = classes.join(final, classes["rep"] == final["node"], "left").select("c1", "c2", "docs", F.coalesce("root", "rep").alias("root"))
-    grouped = join_hot(sizes.filter("n > 0"), stored(found, "class-roots"), ["c1", "c2"], "docs", ["doc"]).select("doc", "n", "root")
-    alone = sizes.filter("n = 0").select("doc", "n", F.col("doc").alias("root"))
-    plain = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    return grouped.unionByName(alone).select(plain("doc").alias("doc_id"), F.col("n").alias("n_shingles"), plain("root").alias("component_id"))
+    found = classes.join(final, "node", "left").select("c1", "c2", "docs", F.coalesce("root", "node").alias("node"))
+    numbered = sizes.filter("n > 0").withColumn("_at", F.monotonically_increasing_id())
+    grouped = join_hot(numbered, stored(found, "class-roots"), ["c1", "c2"], "docs", ["_at"]).select(*ROW, "n", "node")
+    return grouped.unionByName(sizes.filter("n = 0").select(*ROW, "n", F.lit(None).cast("long").alias("node")))
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """For each document the smallest doc_id that links reach; documents link at a Jaccard similarity of 0.75 of their 5-word shingles.
+
+    Returns doc_id, n_shingles and component_id, for every row. Documents with equal sets form a class, and one of each class
+    is worked on. First order: rare shingles by hash, then frequent ones by count. The prefixes of the classes
+    under it are dealt out by shingle. In each shingle's list, sorted by set size, every class meets the
+    first of its size range (frequent shingles: by shares, whose first ones meet, too), and is paired with the one it meets most often. Pairs that are similar make up components. Shingles whose
+    list then lies in one component are done. In the other lists, neighbours in a few chance orders are paired likewise, which joins what is
+    left of groups of near copies. In the lists that still hold several components, classes of different components are paired, if their sizes fit and
+    their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
+    each further order must meet, too. So no link between components is lost, and groups of near copies give no more pairs than rows.
+
+    Null, empty or blank texts have no shingles and stay alone. Fewer than five words are one shingle. Rows are
+    told apart by id and text: rows that repeat a doc_id, or have none, link if their texts do, and each is in the component of its own text. A
+    component that holds rows with and without an id has the smallest id; one of rows without id alone has null. No rows give no rows; other columns are not read.
+    """
+    rows = stored(similar_rows(docs), "row-roots")
+    # The id of a component is the smallest that a row of it has; none has one where no row has an id.
+    named = F.when(F.col("doc") != LOWEST, F.col("doc"))
+    least = stored(rows.filter("node is not null").groupBy("node").agg(F.min(named).alias("least"), F.count("*").alias("rows")), "least-ids")
+    numbered = rows.filter("node is not null").withColumn("_at", F.monotonically_increasing_id())
+    linked = join_hot(numbered, least, ["node"], "rows", ["_at"]).select("doc", "n", "least")
+    alone = rows.filter("node is null").select("doc", "n", named.alias("least"))
+    return linked.unionByName(alone).select(named.alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
