@@ -91,6 +91,21 @@ def test_passages_against_brute_force(spark):
     assert sorted(map(tuple, got)) == _passages(texts, 20)
 
 
+def test_passages_without_or_with_repeated_ids(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared = words("shared", 30)
+    texts = [(None, f"{words('a', 40)} {shared}"), (None, f"{words('b', 70)}"), (None, f"{shared} {words('c', 40)}"), (None, shared), (None, shared),
+             (3, f"{words('d', 50)} {shared}"), (3, words("e", 90)), (4, f"{words('e', 25)} {words('f', 60)}"), (4, words("g", 90)), (4, words("g", 90))]
+    got = substring_dedup.dedup_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"]) for r in got) == sorted((d or 0, len(t.split())) for d, t in texts)
+    kept = [r["text"] for r in got]
+    # The passage stays once; no other words are lost; repeats of an id and its text are treated alike.
+    assert sum(shared in t for t in kept) == 1 and sum("shared3 " in t for t in kept) == 1
+    for name, n, times in (("a", 40, 1), ("b", 70, 1), ("c", 40, 1), ("d", 50, 1), ("e", 90, 1), ("f", 60, 1), ("g", 90, 2)):
+        assert sum(words(name, n) in t for t in kept) == times
+    assert sum(r["n_removed"] for r in got) == 4 * 30 + 25
+
+
 def test_passages_edge_cases(docs):
     got = {r["doc_id"]: r for r in substring_dedup.dedup_passages(docs).collect()}
     assert got[1]["n_words"] == 0 and got[5]["n_removed"] == 30_000 and got[9]["text"] == "end"

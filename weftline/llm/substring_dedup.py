@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import document_key, join_hot, stored, whole_text
+from weftline.llm.common import LOWEST, document_key, join_hot, stored, whole_text
 from weftline.llm.wordhash import chunks, mix, powers, runs, words
 
 NODE_WORDS = 5
 
+# What tells rows apart, in the order in which one is earlier: the id, and the hash of the text.
+ROW = ["doc", "row"]
+
 _ODD = 0xD6E8FEB86659FD93
 
 
@@ -80,13 +83,16 @@ def _lots(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
     yield from chunks(list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))), 1)
 
 
+def _row_of(lot: list[tuple], text: np.ndarray) -> dict[str, pa.Array]:
+    return {"doc": pa.array(np.array([r[0] for r in lot], np.int64)[text]), "row": pa.array(np.array([r[2] for r in lot], np.int64)[text])}
+
+
 def _stretch_rows(span: int, k: int, counting: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in _lots(batch):
                 s = Stretches([r[1] for r in lot], span, k)
-                docs = np.array([r[0] for r in lot], np.int64)[s.text]
-                columns = {"node": _signed(s.node), "doc": pa.array(docs)}
+                columns = {"node": _signed(s.node), **_row_of(lot, s.text)}
                 if counting:
                     columns["content"] = _signed(s.content)
                 else:
@@ -104,15 +110,14 @@ def _edge_rows(span: int, k: int):
         for batch in batches:
             for lot in _lots(batch):
                 s = Stretches([r[1] for r in lot], span, k)
-                wanted = np.concatenate([np.array(r[2], np.int64) + b for r, b in zip(lot, s.begins)])
+                wanted = np.concatenate([np.array(r[3], np.int64) + b for r, b in zip(lot, s.begins)])
                 i = np.flatnonzero(np.isin(s.first, wanted))
                 count = s.count[i]
                 at = np.repeat(s.first[i] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 text, node = np.repeat(s.text[i], count), np.repeat(s.node[i], count)
                 fresh = s.first_here(node, s.edges[at], text=text)
-                docs = np.array([r[0] for r in lot], np.int64)[text]
                 yield pa.RecordBatch.from_pydict({
-                    "node": _signed(node), "edge": _signed(s.edges[at]), "doc": pa.array(docs),
+                    "node": _signed(node), "edge": _signed(s.edges[at]), **_row_of(lot, text),
                     "first": pa.array((at - s.begins[text]).astype(np.int32)), "fresh": pa.array(fresh),
                 })
 
@@ -120,17 +125,19 @@ def _edge_rows(span: int, k: int):
 
 
 def _rest(span: int):
-    """The words that no repeated edge covers. Repeated edges come as first word and number."""
+    """The words that no repeated edge covers, none of a text that is a repeat as a whole. Repeated edges come as first word and number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word = re.compile(r"[^\x20\x09-\x0D]+")
         for batch in batches:
             out = []
-            for doc_id, text, first, count in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for doc_id, text, first, count, repeat in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 found = word.findall(text)
                 n = len(found)
-                if first:
+                if repeat and n >= span:
+                    found = []
+                elif first:
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, np.minimum(first, n), 1)
                     np.add.at(cover, np.minimum(np.array(first) + np.array(count) + span - 1, n), -1)
@@ -147,37 +154,43 @@ def _rest(span: int):
 def dedup_passages(docs: DataFrame, span: int = 20, k: int = NODE_WORDS) -> DataFrame:
     """Each document without the words of runs of ``span`` words that also start earlier.
 
-    Earlier: in a smaller doc_id, or in the same document at an earlier word. Runs are judged on the input. Returns doc_id,
+    Earlier: in a smaller doc_id, or in the same document at an earlier word. Texts that share an id, or have none, are documents of their own,
+    in the order of their hashes. Runs are judged on the input. Returns doc_id,
     n_words, n_removed and text (the words that stay, joined by one space).
 
     About one node in (span - k + 2) / 2 words is shuffled, as numbers. Nodes that occur once end there; those with one stretch are decided
-    by their smallest doc_id; the rest is opened into single edges, which are counted likewise. Nodes and edges that very many documents hold are
+    by their first document; the rest is opened into single edges, which are counted likewise. Nodes and edges that very many documents hold are
     counted with partial sums and joined over many tasks. Keys have 128 bits (node and content, node and edge).
 
-    Null text: no words. Fewer words than ``span``: nothing removed. Rows that repeat a doc_id stand for one document: they are not held
-    against each other, and words marked in one go from all. A null doc_id is below all others. No rows
+    Null text: no words. Fewer words than ``span``: nothing removed. Rows that repeat a doc_id and its text stand for one
+    document and are treated alike; of equal texts without an id, one is the first, and the others repeat it. A null doc_id is below all others. No rows
     give no rows; other columns are not read.
     """
-    texts = docs.select(document_key().alias("doc"), whole_text().alias("text"))
-    occurring = texts.mapInArrow(_stretch_rows(span, k, True), "node long, doc long, content long")
+    texts = docs.select(document_key().alias("doc"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("row"))
+    if texts.groupBy(*ROW).agg(F.count("*").alias("copies")).filter("copies > 1").isEmpty():
+        texts = texts.withColumn("copies", F.lit(1))
+    else:
+        texts = stored(texts.groupBy(*ROW).agg(F.first("text").alias("text"), F.count("*").alias("copies")).select("doc", "text", "row", "copies"), "texts")
+    occurring = texts.mapInArrow(_stretch_rows(span, k, True), "node long, doc long, row long, content long")
     nodes = stored(
         occurring.groupBy("node").agg(
-            F.count("*").alias("rows"), F.min("doc").alias("least"), (F.min("content") != F.max("content")).alias("branches"),
+            F.count("*").alias("rows"), F.min(F.struct(*ROW)).alias("least"), (F.min("content") != F.max("content")).alias("branches"),
         ).filter("rows > 1"), "nodes")
-    placed = texts.mapInArrow(_stretch_rows(span, k, False), "node long, doc long, first int, count int, fresh boolean")
-    met = join_hot(placed, nodes, ["node"], "rows", ["doc", "first"])
+    placed = texts.mapInArrow(_stretch_rows(span, k, False), "node long, doc long, row long, first int, count int, fresh boolean")
+    met = join_hot(placed, nodes, ["node"], "rows", [*ROW, "first"])
     marks = stored(
-        met.filter("branches or doc > least or not fresh").groupBy("doc").agg(
+        met.filter("branches or struct(doc, row) > least or not fresh").groupBy(*ROW).agg(
             F.collect_list(F.when(F.col("branches"), F.col("first"))).alias("open"),
             F.collect_list(F.when(~F.col("branches"), F.struct("first", "count"))).alias("gone"),
         ), "marks")
-    opened = texts.join(marks.filter(F.size("open") > 0).select("doc", "open").hint("shuffle_hash"), "doc").select("doc", "text", "open")
-    edges = opened.mapInArrow(_edge_rows(span, k), "node long, edge long, doc long, first int, fresh boolean")
+    opened = texts.join(marks.filter(F.size("open") > 0).select(*ROW, "open").hint("shuffle_hash"), ROW).select("doc", "text", "row", "open")
+    edges = opened.mapInArrow(_edge_rows(span, k), "node long, edge long, doc long, row long, first int, fresh boolean")
     edges = stored(edges, "edges")
-    first = stored(edges.groupBy("node", "edge").agg(F.count("*").alias("rows"), F.min("doc").alias("least")).filter("rows > 1"), "first-edges")
-    again = join_hot(edges, first, ["node", "edge"], "rows", ["doc", "first"]).filter("doc > least or not fresh")
-    single = stored(again.groupBy("doc").agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("gone")), "single-marks")
-    gone = marks.select("doc", "gone").unionByName(single).groupBy("doc").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    whole = texts.join(gone.hint("shuffle_hash"), "doc", "left").select(
-        F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc"), "text", F.col("gone.first").alias("first"), F.col("gone.count").alias("count"))
+    first = stored(edges.groupBy("node", "edge").agg(F.count("*").alias("rows"), F.min(F.struct(*ROW)).alias("least")).filter("rows > 1"), "first-edges")
+    again = join_hot(edges, first, ["node", "edge"], "rows", [*ROW, "first"]).filter("struct(doc, row) > least or not fresh")
+    single = stored(again.groupBy(*ROW).agg(F.collect_list(F.struct("first", F.lit(1).alias("count"))).alias("gone")), "single-marks")
+    gone = marks.select(*ROW, "gone").unionByName(single).groupBy(*ROW).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    whole = texts.join(gone.hint("shuffle_hash"), ROW, "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        F.when(F.col("doc") != LOWEST, F.col("doc")).alias("doc"), "text", F.col("gone.first").alias("first"), F.col("gone.count").alias("count"),
+        ((F.col("doc") == LOWEST) & (F.col("nth") > 1)).alias("repeat"))
     return whole.mapInArrow(_rest(span), "doc_id long, n_words long, n_removed long, text string")
