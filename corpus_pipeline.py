@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored
-from weftline.llm.jaccard_join import similar_documents
+from weftline.llm.common import LOWEST, document_key, stored, text_keys
+from weftline.llm.jaccard_join import ROW, similar_rows
 from weftline.llm.langid import UNDETERMINED, held_out, identify, learn
 from weftline.llm.line_dedup import dedup_lines
 from weftline.llm.packing import pack_documents
@@ -39,9 +39,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.75 similarity connect, the one with the smallest id stays. Of rows with one id, one stays."""
-    found = similar_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of documents that links of 0.75 similarity connect, the one with the smallest id stays (one without id if none has one).
+
+    Documents are rows told apart by id and text: unlike texts under one id, or without one, all stay. Of rows with the same id and text, one stays.
+    """
+    rows = similar_rows(docs)
+    first = F.min(F.struct((F.col("doc") == LOWEST).alias("unnamed"), *ROW)).alias("row")
+    kept = rows.filter("node is not null").groupBy("node").agg(first).select("row.*").drop("unnamed")
+    kept = kept.unionByName(rows.filter("node is null").select(*ROW).distinct())
+    keys = [f"_key_{c}" for c in ROW]
+    once = docs.withColumns(dict(zip(keys, [document_key(), *text_keys()]))).dropDuplicates(keys)
+    return once.join(kept.toDF(*keys), keys, "left_semi").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,6 +280,53 @@ def test_personal_data(docs):
     assert masked[7] == "mail <EMAIL>, ip <IP> and 999.1.1.1, card <CARD>, call <PHONE>" and masked[1] is None
 
 
+def _without_near_copies(rows):
+    """Row numbers that stay of (doc_id, text): the smallest id of each component of rows, rows without words alone."""
+    sets = dict(enumerate(set(zip(w, w[1:], w[2:], w[3:], w[4:])) or ({tuple(w)} if w else set())
+                          for w in (WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for _, t in rows)))
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]) or rows[a][0] == rows[b][0] and (rows[a][1] or "") == (rows[b][1] or ""):
+            root = [root[a] if r == root[b] else r for r in root]
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, []).append(i)
+    return [(min((rows[i][0] is None, rows[i][0] or 0) for i in g), {rows[i] for i in g}) for g in groups.values()]
+
+
+def test_near_duplicates_stage_without_or_with_repeated_ids(spark):
+    words = lambda name: [f"{name}{i}" for i in range(60)]
+    near = lambda name: " ".join([*words(name)[:-1], "edit"])
+    rows = [(None, " ".join(words(c))) for c in "abcdd"] + [(5, near("a")), (5, near("e")), (6, near("e") + " more"), (7, near("f")), (7, " ".join(words("f"))), (8, ""), (9, "")]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    got = sorted(((r["doc_id"] or 0, r["text"][:2]) for r in out))
+    assert got == [(0, "b0"), (0, "c0"), (0, "d0"), (5, "a0"), (5, "e0"), (7, "f0"), (8, ""), (9, "")]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 3 == 1, F.col("doc_id")).otherwise(F.col("doc_id") - F.col("doc_id") % 12)))
+    docs = docs.unionByName(docs.filter("n_chars % 5 = 0"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    before = corpus_pipeline.line_dedup(spark, corpus_pipeline.language_id(spark, docs, ""), "").select("doc_id", "text").collect()
+    groups = _without_near_copies(list(map(tuple, before)))
+    after = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(before, "doc_id long, text string"), "").collect()]
+    assert len(after) == len(groups) and len(set(after)) == len(after)
+    for (unnamed, doc), members in groups:
+        (stays,) = [r for r in after if r in members]
+        assert stays[0] == (None if unnamed else doc)
+    # What is packed in the end is what stays, masked.
+    def packed(rows):
+        return sorted((r["doc_id"] or 0, r["ids_crc32"], r["doc_tokens"], r["start"]) for r in rows.collect())
+
+    masked = pii.mask_pii(spark.createDataFrame(after, "doc_id long, text string"))
+    assert packed(corpus_pipeline.run(spark, str(tmp_path))) == packed(packing.pack_documents(masked, tokenizer("word_bpe_49k.json")))
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "line_dedup", "near_duplicates", "pii", "packing"]
