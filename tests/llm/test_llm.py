@@ -280,6 +280,16 @@ def test_personal_data(docs):
     assert masked[7] == "mail <EMAIL>, ip <IP> and 999.1.1.1, card <CARD>, call <PHONE>" and masked[1] is None
 
 
+def test_iban_before_other_capitals():
+    for iban in ("ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00"):
+        for after in ("", " BIC CAIXESBB", " AB12", " 7", ", X", " EUR 100 und"):
+            assert [text[s:e] for text in [f"IBAN {iban}{after}"] for k, s, e, _ in pii.find_spans(text) if k == "iban"] == [iban], (iban, after)
+    two = "ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034"
+    assert [two[s:e] for k, s, e, _ in pii.find_spans(two) if k == "iban"] == [two[:29], two[30:]]
+    wrong = "AB12 ES91 2100 0418 4502 0005 1332"
+    assert [wrong[s:e] for k, s, e, _ in pii.find_spans(wrong) if k == "iban"] == [wrong[5:]]
+
+
 def _without_near_copies(rows):
     """Row numbers that stay of (doc_id, text): the smallest id of each component of rows, rows without words alone."""
     sets = dict(enumerate(set(zip(w, w[1:], w[2:], w[3:], w[4:])) or ({tuple(w)} if w else set())

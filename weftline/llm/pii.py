@@ -21,6 +21,9 @@ IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# A candidate is cut where a letter or digit is followed by none, to at least this many of them.
+IBAN_CHARS = 12
+IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
 # Words that raise the score of a kind when they stand near a span.
@@ -50,6 +53,19 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Each candidate, or else its longest part up to the end of a group, that has the right check digits. The search goes on behind the first group of one without."""
+    found = IBAN.search(text)
+    while found:
+        start = found.start()
+        ends = [m.end() for m in IBAN_END.finditer(text, start, found.end())]
+        ends = [e for e in ends if len(text[start:e].replace(" ", "")) >= IBAN_CHARS]
+        end = next((e for e in reversed(ends) if mod97(text[start:e])), None)
+        if end:
+            yield start, end
+        found = IBAN.search(text, end or start + 4)
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -75,7 +91,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     yield from (("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")))
     yield from (("card", *m.span()) for m in CARD.finditer(text) if m.end() - m.start() <= 37 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d))
     yield from (("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15)
-    yield from (("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0]))
+    yield from (("iban", s, e) for s, e in _ibans(text))
     yield from (("ssn", *m.span()) for m in SSN.finditer(text))
 
 
