@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import whole_text
 from weftline.llm.exact_dedup import exact_copies
+from weftline.llm.hard_negatives import hard_negatives
 from weftline.llm.html_text import extract_text
+from weftline.llm.impact_search import top_products
 from weftline.llm.jaccard_join import similar_documents
 from weftline.llm.langid import held_out, identify, learn
 from weftline.llm.line_dedup import dedup_lines
@@ -18,6 +20,7 @@ from weftline.llm.pii import BASE_KINDS, find_pii
 from weftline.llm.sentence_pieces import decode, encode
 from weftline.llm.spotsigs import compare_edited, fingerprint
 from weftline.llm.substring_dedup import dedup_passages
+from weftline.llm.turn_repair import repair_reports
 from weftline.sources.catalog import parquet_table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +182,118 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(_joined(of(*BASE_KINDS)), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows of conversations after faults that a checksum of conversation and turn decides on; a row that is dropped stays as a row that is not ``present``."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    draw = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    text = F.when(draw == 1, "").when(draw == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    role = F.when(draw == 4, "user").otherwise(said("role"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (draw != 0).alias("present"), draw.alias("draw"))
+    return rows.withColumn("copy", F.explode(F.when(F.col("draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("draw", "copy")
+
+
+# The checksum by its bits, since DuckDB has no function for it; the cheapest edits by a recursion over the rows of all conversations at once,
+# where each place of the pattern keeps its least (cost, audit) and the repaired text that goes with it.
+OP11_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::UBIGINT) AS bytes FROM conversations),
+bits AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),
+    4294967295::UBIGINT) % 20 AS draw FROM given),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN draw = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM bits WHERE draw <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, left(role, 1) AS initial FROM hurt),
+judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM placed),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id),
+moves(source, target, made) AS (VALUES ('0', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+inserted AS (
+  SELECT source, source AS target, '' AS edits, 0 AS paid, '' AS lines FROM moves
+  UNION ALL SELECT source, target, 'I', 2, made || ':' || chr(10) FROM moves
+  UNION ALL SELECT m.source, k.target, 'II', 4, m.made || ':' || chr(10) || k.made || ':' || chr(10) FROM moves m JOIN moves k ON k.source = m.target),
+steps AS (
+  SELECT j.conv_id, j.pos, i.source, e.target, i.edits || e.edit AS edits, i.paid + e.paid + CASE WHEN e.edit <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END AS paid,
+    i.lines || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN j.role || ':' || j.text || chr(10) ELSE e.made || ':' || j.text || chr(10) END AS lines
+  FROM judged j CROSS JOIN inserted i JOIN (
+    SELECT source, source AS target, 'D' AS edit, 3 AS paid, '' AS made, '' AS initial FROM moves
+    UNION ALL SELECT source, target, 'R', 2, made, '' FROM moves
+    UNION ALL SELECT source, target, 'K', 0, '', target FROM moves
+    UNION ALL SELECT '0', 's', 'K', 0, '', 's') e ON e.source = i.target
+  WHERE (e.edit = 'D' OR j.fault NOT IN ('blank', 'duplicate')) AND (e.edit <> 'K' OR e.initial = j.initial)),
+ways(conv_id, pos, place, best) AS (
+  SELECT conv_id, 0::BIGINT, '0', {'cost': 0, 'audit': '', 'lines': ''} FROM counted
+  UNION ALL
+  SELECT conv_id, pos, target, min({'cost': cost, 'audit': audit, 'lines': lines}) FROM (
+    SELECT w.conv_id, s.pos, s.target, w.best.cost + s.paid AS cost, w.best.audit || s.edits AS audit, w.best.lines || s.lines AS lines
+    FROM ways w JOIN steps s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.pos = w.pos + 1 AND s.source = w.place)
+  GROUP BY conv_id, pos, target),
+ended AS (
+  SELECT w.conv_id, min({'cost': w.best.cost + i.paid, 'audit': w.best.audit || i.edits, 'lines': w.best.lines || i.lines}) AS best
+  FROM ways w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.pos JOIN inserted i ON i.source = w.place AND i.target IN ('0', 'a')
+  GROUP BY w.conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+  coalesce(c.illegal, 0) AS illegal, coalesce(e.best.cost, 0)::BIGINT AS cost, coalesce(e.best.audit, '') AS audit,
+  sha256(coalesce(left(e.best.lines, greatest(length(e.best.lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+@query("op11_turn_repair", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_reports(damaged(parquet_table(spark, folder, "conversations")), F.col("present"))
+
+
+OP13_SQL = r"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""
+
+
+@query("op13_impact_search", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(parquet_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP12_SQL = r"""
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM whole a JOIN whole c ON a.vec_id % 100 = 0 AND a.vec_id IS DISTINCT FROM c.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER best)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """One label in seven is wrong: that of the rows whose id is divisible by 7 is the next one."""
+    vectors = parquet_table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
