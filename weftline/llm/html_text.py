@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -15,6 +16,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template title head svg math iframe object canvas audio video select option datalist textarea button".split())
 APART = frozenset("nav footer aside form menu dialog".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+WITHIN = INLINE | {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 # What can stand in a head; anything else ends one that is open.
@@ -48,6 +50,9 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool]] = []  # tag, silent, foreign
+        # Open elements by name: block elements of the page, and what is open within each block element.
+        self.boxed: Counter[str] = Counter()
+        self.within: list[Counter[str]] = [Counter()]
         self.silent = self.foreign = self.main = self.links = self.boxes = 0
         self.blocks: list[_Block] = []
         self.tags = 0
@@ -73,12 +78,17 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.broken = True
         self._end_head(tag)
-        if tag in VOID or tag == "head" and any(t != "html" for t, _, _ in self.open):
+        if tag in VOID or tag == "head" and len(self.open) != self.boxed["html"]:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", *HEADINGS) and self.open and self.open[-1][0] == tag:
             self._close(tag)
         silent, foreign = tag in SILENT, self._foreign(tag, attrs)
         self.open.append((tag, silent, foreign))
+        if tag in WITHIN:
+            self.within[-1][tag] += 1
+        else:
+            self.boxed[tag] += 1
+            self.within.append(Counter())
         self.silent += silent
         self.foreign += foreign
         self.boxes += tag in MAIN and not self.main
@@ -104,19 +114,22 @@ class _Lines(HTMLParser):
         self._close(tag)
 
     def _close(self, tag: str) -> None:
-        """Close up to the latest element of this name; inline elements don't reach over block ones."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for t, silent, foreign in self.open[i:]:
-                    self.silent -= silent
-                    self.foreign -= foreign
-                    self.main -= t in MAIN
-                    self.links -= t == "a"
-                    self.heading = self.heading and t not in HEADINGS
-                del self.open[i:]
-                return
-            if tag in INLINE | {"p"} and self.open[i][0] not in INLINE | {"p"}:
-                return
+        """Close up to the latest element of this name; inline elements don't reach over block ones. A tag that closes nothing costs nothing."""
+        if not (self.within[-1] if tag in WITHIN else self.boxed)[tag]:
+            return
+        closed = None
+        while closed != tag:
+            closed, silent, foreign = self.open.pop()
+            if closed in WITHIN:
+                self.within[-1][closed] -= 1
+            else:
+                self.within.pop()
+                self.boxed[closed] -= 1
+            self.silent -= silent
+            self.foreign -= foreign
+            self.main -= closed in MAIN
+            self.links -= closed == "a"
+            self.heading = self.heading and closed not in HEADINGS
 
     def handle_data(self, data: str) -> None:
         if self.silent and data.strip():
@@ -205,7 +218,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     within. Words of a class or id are looked at in containers alone, and not the ids of sections in an article. Character references are decoded, white space in a line becomes one space, and lines are joined by one space.
 
     Null or empty html gives an empty text. A head without an end tag ends at the body or at the first thing that no head can hold. Broken markup is read as far as it goes. Repeated rows are treated alike; no rows give no
-    rows; other columns stay. There is no shuffle, and a page is the most that is held at a time.
+    rows; other columns stay. There is no shuffle; a batch of pages is held at a time, and the work on a page grows with its length.
     """
     @F.pandas_udf("string")
     def texts(html: pd.Series) -> pd.Series:
