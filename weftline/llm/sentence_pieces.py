@@ -244,10 +244,10 @@ def encode(text: Column, model: str) -> Column:
 
 
 def decode(ids: Column, model: str) -> Column:
-    """The text of piece ids; null for null. Ids made by ``encode`` give the text back, except that marks in it become spaces."""
+    """The text of piece ids; null for null, and null ids in a list are passed over. Ids made by ``encode`` give the text back, except that marks in it become spaces."""
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
         back = encoder(model).decode
-        return pa.array([None if x is None else back(x.values.to_numpy()) for x in lists], pa.string())
+        return pa.array([back(x.values.drop_null().to_numpy()) if x.is_valid else None for x in lists], pa.string())
 
     return text(ids)
