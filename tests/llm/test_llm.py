@@ -2,12 +2,15 @@
 
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.oracle import compare, connect
 from weftline.llm import exact_dedup, html_text, jaccard_join, langid, line_dedup, packing, pii, sentence_pieces, spotsigs, substring_dedup
@@ -342,3 +345,58 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert names == ["language_id", "line_dedup", "near_duplicates", "pii", "packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_one_row_of_equal_rows_is_kept(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "ab "), (5, "x"), (5, "x"), (5, " x"), (7, None), (8, "")], "doc_id long, text string")
+    out = exact_dedup.exact_copies(rows, F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0).collect()
+    kept = {}
+    for r in out:
+        kept.setdefault(bytes(r["digest"]), []).append(r["kept"])
+    assert sorted(len(k) for k in kept.values()) == [2, 3, 3] and all(sum(k) == 1 for k in kept.values())
+
+
+def test_broken_pages_take_linear_time(spark):
+    for page in ("<div>" * 40_000 + "</section>" * 40_000, "<u><div>" + "<i>" * 40_000 + "</u>" * 40_000, "<html>" * 40_000 + "<head>" * 40_000):
+        began = time.process_time()
+        html_text.main_text(page + "text at last")
+        assert time.process_time() - began < 4
+
+
+def test_end_tags(spark):
+    assert html_text.main_text("<article><p>one <b>two</div> three</b></p><p>four</i> five</p></article>") == "one two three four five"
+    pages = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<article><p>A &amp; b</p></article>", "x"), (3, None, "<article><p>A &amp; b</p></article>", "x")],
+                                  "page_id long, url string, html string, text string")
+    assert [tuple(r) for r in html_text.extract_text(pages).select("page_id", "text").orderBy("page_id").collect()] == [(1, ""), (2, ""), (3, "A & b"), (3, "A & b")]
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_pieces_of_nulls(spark):
+    model = tokenizer("piece_bpe_32k.model")
+    texts = spark.createDataFrame([(None,), ("",), ("Hello  wörld",), ("Hello  wörld",)], "text string")
+    out = texts.select("text", sentence_pieces.encode(F.col("text"), model).alias("ids")).select("text", "ids", sentence_pieces.decode(F.col("ids"), model).alias("back"))
+    rows = out.collect()
+    assert [(r["back"], r["ids"] is None) for r in rows] == [(None, True), ("", False), ("Hello  wörld", False), ("Hello  wörld", False)]
+    holes = spark.createDataFrame([([None, rows[2]["ids"][0], None],)], "ids array<int>")
+    assert isinstance(holes.select(sentence_pieces.decode(F.col("ids"), model)).first()[0], str)
+    assert out.limit(0).count() == 0
+
+
+def test_repeated_rows_are_packed_in_many_groups(spark):
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("some words").alias("text"))
+    out = packing.pack_documents(rows, tokenizer("word_bpe_49k.json"), group_pieces=100)
+    sizes = [r["n"] for r in out.groupBy(F.expr("sequence_id >> 32")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 200
+
+
+def test_language_stage(spark):
+    texts = spark.createDataFrame([(i, "the cat and the dog" if i % 2 else "der Hund und die Katze", "en" if i % 2 else "de") for i in range(60)] + [(None, "the cat", None), (99, "12 34", None)],
+                                  "doc_id long, text string, lang string")
+    # One Python node: a document is predicted once, whatever is filtered and read afterwards.
+    staged = corpus_pipeline.language_id(spark, texts, "")
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert staged.count() == 61 and staged.filter("doc_id = 99").count() == 0
+    # Without labels or without ids nothing is learnt, and nothing is lost.
+    assert corpus_pipeline.language_id(spark, texts.withColumn("lang", F.lit(None).cast("string")), "").count() == 62
+    assert corpus_pipeline.language_id(spark, texts.withColumn("doc_id", F.lit(None).cast("long")), "").count() == 62

@@ -13,8 +13,8 @@ from weftline.llm.common import LOWEST, document_key, join_hot, stored, whole_te
 
 BUCKET_DIGESTS = 1 << 16
 
-INDEX_SCHEMA = "_bucket long, sizes array<long>, bits binary, digests binary, keep array<long>, chars array<long>, copies array<long>"
-GROUP_SCHEMA = "_digest binary, keep_id long, keep_chars long, group_size long, member boolean"
+INDEX_SCHEMA = "_bucket long, sizes array<long>, bits binary, digests binary, keep array<long>, row array<long>, chars array<long>, copies array<long>"
+GROUP_SCHEMA = "_digest binary, keep_id long, keep_row long, group_size long, member boolean"
 
 
 def text_digest(text: Column) -> Column:
@@ -68,39 +68,41 @@ def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(find_slots(words, sizes, bits))
     return pd.DataFrame([{
         "_bucket": key[0], "sizes": sizes, "bits": np.packbits(bits).tobytes(), "digests": b"".join(digests[order]),
-        "keep": pdf["_id"].to_numpy()[order], "chars": pdf["_chars"].to_numpy()[order], "copies": pdf["_n"].to_numpy()[order],
+        "keep": pdf["_id"].to_numpy()[order], "row": pdf["_row"].to_numpy()[order], "chars": pdf["_chars"].to_numpy()[order], "copies": pdf["_n"].to_numpy()[order],
     }])
 
 
 def _probe(key: tuple, new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """Look the new digests up: repeats are merged into their slot, the others come out as groups of their own."""
     digests, n = new["_digest"].to_numpy(), new["_n"].to_numpy(np.int64)
-    ids, chars = new["_id"].to_numpy(np.int64), new["_chars"].to_numpy(np.int64)
+    ids, rows, chars = (new[c].to_numpy(np.int64) for c in ("_id", "_row", "_chars"))
     repeat = np.zeros(len(new), bool)
     parts = []
     if len(index):
-        row = index.iloc[0]
-        bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), count=int(sum(row.sizes))).astype(bool)
-        held = np.frombuffer(row.digests, "V32")
-        keep, most, copies = (np.array(row[c], np.int64) for c in ("keep", "chars", "copies"))
-        slots = find_slots(_words(digests), list(row.sizes), bits) if len(new) else np.zeros(0, np.int64)
+        entry = index.iloc[0]
+        bits = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=int(sum(entry["sizes"]))).astype(bool)
+        held = np.frombuffer(entry["digests"], "V32")
+        keep, kept_row, most, copies = (np.array(entry[c], np.int64) for c in ("keep", "row", "chars", "copies"))
+        slots = find_slots(_words(digests), list(entry["sizes"]), bits) if len(new) else np.zeros(0, np.int64)
         repeat = np.array([s >= 0 and held[s].tobytes() == d for s, d in zip(slots, digests)], bool)
         at = slots[repeat]
-        better = (chars[repeat] > most[at]) | ((chars[repeat] == most[at]) & (ids[repeat] < keep[at]))
+        same = (chars[repeat] == most[at]) & (ids[repeat] == keep[at])
+        better = (chars[repeat] > most[at]) | ((chars[repeat] == most[at]) & (ids[repeat] < keep[at])) | (same & (rows[repeat] < kept_row[at]))
         keep[at] = np.where(better, ids[repeat], keep[at])
+        kept_row[at] = np.where(better, rows[repeat], kept_row[at])
         most[at] = np.where(better, chars[repeat], most[at])
         copies[at] += n[repeat]
-        parts.append(pd.DataFrame({"_digest": [h.tobytes() for h in held], "keep_id": keep, "keep_chars": most, "group_size": copies, "member": True}))
+        parts.append(pd.DataFrame({"_digest": [h.tobytes() for h in held], "keep_id": keep, "keep_row": kept_row, "group_size": copies, "member": True}))
     alone = ~repeat
-    parts.append(pd.DataFrame({"_digest": digests[alone], "keep_id": ids[alone], "keep_chars": chars[alone], "group_size": n[alone], "member": False}))
+    parts.append(pd.DataFrame({"_digest": digests[alone], "keep_id": ids[alone], "keep_row": rows[alone], "group_size": n[alone], "member": False}))
     return pd.concat([p for p in parts if len(p)]) if any(len(p) for p in parts) else parts[0]
 
 
 def _groups(rows: DataFrame, buckets: int) -> DataFrame:
-    """One row per digest: rows, and the winner (most code points, then smallest id). Sums start before the shuffle."""
-    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_doc").alias("d")))
+    """One row per digest: rows, and the winner (most code points, then smallest id, then first row). Sums start before the shuffle."""
+    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_doc").alias("d"), F.col("_at").alias("r")))
     return rows.groupBy("_digest").agg(F.count("*").alias("_n"), best.alias("_best")).select(
-        "_digest", "_n", F.col("_best.d").alias("_id"), (-F.col("_best.c")).alias("_chars"),
+        "_digest", "_n", F.col("_best.d").alias("_id"), F.col("_best.r").alias("_row"), (-F.col("_best.c")).alias("_chars"),
         F.pmod(F.xxhash64("_digest"), F.lit(buckets)).alias("_bucket"))
 
 
@@ -116,22 +118,23 @@ def exact_copies(docs: DataFrame, historical: Column) -> DataFrame:
     copies, are looked up in their bucket and compared byte by byte. Repeats join the slot's group; the others
     form groups of their own. Rows then learn their group; large groups are dealt over many tasks.
 
-    Null text counts as empty, a null doc_id as the smallest (it comes out null). Rows that repeat both doc_id and
-    length of the winner are all marked kept, since nothing tells them apart. No rows give no rows. Only doc_id, text and
+    Null text counts as empty, a null doc_id as the smallest (it comes out null). Of rows that repeat both doc_id and
+    length of the winner, or lack an id alike, one is kept: each row is numbered, and the first one stays. No rows give no rows. Only doc_id, text and
     what ``historical`` names are read, so other columns cannot clash.
     """
     narrow = stored(docs.select(
         document_key().alias("_doc"), F.char_length(whole_text()).cast("long").alias("_chars"),
         text_digest(F.col("text")).alias("_digest"), F.coalesce(historical, F.lit(False)).alias("_old"),
+        F.monotonically_increasing_id().alias("_at"),
     ), "digests")
     buckets = max(1, math.ceil(narrow.count() / BUCKET_DIGESTS))
     index = stored(_groups(narrow.filter("_old"), buckets).groupBy("_bucket").applyInPandas(_build, INDEX_SCHEMA), "digest-index")
     new = _groups(narrow.filter("not _old"), buckets)
     groups = stored(new.groupBy("_bucket").cogroup(index.groupBy("_bucket")).applyInPandas(_probe, GROUP_SCHEMA), "digest-groups")
-    out = join_hot(narrow, groups.withColumn("_weight", F.col("group_size")), ["_digest"], "_weight", ["_doc"])
+    out = join_hot(narrow, groups.withColumn("_weight", F.col("group_size")), ["_digest"], "_weight", ["_at"])
     plain = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
     return out.select(
         plain("_doc").alias("doc_id"), plain("keep_id").alias("keep_id"), "group_size",
-        ((F.col("_doc") == F.col("keep_id")) & (F.col("_chars") == F.col("keep_chars"))).alias("kept"),
+        (F.col("_at") == F.col("keep_row")).alias("kept"),
         F.col("_digest").alias("digest"), F.col("member").alias("in_history"),
     )
