@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ CASES = [
     ('{"description":"a","pyspark_code":"b","complexity":null}', "complexity: not a string"),
     ('{"description":"a","pyspark_code":"b","more":{"x":[1]}}', None),
     ('{"description":[1],"pyspark_code":{}}', "description: not a string; pyspark_code: not a string"),
+    ('{"description":"a","pyspark_code":"b","tables":{"x":1,"x":2}}', "tables: not a list of strings"),
+    ('{"description":{"x":1,"x":2},"pyspark_code":"b","complexity":{"x":1,"x":2}}', "description: not a string; complexity: not a string"),
+    ('{"description":"a","pyspark_code":"b","tables":{"x":{"y":1,"y":2}}}', "not a JSON object"),
+    ('{"description":"a","pyspark_code":"b","t\\u0061bles":[{"x":1,"x":2}]}', "tables: not a list of strings"),
+    ('{"description":"a \\"tables\\" b","pyspark_code":"b","more":{"x":1,"x":2}}', None),
     ('["a"]', "not a JSON object"),
     ("5", "not a JSON object"),
     ("null", "not a JSON object"),
@@ -131,7 +137,7 @@ def test_split_sizes(spark, n, train):
 ])
 def test_ordinals_and_split_of_sparse_positions(spark, spread, width, levels):
     df = spark.range(500).select(F.expr(spread).alias("p")).repartition(7)
-    rows = dense_ordinal(df, "p", width=width, levels=levels).collect()
+    rows = dense_ordinal(df, "p").collect()
     assert [r.ordinal for r in sorted(rows, key=lambda r: r.p)] == list(range(500))
     marked = positional_split(df, "p", 0.25, width=width, levels=levels).collect()
     assert [r.split for r in sorted(marked, key=lambda r: r.p)] == ["train"] * 375 + ["val"] * 125
@@ -139,13 +145,45 @@ def test_ordinals_and_split_of_sparse_positions(spark, spread, width, levels):
 
 def test_ordinals_within_files(spark):
     df = spark.createDataFrame([(f, i) for f in "ba" for i in (9, 3, 25)], "path string, line_num bigint")
-    rows = dense_ordinal(df, "line_num", within=["path"], width=5).orderBy("ordinal").collect()
+    rows = dense_ordinal(df, "line_num", within=["path"]).orderBy("ordinal").collect()
     assert [(r.path, r.line_num, r.ordinal) for r in rows] == [
         ("a", 3, 0), ("a", 9, 1), ("a", 25, 2), ("b", 3, 3), ("b", 9, 4), ("b", 25, 5)]
     split = positional_split(df, "line_num", 0.5, within=["path"], width=5)
     assert {r.path for r in split.filter("split = 'train'").collect()} == {"a"}
 
 
+def test_numbering_is_spread_and_keeps_wide_rows_out_of_windows(spark):
+    """200,000 rows, a third of them in one group: tasks number ranges of narrow rows, and the wide ones only meet their number."""
+    group = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string")))
+    wide = spark.range(0, 200_000, 1, 6).select(group.alias("g"), (F.col("id") * 7).alias("p"), F.repeat(F.lit("wide"), 20).alias("text"))
+    out = dense_ordinal(wide, "p", within=["g"])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and "SinglePartition" not in text
+    rows = out.select("g", "p", "ordinal").toPandas().sort_values(["g", "p"])
+    assert rows["ordinal"].tolist() == list(range(200_000))
+    numbers = re.search(r"ordinals-[0-9a-f]+", "".join(out.inputFiles())).group()
+    narrow = spark.read.parquet(os.path.join(spark.conf.get("spark.checkpoint.dir"), numbers))
+    tasks = [r.n for r in narrow.groupBy("_task").agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) == 8 and max(tasks) < 2 * 200_000 / 8 and "text" not in narrow.columns
+
+
+def test_numbering_of_nothing_and_of_nulls(spark):
+    assert dense_ordinal(spark.range(0), "id").collect() == []
+    df = spark.createDataFrame([(None, 1), ("a", None), ("a", 5)], "g string, p long")
+    assert [tuple(r) for r in dense_ordinal(df, "p", within=["g"]).orderBy("ordinal").collect()] == [(None, 1, 0), ("a", None, 1), ("a", 5, 2)]
+
+
+def test_bad_predictions_are_named(spark, tmp_path):
+    lines = ['{"pyspark_code":"a"}', "", "{broken", '{"other":1}', "5", '{"pyspark_code":7}', '{"pyspark_code":null}', '{"pyspark_code":""}', '{"pyspark_code":"a"} x']
+    path = write(tmp_path, "p.jsonl", "\n".join(lines).encode())
+    rows = jsonl.read_predictions(spark, path, mode="flag").orderBy("ordinal").collect()
+    none, missing, kind = "not a JSON object", "pyspark_code: missing", "pyspark_code: not a string"
+    assert [(r.ordinal, r.code, r.error) for r in rows] == [
+        (0, "a", None), (1, None, none), (2, None, missing), (3, None, none), (4, None, kind), (5, None, kind), (6, "", None), (7, None, none)]
+    with pytest.raises(Exception, match=r"p.jsonl, line [34567]: "):
+        jsonl.read_predictions(spark, path).collect()
+
+
 def test_predictions_round_trip_by_position(spark, tmp_path):
     df = spark.createDataFrame([(i, f"code {i}\n{{}}" if i % 2 else None) for i in range(40)],
                                "example_id bigint, code string")
@@ -163,3 +201,20 @@ def test_chat_dataset_round_trip(spark, tmp_path):
     rows = jsonl.read_chat_dataset(spark, path).collect()
     assert sorted((r.split, r.messages[1].content, r.messages[2].content) for r in rows) == sorted(
         ("train" if i < 15 else "val", f"d{i}", f"c{i}") for i in range(17))
+
+
+def test_lines_are_parsed_once_and_counted_by_the_job_that_stores_them(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def met(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame([("p", i, GOOD.decode() if i % 3 else "bad") for i in range(90)], "path string, line_num long, value string").mapInArrow(met, "path string, line_num long, value string")
+    loaded = V.store_checked(V.check_examples(lines))
+    assert (loaded.n_good, loaded.n_bad) == (60, 30) and loaded.good.count() == 60 and loaded.quarantine.count() == 30
+    with pytest.raises(V.ValidationError) as caught:
+        V.require_valid(V.check_examples(lines), shown=None)
+    assert str(caught.value).count("Line ") == 30 and caught.value.quarantine.count() == 30
+    assert seen.value == 2 * 90

@@ -138,3 +138,17 @@ def test_a_missing_candidate_scores_like_an_empty_one(spark):
     pairs = spark.createDataFrame([(1, "a b c d e", None), (2, "a b c d e", "")], "example_id long, code string, candidate string")
     rows = [tuple(r)[1:] for r in token_scores(pairs, "example_id", "code", "candidate").orderBy("example_id").collect()]
     assert rows[0] == rows[1]
+
+
+def test_repeated_ids_stop_the_job_or_are_flagged(spark):
+    rows = lambda *ids: spark.createDataFrame([(i, f"d{i}", f"c{i}") for i in ids], "example_id long, description string, code string")
+    with pytest.raises(Exception, match="repeated prediction 1"):
+        E.pair_by_id(rows(1, 2), rows(1, 1, 2)).collect()
+    with pytest.raises(Exception, match="repeated example 2"):
+        E.pair_by_id(rows(1, 2, 2), rows(1, 2)).collect()
+    with pytest.raises(Exception, match="no partner for example null"):
+        E.pair_by_id(rows(1, None), rows(1)).collect()
+    flagged = E.pair_by_id(rows(1, 2, 3, 3, None), rows(1, 2, 2, 3, 4, None), on_mismatch="flag").collect()
+    assert sorted((str(r.example_id), str(r.description), str(r.unmatched)) for r in flagged) == [
+        ("1", "d1", "None"), ("2", "d2", "repeated prediction"), ("3", "d3", "repeated example"), ("3", "d3", "repeated example"),
+        ("4", "None", "prediction"), ("None", "None", "prediction"), ("None", "dNone", "example")]

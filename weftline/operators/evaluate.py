@@ -21,22 +21,29 @@ def pair_by_id(
 ) -> DataFrame:
     """Examples with their prediction as ``candidate``.
 
-    Ids found on one side only stop the job ('error') or stay as rows whose
-    ``unmatched`` column names the side they came from ('flag').
+    Ids found on one side only, or more than once on a side, stop the job ('error') or stay as rows whose ``unmatched`` column says
+    "example", "prediction", "repeated example" or "repeated prediction" ('flag'). A null id has no partner. Of repeated predictions one row comes out for each
+    example of the id, with the least code as candidate.
+
+    Both sides are counted by id before they meet, so a repeated id is one row there, and the texts are shuffled by id alone.
     """
-    left = examples.withColumn("_example", F.lit(True))
-    right = predictions.select(key, F.col("code").alias("candidate"), F.lit(True).alias("_prediction"))
-    joined = left.join(right, key, "full").withColumn(
-        "unmatched",
-        F.when(F.col("_prediction").isNull(), "example").when(F.col("_example").isNull(), "prediction"),
-    )
-    if on_mismatch == "flag":
-        return joined.drop("_example", "_prediction")
-    if on_mismatch != "error":
+    if on_mismatch not in ("error", "flag"):
         raise ValueError(f"unknown on_mismatch {on_mismatch!r}")
-    message = F.concat(F.lit("no partner for "), F.col("unmatched"), F.lit(" "), F.col(key).cast("string"))
+    one = predictions.groupBy(key).agg(F.min("code").alias("candidate"), F.count("*").alias("_predictions"))
+    times = examples.groupBy(key).agg(F.count("*").alias("_examples"))
+    known = times.join(one, key, "full").withColumn("unmatched", (
+        F.when(F.col("_predictions").isNull(), "example").when(F.col("_examples").isNull(), "prediction")
+        .when(F.col("_predictions") > 1, "repeated prediction").when(F.col("_examples") > 1, "repeated example")))
+    # Examples with a null id meet nothing, not even their own count.
+    known = known.filter(F.col(key).isNotNull() | F.col("_predictions").isNotNull()).select(key, "candidate", "unmatched")
+    joined = examples.join(known, key, "full").withColumn(
+        "unmatched", F.when(F.col(key).isNull(), F.coalesce("unmatched", F.lit("example"))).otherwise(F.col("unmatched")))
+    if on_mismatch == "flag":
+        return joined
+    what = F.when(F.col("unmatched").isin("example", "prediction"), F.concat(F.lit("no partner for "), F.col("unmatched"))).otherwise(F.col("unmatched"))
+    message = F.concat(what, F.lit(" "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     checked = F.when(F.col("unmatched").isNull(), F.col("candidate")).otherwise(F.raise_error(message).cast("string"))
-    return joined.withColumn("candidate", checked).drop("_example", "_prediction", "unmatched")
+    return joined.withColumn("candidate", checked).drop("unmatched")
 
 
 def pair_by_position(
@@ -103,28 +110,17 @@ def long_form(aggregated: DataFrame, by: Sequence[str] = (), metrics: Sequence[s
 
 
 def report(results: DataFrame, key: str = "example_id") -> DataFrame:
-    """Report lines (section, line_no, text): the metric table, then numbered examples.
+    """Report rows (part, place, subject, measure, score): the mean of each measure, then those of every example, numbered from 1 by ``key``.
 
-    ``results`` is read several times; pass a stored table rather than a running evaluation.
+    Scores are texts of four decimals, and the subject is the beginning of the description. ``results`` is read several times; pass a stored table rather than
+    a running evaluation.
     """
-    table = long_form(aggregate(results)).select(
-        F.lit("aggregate").alias("section"),
-        F.array_position(F.array(*[F.lit(m) for m in METRICS]), F.col("metric")).alias("line_no"),
-        F.concat(F.rpad("metric", 25, " "), F.lit(" "), F.lpad(fixed4("score"), 10, " ")).alias("text"),
-    )
-    number = F.col("ordinal") + 1
-    lines = dense_ordinal(results, key).select(
-        F.lit("example").alias("section"),
-        number.alias("line_no"),
-        F.concat(
-            F.lit("Example "), number.cast("string"), F.lit(": "), preview("description", 60),
-            F.lit(" BLEU: "), fixed4("bleu"),
-            F.lit(" | OpCov: "), fixed4("operation_coverage"),
-            F.lit(" | Struct: "), fixed4("structural_similarity"),
-            F.lit(" | Exact: "), F.initcap(F.col("exact_match").cast("string")),
-        ).alias("text"),
-    )
-    return table.union(lines)
+    written = lambda rows, part, subject, by: rows.select(
+        F.lit(part).alias("part"), by.cast("bigint").alias("place"), subject.alias("subject"), F.col("metric").alias("measure"), fixed4("score").alias("score"))
+    means = written(long_form(aggregate(results)), "means", F.lit("all examples"), F.lit(0))
+    scored = dense_ordinal(results.select(key, "description", *[_as_number(m).alias(m) for m in METRICS]), key)
+    each = written(long_form(scored, ["ordinal", "description"]), "examples", preview("description", 60), F.col("ordinal") + 1)
+    return means.union(each)
 
 
 def compare_approaches(results: DataFrame, first: str, second: str, by: str = "approach") -> DataFrame:

@@ -1,20 +1,27 @@
 """Dense numbering and positional splits without a global one-task window.
 
-Positions are 64-bit whole numbers, unique per group. Counts are taken over buckets of
-``WIDTH`` positions, over ``WIDTH`` of those buckets, and so on. So no window ever holds more
-than ``WIDTH`` rows of one parent bucket, however the positions are spread. Three levels
-cover every 64-bit number; for dense positions such as line numbers one level is enough,
-because then the whole table has only one bucket per ``WIDTH`` rows.
+Positions are 64-bit whole numbers, unique per group.
+
+Numbering is a distributed prefix sum: narrow (group, position) rows are dealt to tasks by ranges, each task counts
+and numbers its own, and the counts of the tasks before are added.
+
+For the split, counts are taken over buckets of ``WIDTH`` positions, over ``WIDTH`` of those buckets, and so on. So no window
+ever holds more than ``WIDTH`` rows of one parent bucket, however the positions are spread. Three levels
+cover every 64-bit number.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.session import stored
+
 WIDTH = 1_000_000
 ALL_LEVELS = 3
 
@@ -38,33 +45,31 @@ def _rows_before(*, parent: Sequence[str], order: Sequence[str]) -> Column:
     return F.coalesce(F.sum("_rows").over(window), F.lit(0))
 
 
-def dense_ordinal(
-    df: DataFrame,
-    position: str,
-    out: str = "ordinal",
-    within: Sequence[str] = (),
-    levels: int = ALL_LEVELS,
-    width: int = WIDTH,
-) -> DataFrame:
-    """Add the 0-based rank of each row in (``within``, ``position``) order."""
-    *finer, top = _count_levels(df, position, within, levels, width)
-    # The top level has one row per group and at most a few buckets.
-    offsets = top.withColumn("_before", _rows_before(parent=[], order=[*within, "_b"])).drop("_rows")
-    for counts in reversed(finer):
-        here = counts.withColumn("_p", _bucket("_b", width)).withColumn(
-            "_here", _rows_before(parent=[*within, "_p"], order=["_b"])
-        )
-        offsets = here.join(offsets.withColumnRenamed("_b", "_p"), [*within, "_p"]).select(
-            *within, "_b", (F.col("_before") + F.col("_here")).alias("_before")
-        )
-    in_bucket = Window.partitionBy(*within, "_b").orderBy(position)
-    return (
-        df.withColumn("_b", _bucket(position, width))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .join(offsets, [*within, "_b"])
-        .withColumn(out, F.col("_before") + F.col("_rank") - 1)
-        .select(*df.columns, out)
-    )
+def dense_ordinal(df: DataFrame, position: str, out: str = "ordinal", within: Sequence[str] = ()) -> DataFrame:
+    """Add the 0-based rank of each row in (``within``, ``position``) order (nulls first).
+
+    Only (``within``, ``position``) is dealt out by ranges and sorted. Each task numbers its range and the numbers are
+    stored; one count for each task comes to the driver, which adds them up. The wide rows are in no window and not sorted by range: they meet
+    their number in an equi-join on (``within``, ``position``). ``df`` is read twice. Rows that repeat a position of their group
+    have no order, and are an error of the caller.
+    """
+    spark, key = df.sparkSession, [*within, position]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_key_{i}" for i in range(len(key))]
+    narrow = df.select(*[F.col(c).alias(n) for c, n in zip(key, names)])
+    ranged = narrow.repartitionByRange(tasks, *names).sortWithinPartitions(*names)
+    # The number within a task is the row number that Spark gives, less the part of it that names the task.
+    numbered = stored(ranged.withColumn("_task", F.spark_partition_id()).withColumn(
+        "_rank", F.monotonically_increasing_id() - F.shiftleft(F.col("_task").cast("bigint"), 33)), "ordinals")
+    counts = {row["_task"]: row["n"] for row in numbered.groupBy("_task").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for task in range(tasks):
+        offsets.append(before)
+        before += counts.get(task, 0)
+    ordinal = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in offsets]), F.col("_task") + 1) + F.col("_rank")
+    ranks = numbered.select(*names, ordinal.alias(out))
+    same = reduce(and_, [df[c].eqNullSafe(ranks[n]) for c, n in zip(key, names)])
+    return df.join(ranks, same).select(*[df[c] for c in df.columns], ranks[out])
 
 
 def train_rows(total: Column, val_split: float) -> Column:

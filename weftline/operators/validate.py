@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import _col
+from weftline.session import stored
 from weftline.sources.jsonl import non_blank, read_lines
 
 DEFAULT_COMPLEXITY = "medium"
@@ -39,11 +40,21 @@ def _parse_objects(lines: DataFrame, fields: list[str]) -> DataFrame:
     return lines.withColumn("_parsed", parsed).withColumn("_o", F.when(whole, F.get("_parsed", F.lit(0))))
 
 
+def _named(field: str) -> Column:
+    """Does the object have the key after all? A value that repeats a key inside itself makes no variant, and would pass for an absent field.
+
+    Only lines that can spell the key are looked at again.
+    """
+    spelled = F.contains("value", F.lit(f'"{field}"')) | F.contains("value", F.lit("\\u"))
+    return F.col("_o").isNotNull() & spelled & F.array_contains(F.json_object_keys("value"), field)
+
+
 def check_examples(lines: DataFrame, code_field: str = "pyspark_code") -> DataFrame:
     """Parse (path, line_num, value) lines; every non-blank line comes back.
 
     ``kind`` is null for good lines, 'json' for lines that are no JSON object and 'schema'
-    for objects that break the record's rules; ``detail`` says which. Parsing, field types and
+    for objects that break the record's rules; ``detail`` says which. A field whose value repeats a key inside itself breaks them (where that is
+    deeper than the value's own keys, the parser gives the whole line up); of a field that is repeated, the last one counts. Parsing, field types and
     messages are separate steps, so that no expensive expression is written out twice.
     """
     required, lists = {"description": "description", "code": code_field}, ["tables", "operations"]
@@ -54,7 +65,7 @@ def check_examples(lines: DataFrame, code_field: str = "pyspark_code") -> DataFr
         "line_num",
         F.col("value").alias("raw"),
         F.col("_o").isNull().alias("_broken"),
-        *[F.schema_of_variant(F.col("_o")[f]).alias(f"_is_{f}") for f in fields],
+        *[F.coalesce(F.schema_of_variant(F.col("_o")[f]), F.when(_named(f), F.lit("BROKEN"))).alias(f"_is_{f}") for f in fields],
         *[F.try_variant_get(F.col("_o")[f], "$", "string").alias(name) for name, f in required.items()],
         *[F.try_variant_get(F.col("_o")[f], "$", "array<string>").alias(f) for f in lists],
         F.try_variant_get(F.col("_o")["complexity"], "$", "string").alias("complexity"),
@@ -103,20 +114,39 @@ def split_checked(checked: DataFrame) -> Validated:
     return Validated(good, bad)
 
 
-def require_valid(checked: DataFrame, shown: int = 100) -> DataFrame:
-    """The good rows, or ValidationError when there is any bad one.
+@dataclass(frozen=True)
+class Loaded:
+    """Checked lines that are stored, good and bad, and how many of either the job that stored them has met."""
+
+    good: DataFrame
+    quarantine: DataFrame
+    n_good: int
+    n_bad: int
+
+
+def store_checked(checked: DataFrame) -> Loaded:
+    """Run the check once: one job parses each line, stores it with its verdict, and counts both kinds as it goes."""
+    counts = Observation()
+    bad = F.col("kind").isNotNull()
+    held = stored(checked.observe(counts, F.count_if(~bad).alias("good"), F.count_if(bad).alias("bad")), "checked")
+    parts, n = split_checked(held), counts.get
+    return Loaded(parts.good, parts.quarantine, n["good"], n["bad"])
+
+
+def require_valid(checked: DataFrame, shown: int | None = 100) -> DataFrame:
+    """The good rows, or ValidationError when there is any bad one. Lines are parsed once; what is returned reads the stored result.
 
-    The message lists the first ``shown`` errors; all of them are in the exception's
+    The message lists the first ``shown`` errors (None: every one); all of them are in the exception's
     ``quarantine`` table, which may be too large for a driver.
     """
-    parts = split_checked(checked)
-    first = parts.quarantine.orderBy("path", "line_num").limit(shown).collect()
-    if first:
-        total = parts.quarantine.count()
+    loaded = store_checked(checked)
+    if loaded.n_bad:
+        ordered = loaded.quarantine.orderBy("path", "line_num")
+        first = (ordered if shown is None else ordered.limit(shown)).collect()
         lines = [f"Line {r.line_num}: {r.kind} error: {r.detail}" for r in first]
-        more = f"\n... and {total - len(first)} more" if total > len(first) else ""
-        raise ValidationError(f"Validation failed, {total} bad lines:\n" + "\n".join(lines) + more, parts.quarantine)
-    return parts.good
+        more = f"\n... and {loaded.n_bad - len(first)} more" if loaded.n_bad > len(first) else ""
+        raise ValidationError(f"Validation failed, {loaded.n_bad} bad lines:\n" + "\n".join(lines) + more, loaded.quarantine)
+    return loaded.good
 
 
 def load_examples(

@@ -41,7 +41,7 @@ OPS_SQL = sql_list(OPERATIONS)
 # Conversation pairs: a user turn and the assistant turn after it.
 PAIRS_SQL = f"""
 said AS (
-  SELECT u.conv_id, u.turn, u.conv_id * 1000000 + u.turn AS example_id, (u.conv_id + u.turn) % 5 AS variant,
+  SELECT u.conv_id, u.turn, u.conv_id * 4294967296 + u.turn AS example_id, (u.conv_id + u.turn) % 5 AS variant,
     u.text AS description, {sql_tokens('a.text')} AS words
   FROM conversations u JOIN conversations a
     ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant'),
@@ -109,7 +109,7 @@ def example_pairs(t: Tables) -> DataFrame:
     variant, pieces = F.col("variant"), F.col("pieces")
     pairs = (
         asked.join(answered, ["conv_id", "turn"])
-        .withColumn("example_id", F.col("conv_id") * 1000000 + F.col("turn"))
+        .withColumn("example_id", F.col("conv_id") * 2**32 + F.col("turn"))
         .withColumn("variant", (F.col("conv_id") + F.col("turn")) % 5)
         .withColumn("pieces", F.transform("words", piece))
         .withColumn("tables", F.transform(every(10), lambda x: F.element_at(names, F.length(x) % 6 + 1)))

@@ -138,6 +138,21 @@ def s07(t: Tables) -> DataFrame:
     return jsonl.read_predictions(t.spark, path).select("ordinal", F.md5("code").alias("code"))
 
 
+@query("s07_bad_predictions", """
+SELECT row_number() OVER (ORDER BY event_id) - 1 AS ordinal, CASE WHEN k % 5 = 0 THEN event_type END AS code,
+  CASE k % 5 WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'pyspark_code: missing' WHEN 3 THEN 'pyspark_code: not a string' WHEN 4 THEN 'not a JSON object' END AS error
+FROM (SELECT *, (props->>'$.k')::INTEGER AS k FROM events)""")
+def s07_bad(t: Tables) -> DataFrame:
+    """One line for each event, four of five of them broken: each is named, and none shifts the ordinal of another."""
+    path = scratch_path(t.spark, "predictions")
+    case = F.get_json_object("props", "$.k").cast("int") % 5
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    line = (F.when(case == 0, F.concat(F.lit('{"pyspark_code":'), quoted, F.lit("}"))).when(case == 1, F.concat(F.lit('{"pyspark_code":'), quoted))
+            .when(case == 2, F.concat(F.lit('{"other":'), quoted, F.lit("}"))).when(case == 3, F.lit('{"pyspark_code":5}')).otherwise(F.lit("5")))
+    t.events.orderBy("event_id").select(line.alias("value")).write.text(path)
+    return jsonl.read_predictions(t.spark, path, mode="flag")
+
+
 @query("s08_write_predictions", with_pairs("SELECT example_id, md5(candidate) AS code FROM corpus"))
 def s08(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "predictions")
@@ -177,6 +192,36 @@ def s13(t: Tables) -> DataFrame:
     return catalog.scan(t.spark, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
+# Logical names of the tables that the reports read, as in a catalog of several schemas.
+CATALOG_NAMES = {"sales.orders": "orders", "sales.lines": "lineitem", "crm.customers": "customer", "catalog.parts": "part", "web.events": "events"}
+
+
+def _named_tables(t: Tables) -> None:
+    catalog.create_tables(t.spark, {name: f"{t.folder}/{table}.parquet" for name, table in CATALOG_NAMES.items()})
+
+
+@query("s13_report_by_name", """
+SELECT p_type AS category, sum(l_extendedprice::DECIMAL(18, 2))::DOUBLE AS sales
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def s13_report(t: Tables) -> DataFrame:
+    """A report over tables that are found by two-part names."""
+    _named_tables(t)
+    lines, parts = catalog.scan(t.spark, "sales.lines"), catalog.scan(t.spark, "catalog.parts")
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("category")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("sales"))
+
+
+@query("s13_partitioned_table", """
+SELECT strftime(o_orderdate, '%Y')::INTEGER AS year, o_orderpriority, count(*) AS orders FROM orders
+WHERE year(o_orderdate) = 1997 GROUP BY ALL""")
+def s13_partitioned(t: Tables) -> DataFrame:
+    """Orders written by year become a partitioned table; a scan of one year reads the folder of that year."""
+    place = scratch_path(t.spark, "orders-by-year")
+    t.orders.withColumn("year", F.year("o_orderdate")).write.partitionBy("year").parquet(place)
+    catalog.create_table(t.spark, "sales.orders_by_year", place)
+    return catalog.scan(t.spark, "sales.orders_by_year").filter("year = 1997").groupBy("year", "o_orderpriority").agg(F.count("*").alias("orders"))
+
+
 @query("s14_console", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000")
 def s14(t: Tables) -> DataFrame:
     """A report is shown on the console with ``show``; the rows are returned as well."""
@@ -190,9 +235,9 @@ WITH {CHECKED_SQL}
 SELECT count(*) FILTER (j IS NOT NULL AND problems = '') AS n_good,
   count(*) FILTER (j IS NULL OR problems <> '') AS n_bad FROM checked""")
 def s15(t: Tables) -> DataFrame:
-    return V.check_examples(order_lines(t)).agg(
-        F.count_if(F.col("kind").isNull()).alias("n_good"), F.count_if(F.col("kind").isNotNull()).alias("n_bad")
-    )
+    """Counts that the job which stores the checked lines reports by the way, as columns of a row."""
+    loaded = V.store_checked(V.check_examples(order_lines(t)))
+    return t.spark.range(1).select(F.lit(loaded.n_good).alias("n_good"), F.lit(loaded.n_bad).alias("n_bad"))
 
 
 # -- requests ----------------------------------------------------------------------------------------
@@ -284,7 +329,7 @@ def d04(t: Tables) -> DataFrame:
 @query("d05_top_operations", with_pairs("""
 SELECT operation, count(*) AS n FROM (
   SELECT example_id, unnest(operations) AS operation, unnest(range(len(operations))) AS pos FROM corpus)
-GROUP BY 1 ORDER BY n DESC, min(example_id * 1048576 + pos) LIMIT 10"""))
+GROUP BY 1 ORDER BY n DESC, min({'example': example_id, 'pos': pos}) LIMIT 10"""))
 def d05(t: Tables) -> DataFrame:
     return D.top_operations(example_pairs(t), "example_id")
 
@@ -311,6 +356,18 @@ def d11(t: Tables) -> DataFrame:
     return D.unknown_tables(code, known)
 
 
+@query("d11_catalog_listing", with_pairs(f"""
+SELECT table_name, count(*) AS uses FROM (SELECT unnest(tables) AS table_name FROM corpus)
+WHERE table_name NOT IN ({", ".join(f"'{name}'" for name in CATALOG_NAMES)}) GROUP BY 1"""))
+def d11_listing(t: Tables) -> DataFrame:
+    """Code that reads the tables its example names, against the listing of the session's catalog."""
+    _named_tables(t)
+    reads = F.transform("tables", lambda name: F.concat(F.lit('spark.table("'), name, F.lit('")')))
+    code = example_pairs(t).select(F.array_join(reads, "\n").alias("code"))
+    schemas = sorted({name.split(".")[0] for name in CATALOG_NAMES})
+    return D.unknown_tables(code, catalog.catalog_listing(t.spark, schemas))
+
+
 @query("d12_request_outcomes", """
 SELECT period, requests, acceptance_rate, mean_lead_seconds, acceptance_rate > 0.6 AS on_target FROM (
   SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS requests,

@@ -247,15 +247,15 @@ def _responses(responses: DataFrame) -> DataFrame:
 
 
 @query("u01_embedding_function", f"""
-SELECT conv_id * 1000000 + turn AS example_id, coalesce(n_words, 0) AS n_words, coalesce(n_buckets, 0) AS n_buckets
+SELECT conv_id * 4294967296 + turn AS example_id, coalesce(n_words, 0) AS n_words, coalesce(n_buckets, 0) AS n_buckets
 FROM conversations LEFT JOIN (SELECT example_id, sum(n) AS n_words, count(*) AS n_buckets FROM (
   SELECT example_id, {_MD5_BUCKET} AS bucket, count(*) AS n FROM (
     SELECT example_id, unnest({sql_tokens('description')}) AS w FROM (
-      SELECT conv_id * 1000000 + turn AS example_id, text AS description FROM conversations))
-  GROUP BY ALL) GROUP BY 1) ON example_id = conv_id * 1000000 + turn""")
+      SELECT conv_id * 4294967296 + turn AS example_id, text AS description FROM conversations))
+  GROUP BY ALL) GROUP BY 1) ON example_id = conv_id * 4294967296 + turn""")
 def u01(t: Tables) -> DataFrame:
     """A user-supplied embedding model on every conversation turn."""
-    texts = t.conversations.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("example_id"), "text")
+    texts = t.conversations.select((F.col("conv_id") * 2**32 + F.col("turn")).alias("example_id"), "text")
     vectors = G.embed(texts, "text", G.hashed_words(64))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return vectors.select(
@@ -266,13 +266,13 @@ def u01(t: Tables) -> DataFrame:
 
 _TURNS_SQL = f"""
 turns AS (
-  SELECT conv_id * 1000000 + turn AS request_id, text, {sql_tokens('text')} AS w FROM conversations)
+  SELECT conv_id * 4294967296 + turn AS request_id, text, {sql_tokens('text')} AS w FROM conversations)
 """
 
 
 def _turn_prompts(t: Tables) -> DataFrame:
     return t.conversations.select(
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("request_id"), F.col("text").alias("description"),
+        (F.col("conv_id") * 2**32 + F.col("turn")).alias("request_id"), F.col("text").alias("description"),
         F.lit(G.MAX_TOKENS_DEFAULT).alias("max_tokens"), F.lit(G.TEMPERATURE_DEFAULT).alias("temperature"),
     )
 

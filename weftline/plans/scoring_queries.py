@@ -277,12 +277,12 @@ def e08(t: Tables) -> DataFrame:
 SELECT coalesce(e.example_id, p.example_id) AS example_id,
   CASE WHEN p.example_id IS NULL THEN 'example' WHEN e.example_id IS NULL THEN 'prediction' END AS unmatched
 FROM corpus e FULL JOIN (
-  SELECT CASE WHEN variant = 4 THEN example_id + 500000 ELSE example_id END AS example_id FROM corpus) p
+  SELECT CASE WHEN variant = 4 THEN -1 - example_id ELSE example_id END AS example_id FROM corpus) p
 ON e.example_id = p.example_id"""))
 def e09(t: Tables) -> DataFrame:
     """Variant-4 predictions carry a wrong id: both sides of each such pair are flagged."""
     pairs = spread_pairs(t)
-    wrong = F.when(F.col("variant") == 4, F.col("example_id") + 500000).otherwise(F.col("example_id"))
+    wrong = F.when(F.col("variant") == 4, -1 - F.col("example_id")).otherwise(F.col("example_id"))
     predictions = pairs.select(wrong.alias("example_id"), F.col("candidate").alias("code"))
     return E.pair_by_id(pairs.select("example_id", "code"), predictions, on_mismatch="flag").select(
         "example_id", "unmatched"
@@ -320,18 +320,13 @@ def e12(t: Tables) -> DataFrame:
 
 
 @query("e13_report", with_scores("""
-SELECT 'aggregate' AS section, line_no, rpad(metric, 25, ' ') || ' ' || lpad(printf('%.4f', score), 10, ' ') AS text
-FROM means
+SELECT 'means' AS part, 0::BIGINT AS place, 'all examples' AS subject, measure, printf('%.4f', score) AS score FROM (
+  SELECT unnest(['bleu', 'exact_match', 'operation_coverage', 'structural_similarity']) AS measure,
+    unnest([avg(bleu), avg(exact_match::INTEGER), avg(operation_coverage), avg(structural_similarity)]) AS score FROM scores)
 UNION ALL
-SELECT 'example', i, 'Example ' || i || ': ' || substr(description, 1, 60) || '... BLEU: ' || printf('%.4f', bleu)
-  || ' | OpCov: ' || printf('%.4f', operation_coverage) || ' | Struct: ' || printf('%.4f', structural_similarity)
-  || ' | Exact: ' || CASE WHEN exact_match THEN 'True' ELSE 'False' END
-FROM (SELECT *, row_number() OVER (ORDER BY example_id) AS i FROM scores)""", """
-means AS (
-  SELECT 1 AS line_no, 'bleu' AS metric, avg(bleu) AS score FROM scores
-  UNION ALL SELECT 2, 'exact_match', avg(exact_match::INTEGER) FROM scores
-  UNION ALL SELECT 3, 'operation_coverage', avg(operation_coverage) FROM scores
-  UNION ALL SELECT 4, 'structural_similarity', avg(structural_similarity) FROM scores)"""))
+SELECT 'examples', place, substr(description, 1, 60) || '...', unnest(['bleu', 'exact_match', 'operation_coverage', 'structural_similarity']),
+  printf('%.4f', unnest([bleu, exact_match::INTEGER, operation_coverage, structural_similarity]))
+FROM (SELECT *, row_number() OVER (ORDER BY example_id) AS place FROM scores)"""))
 def e13(t: Tables) -> DataFrame:
     return E.report(stored(E.evaluate(spread_pairs(t)), "results"))
 

@@ -58,15 +58,31 @@ def non_blank(lines: DataFrame) -> DataFrame:
     return lines.withColumn("value", strip("value")).filter(F.col("value") != "")
 
 
-def read_predictions(spark: SparkSession, path: str, code_field: str = "pyspark_code") -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, code_field: str = "pyspark_code", mode: str = "failfast") -> DataFrame:
     """Predictions as (ordinal, code): ordinal is the 0-based place among the non-blank lines.
 
-    Several files count as one, in path order.
+    Several files count as one, in path order. A line that is no JSON object, or has no string in ``code_field``, is a bad line. It stops the job, which
+    names it ('failfast'), or its row has a null code and ``error`` says what is wrong ('flag').
     """
-    lines = non_blank(read_lines(spark, path))
-    return dense_ordinal(lines, "line_num", within=["path"], levels=1).select(
-        "ordinal", F.from_json("value", f"`{code_field}` STRING")[code_field].alias("code")
-    )
+    lines = dense_ordinal(non_blank(read_lines(spark, path)), "line_num", within=["path"])
+    # Read as a variant: a plain string column would turn numbers into text, and tell neither absent from null nor broken lines from both.
+    # The line goes before its own hash in a list, since the parser ignores what follows the first value.
+    seal = F.xxhash64("value").cast("string")
+    parsed = lines.withColumn("_list", F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(',"'), seal, F.lit('"]'))))
+    at = lambda place, kind: F.try_variant_get("_list", place, kind)
+    whole = (at("$[1]", "string") == seal) & at("$[2]", "variant").isNull() & F.schema_of_variant(at("$[0]", "variant")).startswith("OBJECT")
+    field = f"$[0]['{code_field}']"
+    kind = F.schema_of_variant(at(field, "variant"))
+    error = (
+        F.when(~F.coalesce(whole, F.lit(False)), "not a JSON object")
+        .when(kind.isNull(), f"{code_field}: missing").when(kind != "STRING", f"{code_field}: not a string"))
+    read = parsed.select("path", "line_num", "ordinal", at(field, "string").alias("code"), error.alias("error"))
+    if mode == "flag":
+        return read.select("ordinal", F.when(F.col("error").isNull(), F.col("code")).alias("code"), "error")
+    if mode != "failfast":
+        raise ValueError(f"unknown mode {mode!r}")
+    stop = F.raise_error(F.concat(F.col("path"), F.lit(", line "), F.col("line_num").cast("string"), F.lit(": "), F.col("error")))
+    return read.select("ordinal", F.when(F.col("error").isNull(), F.col("code")).otherwise(stop.cast("string")).alias("code"))
 
 
 def write_predictions(
