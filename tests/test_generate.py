@@ -1,6 +1,7 @@
 import pytest
 
 from weftline.operators import generate as G
+from weftline.operators import retrieval as R
 from weftline.streaming import requests as S
 
 REQUEST = "request_id bigint, description string, max_tokens int, temperature double"
@@ -98,3 +99,26 @@ def test_stream_embeds_requests(spark, index, tmp_path):
     S.prompt_stream(stream, index, str(tmp_path / "out"), str(tmp_path / "c"),
                     embed_fn=lambda df: G.embed(df, make_model=G.hashed_words(3))).awaitTermination()
     assert len(spark.read.parquet(str(tmp_path / "out")).first().retrieved_examples) == 3
+
+
+def test_null_texts_have_null_vectors(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "example_id long, description string")
+    rows = {r.example_id: r.embedding for r in G.embed(df).collect()}
+    assert rows[2] is None and sum(rows[1]) == 2 and sum(rows[3]) == 0
+    weighted = {r.example_id: r.embedding for r in G.embed_weighted(df, dim=16).collect()}
+    assert weighted[2] is None and abs(sum(x * x for x in weighted[1]) - 1) < 1e-6 and set(weighted[3]) == {0.0}
+    errors = R.rejected_examples(G.embed(df)).collect()
+    assert [(r.example_id, r.error) for r in errors] == [(2, "no vector")]
+
+
+def test_rejected_requests_carry_their_error(spark):
+    index = spark.createDataFrame([(1, "d", "c", [1.0, 0.0])], "example_id long, description string, code string, embedding array<float>")
+    requests = spark.createDataFrame(
+        [(1, "good", [1.0, 0.0], 100, 0.5), (2, "short", [1.0], 100, 0.5), (3, "none", None, 100, 0.5)],
+        "request_id long, description string, embedding array<float>, max_tokens int, temperature double")
+    prompts = {r.request_id: r for r in G.few_shot_prompts(requests, index).collect()}
+    assert prompts[1].rejected is None and "good" in prompts[1].user
+    assert prompts[2].user is None and "length 1, expected 2" in prompts[2].rejected and prompts[3].rejected == "no vector"
+    answers = {r.request_id: r for r in G.generate_with_retrieval(requests, index, lambda *a: "```\nx\n```", "m").collect()}
+    assert answers[1].code == "x" and answers[1].error is None
+    assert (answers[3].code, answers[3].error) == ("", "rejected: no vector") and answers[2].error.startswith("rejected: vector length 1")

@@ -71,13 +71,16 @@ def test_numbered_lines_are_not_shuffled(spark, tmp_path):
     assert "Exchange hashpartitioning" not in wide_side and "value" in wide_side
 
 
-def test_index_rows_are_not_shuffled_for_few_queries(spark, conf):
+def test_texts_of_the_index_meet_hits_alone(spark, conf):
+    """The search reads ids and vectors; the texts are read once, for the join with the hits, and in no window or sort of the search."""
     conf(spark__sql__autoBroadcastJoinThreshold="-1")
     index = spark.range(10).select(F.col("id").alias("example_id"), F.lit("d").alias("description"),
                                    F.lit("c").alias("code"), F.array(F.lit(1.0)).alias("embedding"))
     queries = index.select(F.col("example_id").alias("query_id"), "embedding")
     text = plan_of(R.search_examples(index, queries))
-    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert text.count("AS description") == 1 and "Window" not in text and "NestedLoop" not in text
+    hits = plan_of(R.search(index, queries))
+    assert "description" not in hits and "BroadcastExchange" not in hits
 
 
 def test_hot_group_is_spread_by_salt(spark, conf):

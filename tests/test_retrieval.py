@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.operators import generate as G
 from weftline.operators import retrieval as R
-from weftline.sources.index import read_index, write_index
+from weftline.operators.skew import salted_by_count
+from weftline.sources.index import current_version, open_index, read_index, reindex, write_index
 
 
 def frame(spark, vectors, key="example_id"):
@@ -30,7 +32,7 @@ def found(hits):
     return out
 
 
-WAYS = {"broadcast": {}, "blocks": {"broadcast_bytes": 0, "cell_rows": 37}}
+WAYS = {"one cell": {}, "cells": {"cell_rows": 37}}
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -43,19 +45,79 @@ def test_search_is_exact(spark, way, k):
     assert found(hits) == brute_force(index, queries, k)
 
 
-def test_search_in_small_steps(monkeypatch):
+def test_search_in_small_steps(spark, monkeypatch):
     rng = np.random.default_rng(2)
     index, queries = np.round(rng.normal(size=(200, 4)), 1), np.round(rng.normal(size=(20, 4)), 1)
-    monkeypatch.setattr(R, "SCORES_PER_STEP", 100)
     monkeypatch.setattr(R, "QUERIES_PER_STEP", 7)
-    batches = [(np.arange(200)[i:i + 60], index[i:i + 60]) for i in range(0, 200, 60)]
-    got = {}
-    hits = [h for b in R._score(np.arange(20), queries, 5, iter(batches)) for h in b.to_pylist()]
-    for q, e in ((h["query_id"], h["example_id"]) for h in hits):
-        got.setdefault(q, set()).add(e)
-    scores = np.round(queries @ index.T, 10)
-    for q, row in enumerate(scores):
-        assert got[q] == set(sorted(range(200), key=lambda i: (-row[i], i))[:5])
+    cells = R.partition_index(frame(spark, index), cell_rows=16)
+    hits = R.search_cells(cells, frame(spark, queries, "query_id"), 5).hits
+    assert found(hits) == brute_force(index, queries, 5)
+
+
+def test_bounds_skip_cells_and_lose_no_hit(spark):
+    """Vectors in tight groups: most cells cannot hold a hit, and are not looked into."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16))
+    index = np.repeat(centres, 50, axis=0) + 0.05 * rng.normal(size=(1000, 16))
+    queries = centres + 0.05 * rng.normal(size=(20, 16))
+    cells = R.partition_index(frame(spark, index), cell_rows=25)
+    found_cells = R.search_cells(cells, frame(spark, queries, "query_id"), 5)
+    assert found(found_cells.hits) == brute_force(index, queries, 5)
+    assert found_cells.cells >= 40 and found_cells.skipped() > 0.8 * 20 * (found_cells.cells - 1)
+    # Vectors without any order: nothing can be skipped, and all is found.
+    index, queries = rng.normal(size=(300, 16)) * rng.uniform(0, 3, (300, 1)), rng.normal(size=(30, 16))
+    loose = R.search_cells(R.partition_index(frame(spark, index), cell_rows=20), frame(spark, queries, "query_id"), 5)
+    assert found(loose.hits) == brute_force(index, queries, 5)
+
+
+def test_a_hot_cell_is_held_in_parts(spark):
+    """A third of the vectors are one: their cell is dealt by id, and no task holds more than about a cell."""
+    vectors = np.random.default_rng(3).normal(size=(900, 6))
+    vectors[::3] = vectors[0]
+    cells = R.partition_index(frame(spark, vectors), cell_rows=50)
+    sizes = [r["count"] for r in cells.rows.groupBy("centroid", "part").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 100
+    assert found(R.search(cells, frame(spark, vectors[:40], "query_id"), 4)) == brute_force(vectors, vectors[:40], 4)
+
+
+def test_merge_is_a_tree(spark):
+    """Of 64 cells with 3 hits each, the last merge of a query gets 3 from each of 4 groups."""
+    rows = spark.range(64 * 3 * 5).select(
+        (F.col("id") % 5).alias("query_id"), (F.col("id") % 64).cast("int").alias("cell"), F.col("id").alias("example_id"),
+        (F.xxhash64("id") / 2.0**64).alias("score")).withColumn("rank_score", F.col("score"))
+    merged = R.merge_hits(rows, 3, merged_cells=16)
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit [query_id") == 4 and merged.count() == 15
+    want = {r.query_id: r.top for r in rows.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("score"), False), 1, 3).alias("top")).collect()}
+    for q, top in want.items():
+        assert [r.score for r in merged.filter(f"query_id = {q}").orderBy("rank").collect()] == top
+    groups = rows.withColumn("group", (F.col("cell") / 16).cast("int"))
+    ranked = groups.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "group").orderBy(F.desc("score")))).filter("r <= 3")
+    assert ranked.count() == 5 * 4 * 3 < rows.count() / 4
+
+
+def test_bad_index_rows_are_named(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [])]
+    index = spark.createDataFrame(rows, "example_id bigint, embedding array<float>")
+    # The length is that of most rows, not of the first one met.
+    errors = {r.example_id: r.error for r in R.rejected_examples(index).collect()}
+    assert sorted(errors) == [3, 4, 5, 6, 7] and "length 1, expected 2" in errors[4]
+    assert found(R.search(index, frame(spark, [[1, 0]], "query_id"), 9)) == {0: [1, 2]}
+
+
+def test_an_example_near_to_all_is_spread(spark):
+    hits = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("example_id"))
+    texts = spark.range(3000).select(F.col("id").alias("example_id"), F.lit("d").alias("description"))
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_by_count(hits, texts, "example_id", ["query_id"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    assert sum(sizes) == 3000 and max(sizes) < 1000
 
 
 @pytest.mark.parametrize("way", WAYS)
@@ -82,7 +144,7 @@ def test_blocks_when_index_and_queries_share_a_table(spark):
     table = frame(spark, vectors)
     some = table.join(spark.range(0, 80, 2).select(F.col("id").alias("example_id")), "example_id", "left_semi")
     queries = table.select(F.col("example_id").alias("query_id"), "embedding")
-    got = found(R.search(some, queries, 3, broadcast_bytes=0, cell_rows=16))
+    got = found(R.search(some, queries, 3, cell_rows=16))
     want = brute_force(vectors[::2], vectors, 3)
     assert got == {q: [2 * i for i in ids] for q, ids in want.items()}
 
@@ -145,3 +207,30 @@ def test_embedding_function_batches(spark):
     df = spark.createDataFrame([(i, "a b a " * i) for i in range(10)], "id bigint, description string")
     rows = G.embed(df, make_model=G.hashed_words(16), batch_size=3).orderBy("id").collect()
     assert [sum(r.embedding) for r in rows] == [3 * i for i in range(10)] and len(rows[0].embedding) == 16
+
+
+def test_reindex_renews_what_changed_and_switches_at_the_end(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    asked = []
+
+    def embed(stale):
+        asked.append(sorted(r.example_id for r in stale.collect()))
+        return stale.withColumn("embedding", F.array(F.length("description").cast("float"), F.lit(1.0).cast("float")))
+
+    def examples(**texts):
+        return spark.createDataFrame([(int(k[1:]), v, "c") for k, v in texts.items()], "example_id bigint, description string, code string")
+
+    def rows(version=None):
+        return {r.example_id: (r.description, r.since, round(r.embedding[0] / r.embedding[1])) for r in open_index(spark, path, version).collect()}
+
+    assert current_version(spark, path) == 0 and open_index(spark, path).count() == 0
+    assert reindex(examples(e1="a", e2="bb", e3="ccc"), path, embed) == 1
+    assert reindex(examples(e1="a", e2="bbbb", e4="d"), path, embed, tombstones=spark.createDataFrame([(3,), (4,), (9,)], "example_id int")) == 2
+    assert asked == [[1, 2, 3], [2, 4]]
+    assert rows() == {1: ("a", 1, 1), 2: ("bbbb", 2, 4), 4: ("d", 2, 1)}
+    assert rows(1) == {1: ("a", 1, 1), 2: ("bb", 1, 2), 3: ("ccc", 1, 3)}
+    # A run that fails while it writes leaves the version before readable, and the next run takes its place.
+    with pytest.raises(Exception, match="vector length"):
+        reindex(examples(e5="e"), path, lambda stale: stale.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    assert current_version(spark, path) == 2 and len(rows()) == 3
+    assert reindex(examples(e5="e"), path, embed) == 3 and sorted(rows()) == [1, 2, 4, 5]

@@ -16,7 +16,9 @@ from pyspark.sql.types import ArrayType, BooleanType, FloatType
 
 from weftline.functions.prompts import DEFAULT_WORDING, Wording, few_shot_prompt
 from weftline.functions.text import _col, extract_code
-from weftline.operators.retrieval import search_examples
+from weftline.functions.vectors import bucket_weights, weighted_counts
+from weftline.operators.retrieval import l2_normalize, search_examples, vector_length, vector_problem
+from weftline.session import stored
 
 # Defaults and accepted ranges of a request.
 MAX_TOKENS_DEFAULT, MAX_TOKENS_RANGE = 2048, (64, 4096)
@@ -82,18 +84,32 @@ def embed(
     batch_size: int = 256,
     out: str = "embedding",
 ) -> DataFrame:
-    """Add an embedding of ``text``. ``make_model`` loads a model once per Python worker."""
+    """Add an embedding of ``text``. ``make_model`` loads a model once per Python worker.
+
+    A null text has a null vector, which ``rejected_queries`` and ``rejected_examples`` name and ``build_index`` stops on; the model sees an empty text in its place.
+    """
     model = predict_batch_udf(
         make_model or hashed_words(), return_type=ArrayType(FloatType()), batch_size=batch_size
     )
-    return df.withColumn(out, model(_col(text)))
+    return df.withColumn(out, F.when(_col(text).isNotNull(), model(F.coalesce(_col(text), F.lit("")))))
+
+
+def embed_weighted(df: DataFrame, text: str = "description", dim: int = 64, out: str = "embedding") -> DataFrame:
+    """Add unit vectors of hashed word counts, in which words of buckets that few texts use weigh more: an embedding that needs no model.
+
+    The counts are made once and stored; a pass over them gives the weights, and the vectors are column expressions. Null texts have null vectors and count for nothing.
+    """
+    counted = stored(embed(df, text, hashed_words(dim), out="_counts"), "word-counts")
+    weights = bucket_weights(counted, "_counts", dim)
+    unit = l2_normalize(weighted_counts("_counts", weights))
+    return counted.withColumn(out, F.when(F.col("_counts").isNotNull(), unit)).drop("_counts")
 
 
 def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete] | None = None) -> DataFrame:
     """Run ``fn(system, user, temperature, max_tokens)`` on each prompt row.
 
     Adds ``text`` and ``error``. A failing row gets its error message and no text; the job
-    goes on. ``per_task`` makes the function once per task instead (say, to open a client).
+    goes on. A row whose ``rejected`` column gives a reason is not run, and has that as its error. ``per_task`` makes the function once per task instead (say, to open a client).
     """
     columns = prompts.columns
 
@@ -102,9 +118,14 @@ def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete]
         for batch in batches:
             texts: list[str | None] = []
             errors: list[str | None] = []
-            for system, user, temperature, max_tokens in zip(
-                batch["system"], batch["user"], batch["temperature"], batch["max_tokens"]
+            reasons = batch["rejected"] if "rejected" in columns else [None] * len(batch)
+            for system, user, temperature, max_tokens, reason in zip(
+                batch["system"], batch["user"], batch["temperature"], batch["max_tokens"], reasons
             ):
+                if reason is not None:
+                    texts.append(None)
+                    errors.append(f"rejected: {reason}")
+                    continue
                 try:
                     texts.append(call(system, user, float(temperature), int(max_tokens)))
                     errors.append(None)
@@ -157,23 +178,26 @@ def few_shot_prompts(
 ) -> DataFrame:
     """Search the index for each request and build its prompt.
 
-    Adds ``system``, ``user`` and ``retrieved_examples`` (hit descriptions in rank order).
+    Adds ``system``, ``user``, ``retrieved_examples`` (hit descriptions in rank order) and ``rejected``: why a request's vector could not be searched, or null.
+    A rejected request has no prompt, so that it is not taken for one without hits.
     Requests need (request_id, description, embedding) and are read more than once, so the
     embedding should be a stored column. At most k hits per request are gathered into a list.
     """
     asked = requests.select(F.col("request_id").alias("query_id"), "embedding")
     hits = search_examples(index, asked, k)
+    length = vector_length(index)
     ranked = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "description", "code"))).alias("hits")
     )
     no_hits = F.array().cast("array<struct<rank:int,description:string,code:string>>")
     return (
-        requests.drop("embedding")
+        requests.withColumn("rejected", vector_problem("embedding", length))
+        .drop("embedding")
         .join(ranked, F.col("request_id") == F.col("query_id"), "left")
         .drop("query_id")
         .withColumn("hits", F.coalesce("hits", no_hits))
         .withColumn("system", F.lit(wording.system))
-        .withColumn("user", few_shot_prompt("description", "hits", wording))
+        .withColumn("user", F.when(F.col("rejected").isNull(), few_shot_prompt("description", "hits", wording)))
         .withColumn("retrieved_examples", F.col("hits.description"))
         .drop("hits")
     )

@@ -3,36 +3,42 @@
 Scores are inner products of unit vectors, taken in double precision. Hits are ranked by the
 score rounded to ``RANK_DIGITS`` and then by ascending id, so equal vectors always rank the
 same whatever batch they were scored in.
+
+The index is partitioned into cells: vectors around a centroid, within a known angle of it. A query's angle to a centroid bounds
+its score with every vector of the cell, since angles obey the triangle inequality. Cells whose bound lies below the k-th best
+score that a query has already are skipped. There is one way for any number of queries and index rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window
 
 from weftline.functions.text import _col
+from weftline.operators.skew import salted_by_count
+from weftline.session import stored
 
 DEFAULT_K = 3
 RANK_DIGITS = 10
+# Rounding moves a score by half a unit at most, so scores this far below the bar cannot tie with it.
 RANK_SLACK = 2 * 10.0**-RANK_DIGITS
-# Largest query set (as doubles) that is shipped to every executor.
-BROADCAST_BYTES = 64 << 20
-# Index rows (and query rows) per cell when queries are too many for that.
-CELL_ROWS = 65_536
-# Queries and scores looked at, and hits held, by one task at a time.
-QUERIES_PER_STEP = 1024
-SCORES_PER_STEP = 4_000_000
-HITS_PER_TASK = 4_000_000
-
-HIT_BYTES = 32
-HITS = "query_id bigint, example_id bigint, score double, rank_score double"
+# Index rows that a task holds at a time, and queries that it scores together.
+CELL_ROWS, QUERIES_PER_STEP = 16_384, 512
+# Centroids at most, the vectors that they are learnt from at most, and rounds of learning.
+CENTROIDS, SAMPLE, ROUNDS = 256, 16_384, 6
+# Cells whose hits are merged before the merge of all.
+MERGED_CELLS = 16
+
+HITS = "query_id bigint, cell int, example_id bigint, score double, rank_score double"
 _HITS_ARROW = pa.schema([
-    ("query_id", pa.int64()), ("example_id", pa.int64()), ("score", pa.float64()), ("rank_score", pa.float64()),
+    ("query_id", pa.int64()), ("cell", pa.int32()), ("example_id", pa.int64()), ("score", pa.float64()), ("rank_score", pa.float64()),
 ])
 
 
@@ -67,10 +73,17 @@ def vector_problem(v: Column | str, length: int | None = None) -> Column:
     )
 
 
+def _common_length(df: DataFrame, embedding: str = "embedding") -> tuple[int, int] | None:
+    """(length, rows) of the usable vectors of the most frequent length."""
+    usable = df.filter(vector_problem(embedding).isNull()).groupBy(F.size(embedding).alias("n")).agg(F.count("*").alias("rows"))
+    row = usable.orderBy(F.desc("rows"), "n").first()
+    return None if row is None else (row.n, row.rows)
+
+
 def vector_length(df: DataFrame, embedding: str = "embedding") -> int | None:
-    """Length of a usable vector of the table, or None when there is none."""
-    row = df.filter(vector_problem(embedding).isNull()).select(F.size(embedding).alias("n")).first()
-    return None if row is None else row.n
+    """The length that most usable vectors of the table have (of lengths as frequent, the least), or None when there is none."""
+    common = _common_length(df, embedding)
+    return None if common is None else common[0]
 
 
 def same_length(v: Column | str, length: int | None) -> Column:
@@ -94,203 +107,280 @@ def new_examples(examples: DataFrame, index: DataFrame) -> DataFrame:
 # -- search ---------------------------------------------------------------------------------------
 
 
-def _matrix(vectors: pa.ListArray) -> np.ndarray:
-    """List column to a float64 matrix."""
-    lengths = np.unique(np.diff(vectors.offsets.to_numpy()))
-    if len(lengths) > 1:
-        raise ValueError(f"vectors of different lengths: {lengths.tolist()}")
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """List column (of lists of one length) to a float64 matrix."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     if len(vectors) == 0:
         return np.empty((0, 0))
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
-def _column(table: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
-    column = table.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
-class _TopK:
-    """Running best k per query over batches of index vectors; ties go to the lower id."""
-
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.query_ids, self.queries, self.k = query_ids, queries, k
-        self.where = np.empty(0, np.int64)  # query position
-        self.ids = np.empty(0, np.int64)
-        self.scores = np.empty(0)
-        self.rank_scores = np.empty(0)
-        self.floor = np.full(len(query_ids), -np.inf)  # k-th best so far
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, SCORES_PER_STEP // max(1, len(self.query_ids)))
-        for at in range(0, len(ids), step):
-            self._add(ids[at : at + step], vectors[at : at + step])
-
-    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        if vectors.shape[1] != self.queries.shape[1]:
-            raise ValueError(f"index vectors have length {vectors.shape[1]}, queries {self.queries.shape[1]}")
-        scores = self.queries @ vectors.T
-        # Rounding moves a score by half a unit at most, so exact scores this far below the bar
-        # cannot tie with it; only what passes is rounded.
-        passing = scores >= (self.floor - RANK_SLACK)[:, None]
-        if len(ids) > self.k and np.count_nonzero(passing) > 4 * self.k * len(scores):
-            # Early on nearly all rows pass the floor; the k-th best of this step is a better bar.
-            bar = np.partition(scores, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-            passing &= scores >= (bar - RANK_SLACK)[:, None]
-        where, at = np.nonzero(passing)
-        if not len(where):
-            return
-        exact = scores[where, at]
-        found = np.concatenate([self.ids, ids[at]])
-        values = np.concatenate([self.scores, exact])
-        ranked = np.concatenate([self.rank_scores, np.round(exact, RANK_DIGITS)])
-        where = np.concatenate([self.where, where])
-        order = np.lexsort((found, -ranked, where))
-        where = where[order]
-        starts = np.searchsorted(where, np.arange(len(self.query_ids)))
-        rank = np.arange(len(where)) - starts[where]
-        keep = order[rank < self.k]
-        self.where, self.ids = where[rank < self.k], found[keep]
-        self.scores, self.rank_scores = values[keep], ranked[keep]
-        last = rank[rank < self.k] == self.k - 1
-        self.floor[self.where[last]] = self.rank_scores[last]
-
-    def hits(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(self.query_ids[self.where]), pa.array(self.ids), pa.array(self.scores), pa.array(self.rank_scores)],
-            schema=_HITS_ARROW,
-        )
-
-
-def _score(
-    query_ids: np.ndarray, queries: np.ndarray, k: int, batches: Iterator[tuple[np.ndarray, np.ndarray]]
-) -> Iterator[pa.RecordBatch]:
-    """Hits of all queries over batches of (ids, vectors), worked through in blocks of queries."""
-    starts = range(0, len(query_ids), QUERIES_PER_STEP)
-    blocks = [
-        _TopK(query_ids[at : at + QUERIES_PER_STEP], queries[at : at + QUERIES_PER_STEP], k) for at in starts
-    ]
-    for ids, vectors in batches:
-        for block in blocks:
-            block.add(ids, vectors)
-    for block in blocks:
-        yield block.hits()
-
-
-def _best_hits(candidates: DataFrame, k: int) -> DataFrame:
-    """Global top-k from per-task top-k rows. Every query has about the same number of them."""
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), F.asc("example_id"))
-    return (
-        candidates.withColumn("rank", F.row_number().over(by_score))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "example_id", "score")
-    )
+def _numbers(*columns: tuple[DataFrame, str]) -> str:
+    """The type that vectors are moved in: single precision if all are given so, else double."""
+    floats = all(df.schema[name].dataType == ArrayType(FloatType(), df.schema[name].dataType.containsNull) for df, name in columns)
+    return "array<float>" if floats else "array<double>"
 
 
-def _search_broadcast(index: DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """Each task scores its index rows against all queries and sends k hits per query."""
-    shared = index.sparkSession.sparkContext.broadcast((query_ids, queries))
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((_column(b, "example_id").to_numpy(), _matrix(_column(b, "embedding"))) for b in batches if b.num_rows)
-        yield from _score(*shared.value, k, rows)
 
-    return _best_hits(index.mapInArrow(score, HITS), k)
+def _angles(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(vectors) @ centroids.T, -1.0, 1.0))
 
 
-def _search_grid(index: DataFrame, queries: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    """Block join: cell (i, j) scores index block i against query block j.
+def learn_centroids(index: DataFrame, centroids: int, sample: int = SAMPLE) -> np.ndarray:
+    """Unit vectors at the centres of clusters, by spherical k-means on ``sample`` vectors at most (those whose id has the least hash).
 
-    Blocks come from a hash of the unique id, so they are even and bounded whatever the data;
-    each cell sends k hits per query. Exact for any number of queries.
+    They decide which cells can be skipped, not which hits are found.
     """
-    index_blocks = max(1, -(-index.count() // cell_rows))
-    query_blocks = max(1, -(-queries.count() // max(1, min(cell_rows, HITS_PER_TASK // k))))
+    units = _unit(_matrix(index.orderBy(F.xxhash64("example_id"), "example_id").limit(sample).select("embedding").toArrow()["embedding"]))
+    found = units[:: max(1, len(units) // centroids)][:centroids]
+    for _ in range(ROUNDS if len(found) > 1 else 0):
+        nearest = (units @ found.T).argmax(axis=1)
+        sums = np.zeros_like(found)
+        np.add.at(sums, nearest, units)
+        found = np.where((sums != 0).any(axis=1, keepdims=True), _unit(sums), found)
+    return found
 
-    def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
-    def every(n: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+@dataclass(frozen=True)
+class Geometry:
+    """For each centroid its direction, the widest angle to it, the longest vector around it, and the parts that its rows are dealt to; and the length of all vectors."""
 
-    left = index.select("example_id", "embedding", block("example_id", index_blocks).alias("i"),
-                        every(query_blocks).alias("j"))
-    # New names (hence new columns): index and queries may come from the same table.
-    right = queries.select(F.col("query_id").alias("asked"), F.col("embedding").alias("vector"),
-                           block("query_id", query_blocks).alias("j"), every(index_blocks).alias("i"))
+    centroids: np.ndarray
+    radius: np.ndarray
+    norm: np.ndarray
+    parts: np.ndarray
+    length: int
 
-    def score(examples: pa.Table, asked: pa.Table) -> pa.Table:
-        if not (examples.num_rows and asked.num_rows):
-            return _HITS_ARROW.empty_table()
-        rows = (_column(examples, "example_id").to_numpy(), _matrix(_column(examples, "embedding")))
-        hits = _score(_column(asked, "asked").to_numpy(), _matrix(_column(asked, "vector")), k, iter([rows]))
-        return pa.Table.from_batches(list(hits))
+    @property
+    def cells(self) -> int:
+        return int(self.parts.sum())
 
-    cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(score, HITS)
-    return _best_hits(cells, k)
+    @property
+    def first(self) -> np.ndarray:
+        """Number of the first cell around each centroid."""
+        return np.cumsum(self.parts) - self.parts
 
 
-def _search(
-    index: DataFrame, queries: DataFrame, k: int | None, broadcast_bytes: int, cell_rows: int
-) -> tuple[DataFrame, bool]:
-    """Hits, and whether their number is bounded by what fits ``broadcast_bytes``."""
+@dataclass(frozen=True)
+class CellIndex:
+    """An index dealt to cells: stored (example_id, embedding, norm, centroid, part) rows, where the part is a hash of the id, and the geometry of the cells."""
+
+    rows: DataFrame
+    shape: Geometry
+
+
+def partition_index(index: DataFrame, cell_rows: int = CELL_ROWS) -> CellIndex | None:
+    """Deal the usable vectors of ``index`` to cells of about ``cell_rows``, around as many centroids as that makes, ``CENTROIDS`` at most. None when no row is usable.
+
+    A cell index can be searched any number of times. Rows that are left out are named by ``rejected_examples``.
+    """
+    numbers = _numbers((index, "embedding"))
+    index = index.select(F.col("example_id").cast("bigint").alias("example_id"), F.col("embedding").cast(numbers).alias("embedding"))
+    common = _common_length(index)
+    if common is None:
+        return None
+    length, usable_rows = common
+    usable = index.filter(vector_problem("embedding", length).isNull())
+    wanted = min(CENTROIDS, -(-usable_rows // cell_rows))
+    # A single cell needs no direction of its own.
+    centroids = learn_centroids(usable, wanted) if wanted > 1 else np.eye(1, length)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _matrix(batch.column("embedding"))
+            angles = _angles(vectors, centroids) if len(vectors) else np.empty((0, len(centroids)))
+            nearest = angles.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.linalg.norm(vectors, axis=1)), pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(nearest)), nearest])],
+                ["example_id", "embedding", "norm", "centroid", "angle"])
+
+    placed = stored(usable.mapInArrow(assign, f"example_id bigint, embedding {numbers}, norm double, centroid int, angle double"), "index-cells")
+    # One row for each centroid.
+    shape = placed.groupBy("centroid").agg(F.count("*").alias("rows"), F.max("angle").alias("radius"), F.max("norm").alias("norm")).toPandas()
+    rows, radius, norm = (np.zeros(len(centroids)) for _ in range(3))
+    rows[shape["centroid"]], radius[shape["centroid"]], norm[shape["centroid"]] = shape["rows"], shape["radius"], shape["norm"]
+    parts = np.ceil(rows / cell_rows).astype(np.int64)
+    part = F.pmod(F.xxhash64("example_id"), F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("centroid") + 1)).cast("int")
+    return CellIndex(placed.drop("angle").withColumn("part", part), Geometry(centroids, radius, norm, parts, length))
+
+
+def _bounds(queries: np.ndarray, index: Geometry) -> np.ndarray:
+    """The best score that each query can have in the cells of each centroid; rounding must not make it too small."""
+    between = np.maximum(_angles(queries, index.centroids) - index.radius, 0.0)
+    norms = np.linalg.norm(queries, axis=1)[:, None] * index.norm
+    # A product of vectors of other lengths is greatest at the longest one where the cosine is positive, and at none above 0 elsewhere.
+    return norms * np.maximum(np.cos(between), 0.0) + 1e-7 * (1.0 + norms)
+
+
+def _visits(index: Geometry, home: bool):
+    """(query_id, vector, bar, cell): for every query the cells to look into: the first part around its nearest centroid, or all others whose bound reaches its bar."""
+    first = index.first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, QUERIES_PER_STEP):
+                some = batch.slice(begin, QUERIES_PER_STEP)
+                vectors = _matrix(some.column("vector"))
+                angles = _angles(vectors, index.centroids)
+                nearest = np.where(index.parts > 0, angles, np.inf).argmin(axis=1)
+                if home:
+                    at, cells = np.arange(len(vectors)), first[nearest]
+                else:
+                    bar = some.column("bar").to_numpy(zero_copy_only=False)
+                    at, centroid = np.nonzero((_bounds(vectors, index) >= bar[:, None]) & (index.parts > 0))
+                    times = index.parts[centroid]
+                    at, begins = np.repeat(at, times), np.repeat(first[centroid], times)
+                    cells = begins + np.arange(len(begins)) - np.repeat(np.cumsum(times) - times, times)
+                    other = cells != first[nearest][at]
+                    at, cells = at[other], cells[other]
+                taken = some.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype(np.int32))], ["query_id", "vector", "bar", "cell"])
+
+    return run
+
+
+def _best(scores: np.ndarray, bar: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, row position, rounded score) of the k best rows of each query that reach its bar; ties go to the lower id."""
+    passing = scores >= (bar - RANK_SLACK)[:, None]
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        passing &= scores >= (least - RANK_SLACK)[:, None]
+    where, at = np.nonzero(passing)
+    ranked = np.round(scores[where, at], RANK_DIGITS)
+    order = np.lexsort((ids[at], -ranked, where))
+    where, at, ranked = where[order], at[order], ranked[order]
+    kept = np.arange(len(where)) - np.searchsorted(where, where) < k
+    return where[kept], at[kept], ranked[kept]
+
+
+def _score_cells(k: int):
+    """Hits of queries (rows with a vector) in the cells (rows with an embedding, which come first): a task holds one cell, and queries stream past."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, ids, rows = None, [], None, None
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for b, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if b == e:
+                    continue
+                if cells[b] != cell:
+                    cell, held, rows = cells[b], [], None
+                if not asks[b]:
+                    held.append(batch.slice(b, e - b))
+                    continue
+                if rows is None and held:
+                    table = pa.Table.from_batches(held)
+                    ids, rows, held = table["id"].to_numpy(), _matrix(table["vector"]), []
+                if rows is None:
+                    continue
+                for begin in range(b, e, QUERIES_PER_STEP):
+                    some = batch.slice(begin, min(QUERIES_PER_STEP, e - begin))
+                    scores = _matrix(some.column("vector")) @ rows.T
+                    where, at, ranked = _best(scores, some.column("bar").to_numpy(zero_copy_only=False), ids, k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some.column("id").to_numpy()[where]), pa.array(np.full(len(where), cell, np.int32)), pa.array(ids[at]), pa.array(scores[where, at]), pa.array(ranked)],
+                        schema=_HITS_ARROW)
+
+    return run
+
+
+def _hits(index: CellIndex, visits: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query in each cell that it looks into. Index rows are dealt once, whatever the queries are."""
+    spark = visits.sparkSession
+    first, cells = index.shape.first.tolist(), index.shape.cells
+    cell = (F.element_at(F.array(*[F.lit(int(f)) for f in first]), F.col("centroid") + 1) + F.col("part")).cast("int")
+    held = index.rows.select(cell.alias("cell"), F.lit(False).alias("asks"), F.col("example_id").alias("id"), F.col("embedding").cast(visits.schema["vector"].dataType).alias("vector"), F.lit(0.0).alias("bar"))
+    # While there are fewer cells than tasks, a cell is held by several tasks, each of which sees a share of the queries.
+    shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells))
+    held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    asked = visits.select(
+        "cell", F.lit(True).alias("asks"), F.col("query_id").alias("id"), "vector", "bar", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int").alias("share"))
+    both = held.unionByName(asked).withColumn("task", (F.col("cell") * shares + F.col("share")).cast("int"))
+    dealt = both.repartitionById(cells * shares, "task").sortWithinPartitions("task", "asks")
+    return dealt.select("cell", "asks", "id", "vector", "bar").mapInArrow(_score_cells(k), HITS)
+
+
+def merge_hits(candidates: DataFrame, k: int, merged_cells: int = MERGED_CELLS) -> DataFrame:
+    """Global top-k from the k best of every cell, as a tree: the hits of ``merged_cells`` cells are merged first, so that the last merge of a query gets k from
+    each of these groups and not from each cell."""
+    by_score = [F.desc("rank_score"), F.asc("example_id")]
+    groups = candidates.withColumn("group", (F.col("cell") / merged_cells).cast("int"))
+    for by in (["query_id", "group"], ["query_id"]):
+        groups = groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*by_score))).filter(F.col("rank") <= k)
+    return groups.select("query_id", "rank", "example_id", "score")
+
+
+@dataclass(frozen=True)
+class Search:
+    """``hits`` (query_id, rank, example_id, score), the usable queries, and the cells that they have visited besides the first one of each."""
+
+    hits: DataFrame
+    queries: DataFrame
+    visits: DataFrame
+    cells: int
+
+    def skipped(self) -> int:
+        """How many visits of a query to a cell the bounds have saved."""
+        return self.queries.count() * (self.cells - 1) - self.visits.count()
+
+
+def search_cells(index: CellIndex, queries: DataFrame, k: int | None = None) -> Search:
+    """Exact hits of all usable queries, and which cells they have taken.
+
+    Every query looks into one cell at its nearest centroid. The k-th best score there is its bar, and it visits just those other cells whose
+    bound reaches the bar. Queries are sent to cells, and the cells stay where they are: neither side is broadcast, and the index is not copied for blocks of queries.
+    """
     k = k or DEFAULT_K
-    index, queries = index.select("example_id", "embedding"), queries.select("query_id", "embedding")
-    length = vector_length(index)
-    # An index is checked when it is built; rows of a wrong length in another one stop the tasks that meet them.
-    index = index.filter(vector_problem("embedding").isNull())
-    queries = queries.filter(vector_problem("embedding", length).isNull())
-    if not length:
-        empty = "query_id bigint, rank int, example_id bigint, score double"
-        return index.sparkSession.createDataFrame([], empty), True
-    fits = broadcast_bytes // (8 * length + HIT_BYTES * k)
-    fetched = queries.limit(fits + 1).toArrow() if fits else None
-    if fetched is not None and fetched.num_rows <= fits:
-        ids = _column(fetched, "query_id").to_numpy()
-        return _search_broadcast(index, ids, _matrix(_column(fetched, "embedding")), k), True
-    return _search_grid(index, queries, k, cell_rows), False
-
-
-def search(
-    index: DataFrame,
-    queries: DataFrame,
-    k: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """The ``k`` best index rows of every query: (query_id, rank, example_id, score).
+    numbers = _numbers((index.rows, "embedding"), (queries, "embedding"))
+    visited = f"query_id bigint, vector {numbers}, bar double, cell int"
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast(numbers).alias("vector")).filter(vector_problem("vector", index.shape.length).isNull())
+    asked = asked.withColumn("bar", F.lit(float("-inf")))
+    near = _hits(index, asked.mapInArrow(_visits(index.shape, True), visited), k)
+    if index.shape.cells == 1:
+        return Search(merge_hits(near, k), asked, asked.limit(0), 1)
+    near = stored(near, "near-hits")
+    bars = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    bar = F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(float("-inf")))
+    barred = asked.drop("bar").join(bars.select("query_id", bar.alias("bar")), "query_id")
+    visits = stored(barred.mapInArrow(_visits(index.shape, False), visited), "visits")
+    return Search(merge_hits(near.unionByName(_hits(index, visits, k)), k), asked, visits, index.shape.cells)
+
 
-    ``index`` has (example_id, embedding) and ``queries`` (query_id, embedding), all unit
-    vectors of one length. ``k`` of None or 0 means 3; fewer index rows give fewer hits.
-    Queries that cannot be searched have no hits and change nothing for the others; ``rejected_queries`` names them.
+_NO_HITS = "query_id bigint, rank int, example_id bigint, score double"
 
-    As many queries as fit ``broadcast_bytes``, together with their k hits, go to all executors
-    and the index is read once, without a shuffle. At most one row more than fits is ever fetched to find out. More
-    queries than that take the block join, which broadcasts nothing.
+
+def search(index: DataFrame | CellIndex, queries: DataFrame, k: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The ``k`` best index rows of every query: (query_id, rank, example_id, score).
+
+    ``index`` has (example_id, embedding) and ``queries`` (query_id, embedding), with unique ids; or the index is dealt to cells already. ``k`` of None or 0
+    means 3; fewer index rows give fewer hits. Most index vectors have one length, and what is of another one or cannot be scored has no hits and
+    changes nothing for the others: ``rejected_examples`` and ``rejected_queries`` name it.
     """
-    return _search(index, queries, k, broadcast_bytes, cell_rows)[0]
+    cells = index if isinstance(index, CellIndex) else partition_index(index, cell_rows)
+    return queries.sparkSession.createDataFrame([], _NO_HITS) if cells is None else search_cells(cells, queries, k).hits
 
 
-def rejected_queries(index: DataFrame, queries: DataFrame) -> DataFrame:
+def rejected_queries(index: DataFrame | CellIndex, queries: DataFrame) -> DataFrame:
     """(query_id, error) of the queries that ``search`` leaves out."""
-    problem = vector_problem("embedding", vector_length(index))
-    return queries.select("query_id", problem.alias("error")).filter("error is not null")
+    length = index.shape.length if isinstance(index, CellIndex) else vector_length(index)
+    return queries.select("query_id", vector_problem("embedding", length).alias("error")).filter("error is not null")
+
 
+def rejected_examples(index: DataFrame) -> DataFrame:
+    """(example_id, error) of the index rows that ``search`` leaves out."""
+    return index.select("example_id", vector_problem("embedding", vector_length(index)).alias("error")).filter("error is not null")
 
-def search_examples(
-    index: DataFrame,
-    queries: DataFrame,
-    k: int | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    cell_rows: int = CELL_ROWS,
-) -> DataFrame:
-    """Hits with description and code, which join in by id after the top-k is known.
 
-    With few queries the hits are few as well (k numbers per query), and are sent to the wide
-    index rows; only a query set too large for that makes the index shuffle.
+def search_examples(index: DataFrame, queries: DataFrame, k: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Hits with description and code, which join in by id after the top-k is known: texts meet k rows for each query.
+
+    One example can be near to many queries; its texts then go to as many tasks as its share of the hits asks for.
     """
-    hits, bounded = _search(index, queries, k, broadcast_bytes, cell_rows)
-    if bounded:
-        hits = F.broadcast(hits)
-    return index.select("example_id", "description", "code").join(hits, "example_id").select(
-        "query_id", "rank", "example_id", "description", "code", "score"
-    )
+    hits = stored(search(index, queries, k, cell_rows), "hits")
+    texts = index.select("example_id", "description", "code")
+    return salted_by_count(hits, texts, "example_id", ["query_id"]).select("query_id", "rank", "example_id", "description", "code", "score")

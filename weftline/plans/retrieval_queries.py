@@ -15,7 +15,7 @@ from weftline.plans.dataset_queries import CHECKED_REQUESTS_SQL
 from weftline.plans.registry import Tables, query
 from weftline.plans.scoring_queries import quoted
 from weftline.session import scratch_path
-from weftline.sources.index import read_index, write_index
+from weftline.sources.index import open_index, read_index, reindex, write_index
 from weftline.streaming.requests import prompt_stream, read_request_stream, validate_stream
 
 W = DEFAULT_WORDING
@@ -54,6 +54,24 @@ def r01(t: Tables) -> DataFrame:
     return G.embed(t.documents, "text").select("doc_id", F.array_join(counts, ",").alias("vector"))
 
 
+@query("r01_weighted_words", f"""
+WITH counts AS (
+  SELECT doc_id, bucket, count(*) AS n FROM (
+    SELECT doc_id, {_MD5_BUCKET} AS bucket FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS w FROM documents)) GROUP BY ALL),
+worth AS (SELECT bucket, ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) AS weight FROM counts GROUP BY 1),
+weighted AS (SELECT doc_id, bucket, n * weight AS x FROM counts JOIN worth USING (bucket)),
+lengths AS (SELECT doc_id, sqrt(sum(x * x)) AS size FROM weighted GROUP BY 1)
+SELECT doc_id, count(*) FILTER (x > 0) AS n_buckets, round(max((x / size)::FLOAT::DOUBLE), 5) AS greatest, round(sum((x / size)::FLOAT::DOUBLE), 4) AS total
+FROM weighted JOIN lengths USING (doc_id) GROUP BY 1""")
+def r01_weighted(t: Tables) -> DataFrame:
+    """Unit vectors in which words that few documents use weigh more."""
+    vectors = G.embed_weighted(t.documents.select("doc_id", "text"), "text")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return vectors.select(
+        "doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n_buckets"),
+        F.round(F.array_max("embedding").cast("double"), 5).alias("greatest"), F.round(total, 4).alias("total"))
+
+
 @query("r02_l2_normalize", """
 SELECT vec_id, array_to_string(list_transform(v, lambda x:
   round((x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT::DOUBLE * 100000)::BIGINT), ',') AS unit
@@ -109,6 +127,23 @@ def r09(t: Tables) -> DataFrame:
     return read_index(t.spark, path).select("example_id", F.md5("description").alias("description"), "code")
 
 
+@query("r09_reindex_changed", f"""
+WITH {INDEXED_SQL}
+SELECT example_id, md5(description) AS description, code, CASE WHEN example_id % 3 = 0 OR example_id % 5 = 0 THEN 2 ELSE 1 END AS since FROM indexed
+UNION ALL SELECT -1 - example_id, md5(description), code, 1 FROM indexed WHERE example_id % 7 = 1""")
+def r09_changed(t: Tables) -> DataFrame:
+    """A first version with old texts (every third), without some (every fifth) and with others that have gone since; of these, some are named as gone."""
+    path = scratch_path(t.spark, "index")
+    examples = indexed_examples(t)
+    old = F.when(F.col("example_id") % 3 == 0, F.concat(F.lit("old "), F.col("description"))).otherwise(F.col("description"))
+    first = examples.withColumn("description", old).filter(F.col("example_id") % 5 != 0)
+    passing = examples.filter(F.col("example_id") % 7 < 2).withColumn("example_id", -1 - F.col("example_id"))
+    as_is = lambda stale: stale  # noqa: E731  (the vectors are there already)
+    reindex(first.unionByName(passing), path, as_is)
+    reindex(examples, path, as_is, tombstones=passing.filter((-1 - F.col("example_id")) % 7 == 0))
+    return open_index(t.spark, path).select("example_id", F.md5("description").alias("description"), "code", "since")
+
+
 # -- search --------------------------------------------------------------------------------------------
 
 
@@ -138,21 +173,18 @@ def r05(t: Tables) -> DataFrame:
     return _six(R.search(vectors, _as_queries(vectors)))
 
 
-_LABEL_INDEX_SQL = """
+@query("r06_k_beyond_index", """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-i AS (SELECT * FROM v JOIN labels ON vec_id = doc_id WHERE toxic = 1 AND quality = 1),
-pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS example_id, list_dot_product(q.v, i.v) AS score FROM v q, i)
-SELECT query_id, rank, example_id, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, example_id) AS rank FROM pairs)
-WHERE rank <= 5000"""
-
-
-@query("r06_k_beyond_index", _LABEL_INDEX_SQL)
+pairs AS (
+  SELECT q.vec_id AS query_id, i.vec_id AS example_id, list_dot_product(q.v, i.v) AS score
+  FROM v q, v i WHERE q.vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, example_id) AS rank, example_id,
+  round(score, 6) AS score FROM pairs""")
 def r06(t: Tables) -> DataFrame:
-    """Asking for more hits than the (labelled) index has rows returns all of it."""
+    """The first vector of each label asks for more hits than there are vectors, and gets all of them ranked."""
     vectors = _vectors(t)
-    chosen = t.labels.filter("toxic = 1 AND quality = 1").select(F.col("doc_id").alias("example_id"))
-    return _six(R.search(vectors.join(chosen, "example_id", "left_semi"), _as_queries(vectors), k=5000))
+    first = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("example_id")).select("example_id")
+    return _six(R.search(vectors, _as_queries(vectors.join(first, "example_id", "left_semi")), k=1_000_000_000))
 
 
 @query("r07_hits_with_examples", with_hits("""
@@ -164,24 +196,22 @@ def r07(t: Tables) -> DataFrame:
 
 @query("r08_many_queries", _ALL_PAIRS_SQL + "5")
 def r08(t: Tables) -> DataFrame:
-    """The block join, which serves query sets too large to broadcast."""
+    """Every vector asks, over an index of many small cells."""
     vectors = _vectors(t)
-    return _six(R.search(vectors, _as_queries(vectors), k=5, broadcast_bytes=0, cell_rows=256))
+    return _six(R.search(vectors, _as_queries(vectors), k=5, cell_rows=256))
 
 
 @query("r10_exactness", """
-SELECT vec_id AS query_id, true AS same_hits FROM embeddings""")
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, i.vec_id AS example_id, list_dot_product(q.v, i.v) AS score FROM v q, v i),
+hits AS (
+  SELECT query_id, example_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, example_id) AS rank FROM pairs)
+SELECT query_id, string_agg(example_id, ',' ORDER BY rank) AS hits FROM hits WHERE rank <= 4 GROUP BY 1""")
 def r10(t: Tables) -> DataFrame:
-    """Both search strategies return the same hits for every query."""
+    """What cells of 64 rows find, where bounds decide on most visits, is what a scan of everything finds."""
     vectors = _vectors(t)
-    queries = _as_queries(vectors)
-    whole = R.search(vectors, queries).select("query_id", "rank", "example_id")
-    blocks = R.search(vectors, queries, broadcast_bytes=0, cell_rows=200).select(
-        "query_id", "rank", F.col("example_id").alias("other")
-    )
-    return whole.join(blocks, ["query_id", "rank"], "full").groupBy("query_id").agg(
-        F.min(F.col("example_id").eqNullSafe(F.col("other"))).alias("same_hits")
-    )
+    ranked = R.search(vectors, _as_queries(vectors), k=4, cell_rows=64).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "example_id"))).alias("hits"))
+    return ranked.select("query_id", F.array_join(F.transform("hits", lambda h: h["example_id"].cast("string")), ",").alias("hits"))
 
 
 # -- generation ------------------------------------------------------------------------------------------
