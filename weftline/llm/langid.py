@@ -9,15 +9,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import stored, whole_text
+from weftline.llm.common import stored
 
 LONGEST = 4
 SAMPLE_DOCS = 1500
 LEAST_WORD, LEAST_GRAM = 2, 3
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -137,6 +140,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` (a learnt language; ``und`` if the text is null or has no letter) and ``lang_score`` (0 to 1, 0 for ``und``).
 
+    Each row goes through Python once, whatever is done with the result: rows are passed on with the prediction beside them.
+
     A word that the model knows counts by its log frequency in each language; another one by the mean over its character n-grams of the
     greatest length of which any is known. The score is the share of the best language. Only ``text`` is read.
 
@@ -146,14 +151,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept = docs.drop("lang_pred", "lang_score")
+    at = kept.columns.index("text")
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+        for batch in batches:
+            found = [scorer.predict(t) for t in pc.fill_null(batch.column(at).cast(pa.string()), "").to_pylist()]
+            told = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.string()), (1, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "lang_pred", "lang_score"])
 
-    out = docs.withColumn("_language", predicted(whole_text()))
-    return out.withColumns({"lang_pred": F.col("_language.lang"), "lang_score": F.col("_language.score")}).drop("_language")
+    return kept.mapInArrow(predicted, T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
 
 def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
