@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_WORDS = 600_000
+# What a pool may hold, counting for each word its characters and what an entry takes besides.
+MOST_BYTES, ENTRY_BYTES = 48 << 20, 200
 
 
 class _Numbers(dict):
@@ -26,7 +27,7 @@ class _Numbers(dict):
 class IdPool:
     """Remembers the ids of words; ``encode`` gives (all ids in a row, number of each word's ids) for words not seen before.
 
-    The memory is given up when it holds ``MOST_WORDS`` words.
+    The memory is given up when it holds about ``MOST_BYTES``.
     """
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
@@ -34,13 +35,13 @@ class IdPool:
         self._empty()
 
     def _empty(self) -> None:
-        self.known = _Numbers()
+        self.known, self.size = _Numbers(), 0
         self.ids = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
 
     def texts(self, split: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of words, in a row; and where each text begins (one entry more than texts)."""
-        if len(self.known) > MOST_WORDS:
+        if self.size > MOST_BYTES:
             self._empty()
         counts = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         words = split.flatten().dictionary_encode()
@@ -49,6 +50,7 @@ class IdPool:
         at = numbers[words.indices.to_numpy()]
         if self.known.new:
             ids, sizes = self.encode(self.known.new)
+            self.size += sum(map(len, self.known.new)) + ENTRY_BYTES * len(sizes) + 4 * len(ids)
             self.known.new = []
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, sizes.astype(np.int64)])

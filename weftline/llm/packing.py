@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, stored, whole_text
-from weftline.llm.idpool import MOST_WORDS, IdPool, lots
+from weftline.llm.idpool import IdPool, lots
 
 GROUP_PIECES = 1 << 15
 BATCH_BYTES = 1 << 24
+MOST_MARKS = 50_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -55,7 +56,7 @@ class _Words:
         return ids
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.marks) > MOST_WORDS:
+        if len(self.marks) > MOST_MARKS:
             self.marks = {}
         out, hard = [], []
         for i, w in enumerate(words):
@@ -76,7 +77,7 @@ class _Words:
 
 @lru_cache(maxsize=1)
 def _word_ids(path: str) -> IdPool:
-    """One for each worker process. The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a row.
+    """One for each task at work. The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a row.
 
     Only space and newline are used to split; any other character stays for the tokenizer.
     """
@@ -96,6 +97,13 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(tokenizer: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
+        try:
+            yield from pieces(batches, end)
+        finally:
+            # The worker lives on after the task; its memory of words does not.
+            _word_ids.cache_clear()
+
+    def pieces(batches: Iterator[pa.RecordBatch], end: bytes) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, rows, at = batch.column(0).to_pylist(), [], 0
             for texts in lots(batch.column(1), BATCH_BYTES):
@@ -150,7 +158,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
 
     ``tokenizer`` is the file of a lower-casing word BPE that drops white space; each document's ids are
     followed by ``end_id``. A document longer than ``length`` is cut every ``length`` tokens. The pieces (numbers only,
-    the texts are not moved) are dealt by hash to random groups of about ``group_pieces``, and each group is packed by
+    the texts are not moved) are dealt by a hash, in which pieces alike have numbers of their own, to random groups of about ``group_pieces``, and each group is packed by
     first-fit decreasing. ``sequence_id`` is the group's number times 2^32 plus the bin.
 
     Null or empty text is the end id alone. Repeated rows are packed again each, in any order among themselves;
@@ -160,5 +168,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("_text"))
     pieces = stored(texts.mapInArrow(_pieces(tokenizer, length, end_id), PIECES), "pieces")
     groups = max(1, math.ceil(pieces.count() / group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.repartition(min(groups, partitions(spark)), "_group").groupBy("_group").applyInPandas(_pack(length), PACKED)
