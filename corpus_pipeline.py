@@ -26,9 +26,13 @@ def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter, or no language with half of the score. A null ``lang`` gets the predicted one.
 
-    The model is learnt from the stage's own labelled documents, less the held-out fifth.
+    The model is learnt from the stage's own labelled documents, less the held-out fifth. Where these teach no language (no labels, no ids),
+    nothing can be rejected, and every document stays as it is.
     """
-    told = identify(docs, learn(docs.filter(~held_out())))
+    model = learn(docs.filter(~held_out()))
+    if not model.languages:
+        return docs
+    told = identify(docs, model)
     kept = told.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
