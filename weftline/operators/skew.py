@@ -25,7 +25,7 @@ def salted_join(
 
 
 def salted_by_count(rows: DataFrame, wide: DataFrame, key: str, spread_by: Sequence[str]) -> DataFrame:
-    """Inner join of ``rows`` (stored: they are counted first) with ``wide`` rows of unique ``key``, where few keys may own most of ``rows``.
+    """Inner join of ``rows`` (which are read three times, to count them first) with ``wide`` rows of unique ``key``, where few keys may own most of ``rows``.
 
     With P shuffle partitions, a key with more than 1/P of the rows is hot. There are fewer than P hot keys, so their list is broadcast. The rows of a hot key are
     dealt, by a hash of ``spread_by``, over as many tasks as its share asks for, and its wide row is copied to these; all other rows are neither salted nor copied.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.operators.skew import salted_join
+from weftline.operators.skew import salted_by_count, salted_join
 
 MONEY = "decimal(18,2)"
 
@@ -211,7 +211,10 @@ def yearly_growth(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def order_summary(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, part: DataFrame) -> DataFrame:
-    """Order lines with customer and part details and the line amount."""
+    """Order lines with customer and part details and the line amount.
+
+    Customers of very many orders, and parts of very many lines, are counted first, and their rows are dealt over as many tasks as their share asks for.
+    """
     lines = lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_partkey").alias("p_partkey"),
@@ -222,10 +225,10 @@ def order_summary(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, p
     heads = orders.select(
         "o_orderkey", F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("order_date")
     )
+    heads = salted_by_count(heads, customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", ["o_orderkey"])
+    lines = salted_by_count(lines, part.select("p_partkey", "p_name", "p_type"), "p_partkey", ["o_orderkey", "l_linenumber"])
     return (
         lines.join(heads, "o_orderkey")
-        .join(customer.select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
-        .join(part.select("p_partkey", "p_name", "p_type"), "p_partkey")
         .select(
             "o_orderkey", "l_linenumber", "l_suppkey", "order_date", "c_name", "c_mktsegment",
             "p_name", "p_type", "l_quantity", "total_amount", "net_amount",
