@@ -10,7 +10,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,7 +156,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for t in pc.fill_null(batch.column(at).cast(pa.string()), "").to_pylist()]
+            found = [scorer.predict(t.as_py() or "") for t in batch.column(at)]
             told = [pa.array([f[i] for f in found], kind) for i, kind in ((0, pa.string()), (1, pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, "lang_pred", "lang_score"])
 
