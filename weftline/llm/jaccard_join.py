@@ -23,8 +23,12 @@ COUNTED_TOKENS = 1 << 22
 ORDERS = (0x5BD1E995, 0x27D4EB2F)
 # What tells rows apart: the id, and the hashes of the text.
 ROW = ["doc", "h1", "h2"]
-# Chance orders of a list, and members of a list that are put in order at a time.
-CHANCES, TOGETHER = 3, 512
+# Chance orders of a list, members that each one is compared with in an order, and members of a list that are put in order at a time.
+CHANCES, LOOKS, TOGETHER = 3, 4, 512
+# Words of 64 bits in a set's bitmap, whose bits tell whether an odd number of its shingles fall on them.
+BITS = [f"bits{i}" for i in range(16)]
+# The least tokens of a set by which its pairs are told apart from those that an earlier list gives.
+EARLIER = 16
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -53,6 +57,13 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([a, b], np.uint64).view(np.int64).tolist())
 
 
+def _bitmap(tokens: np.ndarray) -> list[int]:
+    """Two bitmaps differ in no more bits than their sets do in tokens (the bitmap filter of set similarity joins)."""
+    size = 64 * len(BITS)
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _lots(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[list[tuple]]:
     for batch in batches:
         yield from chunks(list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))), at)
@@ -64,10 +75,10 @@ def _rows_of(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> p
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size and digest of each row."""
+    """Set size, digest and bitmap of each row."""
     for lot in _lots(batches):
-        rows = [(r[0], *r[2:], len(s), *_digest(s)) for r, s in zip(lot, shingle_sets([r[1] for r in lot]))]
-        yield _rows_of([(c, pa.int64()) for c in (*ROW, "n", "c1", "c2")], rows)
+        rows = [(r[0], *r[2:], len(s), *_digest(s), *_bitmap(s)) for r, s in zip(lot, shingle_sets([r[1] for r in lot]))]
+        yield _rows_of([(c, pa.int64()) for c in (*ROW, "n", "c1", "c2", *BITS)], rows)
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -153,11 +164,21 @@ def _size_fits(a: str, b: str) -> Column:
     return LEAST[1] * small >= LEAST[0] * large
 
 
+def _needed(a: Column, b: Column) -> Column:
+    """Tokens that similar sets of these sizes share at least."""
+    return F.ceil(F.lit(LEAST[0]) * (a + b) / F.lit(sum(LEAST)))
+
+
 def _least_shared(a: str, b: str) -> Column:
     """Tokens that two prefixes must share at least: what similar sets share, less what can lie behind the prefixes."""
     rest = lambda n: F.ceil(LEAST[0] * F.col(n) / F.lit(LEAST[1])) - 1
-    need = F.ceil(F.lit(LEAST[0]) * (F.col(a) + F.col(b)) / F.lit(sum(LEAST)))
-    return F.greatest(need - F.greatest(rest(a), rest(b)), F.lit(1))
+    return F.greatest(_needed(F.col(a), F.col(b)) - F.greatest(rest(a), rest(b)), F.lit(1))
+
+
+def _slack(na: Column, nb: Column, bits_a: list[Column], bits_b: list[Column]) -> Column:
+    """By how many tokens two sets may differ and be similar, less the bits by which they do differ: below 0 they are not. Unknown bits are none."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b)), F.lit(0))
+    return na + nb - 2 * _needed(na, nb) - F.coalesce(apart, F.lit(0))
 
 
 def _check(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -191,7 +212,7 @@ def _in_several(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _by_chance(mixed: DataFrame) -> DataFrame:
-    """Pairs (x, y, times): in several chance orders of each list, each class is paired with the one before it, and keeps one for each order.
+    """Pairs (x, y): in several chance orders of each list, each class looks at the few before it, and keeps the one most alike by bitmap for each order.
 
     A list is ordered in parts, which every order deals anew, and size ranges are shifted from order to order. A list of two has one order.
     """
@@ -200,9 +221,38 @@ def _by_chance(mixed: DataFrame) -> DataFrame:
         "range", F.floor(F.log("n") / float(np.log(LEAST[1] / LEAST[0])) + F.col("order") / F.lit(CHANCES)).cast("int")).withColumn(
         "part", F.pmod("draw", F.ceil(F.col("length") / F.lit(TOGETHER))).cast("int"))
     at = Window.partitionBy("token", "order", "range", "part").orderBy("draw")
-    met = drawn.select("order", F.lag("class").over(at).alias("x"), F.lag("root").over(at).alias("rx"), F.col("class").alias("y"), "root").filter("rx <> root")
-    times = met.groupBy("order", "x", "y").agg(F.count("*").alias("times"))
-    return times.groupBy("order", "y").agg(F.max(F.struct("times", "x")).alias("best")).select("best.x", "y", "best.times")
+    before = F.array(*(F.lag(F.struct("class", "root", "n", *BITS), k).over(at) for k in range(1, LOOKS + 1)))
+    met = drawn.withColumn("before", before).withColumn("met", F.explode("before")).filter(F.col("met.root") != F.col("root"))
+    slack = _slack(F.col("n"), F.col("met.n"), [F.col(b) for b in BITS], [F.col(f"met.{b}") for b in BITS])
+    met = met.select("order", F.col("class").alias("y"), F.col("met.class").alias("x"), slack.alias("slack")).filter("slack >= 0")
+    return met.groupBy("order", "y").agg(F.max(F.struct("slack", "x")).alias("best")).select("best.x", "y")
+
+
+def _across(marked: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (x, y) of classes of different components that share a list, whose bitmaps allow them to be similar, and whose prefixes share enough tokens.
+
+    In a list, what is not of its largest component meets all others, in parts of the list. A pair that several lists
+    hold is made in the first of them: not where both classes have a lesser token of their ``EARLIER`` least in common.
+    """
+    largest = marked.groupBy("token", "root").agg(F.count("*").alias("members")).groupBy("token").agg(
+        F.max(F.struct("members", "root")).alias("most"), F.sum("members").alias("entries"))
+    largest = stored(largest.select("token", F.col("most.root").alias("largest"), "entries"), "largest-components")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("token"))
+    least = marked.select("class", "token").withColumn("place", place).filter(F.col("place") <= EARLIER).groupBy("class").agg(F.collect_list("token").alias("least"))
+    entries = marked.join(bits, "class").join(least, "class").withColumn("earlier", F.filter("least", lambda t: t < F.col("token")))
+    entries = entries.select("token", F.col("class").alias("x"), "n", "root", "earlier", F.ceil(F.col("length") / F.lit(TOGETHER)).cast("int").alias("parts"), *BITS)
+    entries = stored(join_hot(entries, largest, ["token"], "entries", ["x"]), "mixed-entries")
+    small = entries.filter("root <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = entries.select(
+        "token", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"), F.col("x").alias("y"), (F.col("root") == F.col("largest")).alias("in_largest"),
+        *(F.col(c).alias(f"{c}_y") for c in ("n", "root", "earlier", *BITS)))
+    slack = _slack(F.col("n"), F.col("n_y"), [F.col(b) for b in BITS], [F.col(f"{b}_y") for b in BITS])
+    pairs = small.join(other, ["token", "part"]).filter(
+        (F.col("in_largest") | (F.col("root") < F.col("root_y"))) & _size_fits("n", "n_y") & (slack >= 0) & ~F.arrays_overlap("earlier", "earlier_y"))
+    pairs = pairs.select("x", "y", F.col("n").alias("nx"), F.col("n_y").alias("ny")).distinct()
+    tokens = entries.groupBy("x").agg(F.collect_list("token").alias("tokens"))
+    both = pairs.join(tokens, "x").join(tokens.select(F.col("x").alias("y"), F.col("tokens").alias("others")), "y")
+    return both.filter(F.size(F.array_intersect("tokens", "others")) >= _least_shared("nx", "ny")).select("x", "y")
 
 
 def similar_rows(docs: DataFrame) -> DataFrame:
@@ -213,11 +263,12 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(document_key().alias("doc"), whole_text().alias("text"))
     keyed = texts.select("doc", "text", *text_keys())
-    sizes = stored(keyed.mapInArrow(_summaries, "doc long, h1 long, h2 long, n long, c1 long, c2 long"), "set-sizes")
-    same = sizes.filter("n > 0").groupBy(*ROW, "c1", "c2").agg(F.first("n").alias("n"), F.count("*").alias("same"))
+    sizes = stored(keyed.mapInArrow(_summaries, f"doc long, h1 long, h2 long, n long, c1 long, c2 long, {', '.join(f'{b} long' for b in BITS)}"), "set-sizes")
+    same = sizes.filter("n > 0").groupBy(*ROW, "c1", "c2").agg(F.first("n").alias("n"), F.count("*").alias("same"), *(F.first(b).alias(b) for b in BITS))
     classes = same.groupBy("c1", "c2").agg(
-        F.min(F.struct(*ROW, "same")).alias("rep"), F.first("n").alias("n"), F.sum("same").alias("docs"))
-    classes = classes.select("c1", "c2", F.col("rep").dropFields("same").alias("rep"), "rep.same", "n", "docs", F.monotonically_increasing_id().alias("node"))
+        F.min(F.struct(*ROW, "same", *BITS)).alias("rep"), F.first("n").alias("n"), F.sum("same").alias("docs"))
+    classes = classes.select(
+        "c1", "c2", F.struct(*(f"rep.{c}" for c in ROW)).alias("rep"), "rep.same", "n", "docs", F.monotonically_increasing_id().alias("node"), *(f"rep.{b}" for b in BITS))
     classes = stored(classes, "classes")
     frequent = spark.sparkContext.broadcast(frequent_shingles(texts))
 
@@ -246,15 +297,14 @@ def similar_rows(docs: DataFrame) -> DataFrame:
 
     labels = lambda roots: classes.join(roots, "node", "left").select(
         F.col("c1").alias("class"), F.coalesce("root", "node").alias("root")).groupBy("class").agg(F.min("root").alias("root"))
+    # Classes whose first digests are the same by chance share their lists, and no bitmap speaks for both.
+    bits = classes.groupBy(F.col("c1").alias("class")).agg(F.count("*").alias("sets"), *(F.first(b).alias(b) for b in BITS))
+    bits = bits.select("class", *(F.when(F.col("sets") == 1, F.col(b)).alias(b) for b in BITS))
     mixed = _in_several(lists.select("token", "class", "n").distinct(), labels(roots))
-    likely = named(_by_chance(mixed)).filter(_size_fits("na", "nb") & (F.col("times") * 4 >= _least_shared("na", "nb")))
+    likely = named(_by_chance(mixed.join(bits, "class")))
     near = near.unionByName(_check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), keyed, classes))
-    marked = _in_several(mixed, labels(stored(components(near), "chance-roots")))
-    pair = marked.select("token", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")).join(
-        marked.select("token", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry")), "token").filter(
-        (F.col("rx") < F.col("ry")) & _size_fits("nx", "ny"))
-    shared = pair.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("times")).filter(F.col("times") >= _least_shared("nx", "ny"))
-    rest = named(shared.select("x", "y"))
+    marked = _in_several(mixed.select("token", "class", "n"), labels(stored(components(near), "chance-roots")))
+    rest = named(_across(marked, bits))
     more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), keyed, classes)
 
     final = stored(components(near.unionByName(more)), "roots")
@@ -271,9 +321,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     is worked on. First order: rare shingles by hash, then frequent ones by count. The prefixes of the classes
     under it are dealt out by shingle. In each shingle's list, sorted by set size, every class meets the
     first of its size range (frequent shingles: by shares, whose first ones meet, too), and is paired with the one it meets most often. Pairs that are similar make up components. Shingles whose
-    list then lies in one component are done. In the other lists, neighbours in a few chance orders are paired likewise, which joins what is
-    left of groups of near copies. In the lists that still hold several components, classes of different components are paired, if their sizes fit and
-    their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
+    list then lies in one component are done. In the other lists, classes look at a few others before them in chance orders, and are paired with the most
+    alike by bitmaps of their sets, which joins what is left of groups of near copies. In the lists that still hold several components, classes of different
+    components are paired once, if their sizes and bitmaps fit and their prefixes share as many shingles as similar sets must. Before two sets are compared, their prefixes under
     each further order must meet, too. So no link between components is lost, and groups of near copies give no more pairs than rows.
 
     Null, empty or blank texts have no shingles and stay alone. Fewer than five words are one shingle. Rows are
