@@ -290,11 +290,16 @@ def _score_cells(k: int):
 
 
 def _hits(index: CellIndex, visits: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query in each cell that it looks into. Index rows are dealt once, whatever the queries are."""
-    spark = visits.sparkSession
-    first, cells = index.shape.first.tolist(), index.shape.cells
+    """The k best rows of each query in each cell that it looks into."""
+    first = index.shape.first.tolist()
     cell = (F.element_at(F.array(*[F.lit(int(f)) for f in first]), F.col("centroid") + 1) + F.col("part")).cast("int")
-    held = index.rows.select(cell.alias("cell"), F.lit(False).alias("asks"), F.col("example_id").alias("id"), F.col("embedding").cast(visits.schema["vector"].dataType).alias("vector"), F.lit(0.0).alias("bar"))
+    return cell_hits(index.rows.select(cell.alias("cell"), "example_id", "embedding"), index.shape.cells, visits, k)
+
+
+def cell_hits(rows: DataFrame, cells: int, visits: DataFrame, k: int) -> DataFrame:
+    """The k best ``rows`` (cell, example_id, embedding) in each cell that a query (query_id, vector, bar, cell) looks into. Rows are dealt once, whatever the queries are."""
+    spark = visits.sparkSession
+    held = rows.select("cell", F.lit(False).alias("asks"), F.col("example_id").alias("id"), F.col("embedding").cast(visits.schema["vector"].dataType).alias("vector"), F.lit(0.0).alias("bar"))
     # While there are fewer cells than tasks, a cell is held by several tasks, each of which sees a share of the queries.
     shares = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // cells))
     held = held.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))

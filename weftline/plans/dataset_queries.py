@@ -18,6 +18,8 @@ from weftline.plans.reports import large_orders
 from weftline.plans.scoring_queries import CHATML_SQL, SYSTEM
 from weftline.session import scratch_path
 from weftline.sources import catalog, jsonl
+from weftline.streaming import outcomes as O
+from weftline.streaming.requests import read_request_stream
 
 # -- files ----------------------------------------------------------------------------------------
 
@@ -384,6 +386,56 @@ def d12(t: Tables) -> DataFrame:
     return D.request_outcomes(log, F.date_format("requested_at", "yyyy-MM"))
 
 
+_OUTCOMES_SQL = """
+shipped AS (SELECT l_orderkey, l_shipdate::TIMESTAMP AS delivered_at, bool_or(l_returnflag <> 'R') AS accepted FROM lineitem GROUP BY ALL),
+in_time AS (
+  SELECT o_orderkey, delivered_at, accepted, row_number() OVER (PARTITION BY o_orderkey ORDER BY delivered_at) AS nth
+  FROM orders JOIN shipped ON o_orderkey = l_orderkey AND delivered_at BETWEEN o_orderdate::TIMESTAMP AND o_orderdate::TIMESTAMP + INTERVAL 60 DAY),
+log AS (
+  SELECT o_orderkey AS request_id, o_orderdate::TIMESTAMP AS requested_at, i.delivered_at, i.accepted
+  FROM orders LEFT JOIN in_time i USING (o_orderkey) WHERE nth IS NULL OR nth = 1)"""
+_WAIT = "60 days"
+
+
+def _orders_asked(orders: DataFrame) -> DataFrame:
+    """Every order as a request."""
+    return orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("requested_at"))
+
+
+def _lines_shipped(lineitem: DataFrame) -> DataFrame:
+    """Every order line as an outcome of its order, accepted unless returned."""
+    return lineitem.select(
+        F.col("l_orderkey").alias("request_id"), F.col("l_shipdate").cast("timestamp").alias("delivered_at"), (F.col("l_returnflag") != "R").alias("accepted"))
+
+
+@query("d12_request_log", f"""
+WITH {_OUTCOMES_SQL}
+SELECT strftime(requested_at, '%Y-%m') AS period, count(*) AS requests, count(delivered_at) AS delivered,
+  count(*) FILTER (accepted) AS accepted, sum(epoch_us(delivered_at) - epoch_us(requested_at))::BIGINT AS lead_us FROM log GROUP BY 1""")
+def d12_log(t: Tables) -> DataFrame:
+    """The finished log by month: the first line shipped within 60 days of the order is its outcome, and without one it is open."""
+    log = O.request_log(_orders_asked(t.orders), _lines_shipped(t.lineitem), _WAIT)
+    lead = F.unix_micros("delivered_at") - F.unix_micros("requested_at")
+    return log.groupBy(F.date_format("requested_at", "yyyy-MM").alias("period")).agg(
+        F.count("*").alias("requests"), F.count("delivered_at").alias("delivered"), F.count_if("accepted").alias("accepted"), F.sum(lead).alias("lead_us"))
+
+
+@query("d12_outcome_stream", f"""
+WITH {_OUTCOMES_SQL}
+SELECT strftime(requested_at, '%Y-%m') AS period, count(*) AS delivered, count(*) FILTER (accepted) AS accepted,
+  sum(epoch_us(delivered_at) - epoch_us(requested_at))::BIGINT AS lead_us FROM log WHERE delivered_at IS NOT NULL GROUP BY 1""")
+def d12_stream(t: Tables) -> DataFrame:
+    """The same two tables as streams. Their rows are in no order of time, so the join may forget nothing within a century."""
+    orders = read_request_stream(t.spark, f"{t.folder}/orders.parquet*", t.orders.schema)
+    lines = read_request_stream(t.spark, f"{t.folder}/lineitem.parquet*", t.lineitem.schema)
+    out = scratch_path(t.spark, "outcomes")
+    O.outcome_stream(_orders_asked(orders), _lines_shipped(lines), out, scratch_path(t.spark, "progress"), _WAIT, "36500 days").awaitTermination()
+    log = O.first_outcomes(O.read_log(t.spark, out))
+    lead = F.unix_micros("delivered_at") - F.unix_micros("requested_at")
+    return log.groupBy(F.date_format("requested_at", "yyyy-MM").alias("period")).agg(
+        F.count("*").alias("delivered"), F.count_if("accepted").alias("accepted"), F.sum(lead).alias("lead_us"))
+
+
 @query("d13_sequence_budget", with_pairs("""
 SELECT memory_gb, max_tokens, count(*) AS examples, count(*) FILTER (length > max_tokens) AS over_budget,
   (count(*) FILTER (length > max_tokens))::DOUBLE / count(*) AS over_share

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.prompts import DEFAULT_WORDING
+from weftline.operators import approximate as A
 from weftline.operators import generate as G
 from weftline.operators import retrieval as R
 from weftline.plans.corpus import (
@@ -214,6 +215,26 @@ def r10(t: Tables) -> DataFrame:
     return ranked.select("query_id", F.array_join(F.transform("hits", lambda h: h["example_id"].cast("string")), ",").alias("hits"))
 
 
+@query("r10_approximate_all", _ALL_PAIRS_SQL + "6")
+def r10_approximate_all(t: Tables) -> DataFrame:
+    """Buckets of random planes of which every query asks for all: the hits of the exact search."""
+    vectors = _vectors(t)
+    return _six(A.search_approximately(vectors, _as_queries(vectors), k=6, recall=1.0, cell_rows=64))
+
+
+@query("r10_approximate_recall", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+hits AS (
+  SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, i.v), 10) DESC, i.vec_id) AS rank FROM v q, v i)
+SELECT count(*) AS wanted, true AS enough FROM hits WHERE rank <= 10""")
+def r10_approximate_recall(t: Tables) -> DataFrame:
+    """How many of the exact hits there are, and whether the approximate search finds nine of ten."""
+    vectors = _vectors(t)
+    asked = _as_queries(vectors)
+    counted = A.recall_of(A.search_approximately(vectors, asked, k=10, cell_rows=64), R.search(vectors, asked, k=10))
+    return counted.select("wanted", (F.col("found") * 10 >= F.col("wanted") * 9).alias("enough"))
+
+
 # -- generation ------------------------------------------------------------------------------------------
 
 _BLOCKS_SQL = f"""
