@@ -2,6 +2,7 @@ import shutil
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators.dataset import request_outcomes
 from weftline.streaming import outcomes as O
@@ -83,3 +84,12 @@ def test_finished_log(spark):
     assert O.request_log(nameless, spark.createDataFrame([(None, at(1), True)], OUTCOMES), "2 days").filter("accepted is null").count() == 2
     assert O.request_log(asked.limit(0), done, "2 days").count() == 0
     assert request_outcomes(log, log.who).count() == 5
+
+
+def test_mean_lead_of_sums_beyond_a_long(spark):
+    """Four leads of 100,000 years: their microseconds add up to more than 2^63."""
+    log = spark.range(4).select(
+        F.lit("a").alias("who"), F.timestamp_micros(F.lit(0)).alias("requested_at"),
+        F.timestamp_micros(F.lit(100_000 * 31_536_000_000_000)).alias("delivered_at"), F.lit(True).alias("accepted"))
+    row = request_outcomes(log, log.who).first()
+    assert row.requests == 4 and row.mean_lead_seconds == 100_000 * 31_536_000.0

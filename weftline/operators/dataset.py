@@ -81,7 +81,8 @@ def request_outcomes(
         .agg(
             F.count("*").alias("requests"),
             (F.count_if("accepted") / F.count("*")).alias("acceptance_rate"),
-            (F.sum(lead) / F.count(lead) / 1e6).alias("mean_lead_seconds"),
+            # Microseconds of many requests add up to more than a long holds.
+            (F.sum(lead.cast("decimal(19,0)")).cast("double") / F.count(lead) / 1e6).alias("mean_lead_seconds"),
         )
         .withColumn("on_target", F.col("acceptance_rate") > accepted_above)
     )
