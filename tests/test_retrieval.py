@@ -234,3 +234,33 @@ def test_reindex_renews_what_changed_and_switches_at_the_end(spark, tmp_path):
         reindex(examples(e5="e"), path, lambda stale: stale.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
     assert current_version(spark, path) == 2 and len(rows()) == 3
     assert reindex(examples(e5="e"), path, embed) == 3 and sorted(rows()) == [1, 2, 4, 5]
+
+
+def test_queries_go_once_to_each_block_whatever_the_cells_are(spark):
+    """300 rows in cells of about 4: a query is moved once for each block, not for each of the cells that it looks into."""
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 8))
+    cells = R.partition_index(frame(spark, vectors), cell_rows=4)
+    blocks = R.gather_cells(cells.shape.sizes, 8, 8)
+    assert cells.shape.cells > 60 and len(blocks.begins) - 1 <= 4 and blocks.begins[-1] == cells.shape.cells
+    asked = frame(spark, vectors[:20], "query_id").select("query_id", F.col("embedding").alias("vector"), F.lit(float("-inf")).alias("bar"))
+    calls = asked.mapInArrow(R.calls_of(R._wanted(cells.shape, False), blocks), R.CALLS.format("array<float>"))
+    visits = asked.mapInArrow(R.visits_of(R._wanted(cells.shape, False)), "query_id bigint, cell int")
+    assert calls.count() <= 20 * (len(blocks.begins) - 1)
+    assert sum(bin(int.from_bytes(r.cells, 'big')).count('1') for r in calls.collect()) == visits.count()
+    assert visits.count() == 20 * (cells.shape.cells - 1)
+
+
+@pytest.mark.parametrize("k", [1, 7, 90])
+def test_hits_are_cut_as_they_come(k, monkeypatch):
+    """Tiles of 16 rows and few hits held: the same hits as from all scores at once, of the wanted cells only."""
+    monkeypatch.setattr(R, "TILE_ROWS", 16)
+    monkeypatch.setattr(R, "STEP_HITS", 40)
+    rng = np.random.default_rng(9)
+    rows, asks = np.round(rng.normal(size=(100, 3)), 1), np.round(rng.normal(size=(6, 3)), 1)
+    cells, wanted, ids = np.sort(rng.integers(0, 9, 100)), rng.random((6, 9)) < 0.6, rng.permutation(100)
+    where, at, _, _ = R._best(asks, np.full(6, -np.inf), wanted, rows, cells, ids, k)
+    scores = np.round(asks @ rows.T, 10)
+    for q in range(6):
+        want = sorted((i for i in range(100) if wanted[q, cells[i]]), key=lambda i: (-scores[q, i], ids[i]))[:k]
+        assert at[where == q].tolist() == want

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.retrieval import (
-    CELL_ROWS, DEFAULT_K, _common_length, _matrix, _numbers, _unit, cell_hits, merge_hits, search, vector_problem,
+    CALLS, CELL_ROWS, DEFAULT_K, _common_length, _matrix, _numbers, _unit, block_hits, calls_of, gather_cells, looked_up, merge_hits, search, tasks_of, vector_problem, visits_of,
 )
 from weftline.session import stored
 
@@ -50,6 +50,11 @@ class Buckets:
         """Number of the first cell of each bucket."""
         return np.cumsum(self.parts) - self.parts
 
+    @property
+    def sizes(self) -> np.ndarray:
+        """About how many rows each cell has."""
+        return np.repeat(-(-self.rows // np.maximum(self.parts, 1)), self.parts)
+
 
 @dataclass(frozen=True)
 class BucketIndex:
@@ -64,11 +69,6 @@ def _codes(margins: np.ndarray) -> np.ndarray:
     return ((margins > 0) << np.arange(margins.shape[1])).sum(axis=1)
 
 
-def _at(values: np.ndarray) -> Column:
-    """The value of the row's bucket; one literal, however many buckets there are."""
-    return F.element_at(F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<int>"), F.col("bucket") + 1)
-
-
 def bucket_index(index: DataFrame, cell_rows: int = CELL_ROWS, seed: int = SEED) -> BucketIndex | None:
     """Deal the usable vectors of ``index`` (example_id, embedding) to buckets of about ``cell_rows``. None when no row is usable.
 
@@ -96,8 +96,8 @@ def bucket_index(index: DataFrame, cell_rows: int = CELL_ROWS, seed: int = SEED)
     held = np.zeros(1 << planes, np.int64)
     held[counts["bucket"]] = counts["n"]
     shape = Buckets(normals, held, -(-held // cell_rows))
-    part = F.pmod(F.xxhash64("example_id"), F.greatest(_at(shape.parts), F.lit(1)))
-    return BucketIndex(placed.withColumn("cell", (_at(shape.first) + part).cast("int")), shape)
+    part = F.pmod(F.xxhash64("example_id"), looked_up(np.maximum(shape.parts, 1), "bucket"))
+    return BucketIndex(placed.withColumn("cell", (looked_up(shape.first, "bucket") + part).cast("int")), shape)
 
 
 def _flip_chance(margins: np.ndarray, cosine: np.ndarray, length: int) -> np.ndarray:
@@ -145,22 +145,16 @@ def _chosen(shape: Buckets, vectors: np.ndarray, bar: np.ndarray | None, k: int,
     return at, buckets[at, place]
 
 
-def _probes(shape: Buckets, k: int, recall: float | None):
-    """(query_id, vector, bar, cell): the cells that each query looks into, at home if ``recall`` is None."""
-    first, parts = shape.first, shape.parts
+def _probed(shape: Buckets, k: int, recall: float | None):
+    """For queries and their bars, whether they look into each cell, at home if ``recall`` is None."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin in range(0, batch.num_rows, STEP):
-                some = batch.slice(begin, STEP)
-                bar = None if recall is None else some.column("bar").to_numpy(zero_copy_only=False)
-                at, buckets = _chosen(shape, _matrix(some.column("vector")), bar, k, recall)
-                times = parts[buckets]
-                cells = np.repeat(first[buckets], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                taken = some.take(pa.array(np.repeat(at, times)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.astype(np.int32))], ["query_id", "vector", "bar", "cell"])
+    def choose(vectors: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        at, buckets = _chosen(shape, vectors, None if recall is None else bar, k, recall)
+        wanted = np.zeros((len(vectors), len(shape.parts)), bool)
+        wanted[at, buckets] = True
+        return np.repeat(wanted, shape.parts, axis=1)
 
-    return run
+    return choose
 
 
 @dataclass(frozen=True)
@@ -187,18 +181,19 @@ def search_buckets(index: BucketIndex, queries: DataFrame, k: int | None = None,
         raise ValueError(f"recall is not in (0, 1]: {recall}")
     k = k or DEFAULT_K
     numbers = _numbers((index.rows, "embedding"), (queries, "embedding"))
-    visited = f"query_id bigint, vector {numbers}, bar double, cell int"
+    called, visited = CALLS.format(numbers), "query_id bigint, cell int"
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").cast(numbers).alias("vector")).filter(vector_problem("vector", index.shape.length).isNull())
     asked = asked.withColumn("bar", F.lit(float("-inf")))
     rows = index.rows.select("cell", "example_id", "embedding")
-    home = stored(asked.mapInArrow(_probes(index.shape, k, None), visited), "home-visits")
-    near = stored(cell_hits(rows, index.shape.cells, home, k), "near-hits")
+    blocks = gather_cells(index.shape.sizes, index.shape.length, tasks_of(queries))
+    at_home, elsewhere = _probed(index.shape, k, None), _probed(index.shape, k, recall)
+    near = stored(block_hits(rows, blocks, asked.mapInArrow(calls_of(at_home, blocks, STEP), called), k), "near-hits")
     # Of the hits so far, the least of the k best: no lower than the k-th best of all cells can be taken for.
     bars = merge_hits(near, k).groupBy("query_id").agg(F.min("score").alias("bar"))
     others = asked.drop("bar").join(bars, "query_id").select("query_id", "vector", "bar")
-    visits = stored(others.mapInArrow(_probes(index.shape, k, recall), visited), "visits")
-    hits = merge_hits(near.unionByName(cell_hits(rows, index.shape.cells, visits, k)), k)
-    return Probed(hits, asked, home.unionByName(visits).select("query_id", "cell"), index.shape.cells)
+    hits = merge_hits(near.unionByName(block_hits(rows, blocks, others.mapInArrow(calls_of(elsewhere, blocks, STEP), called), k)), k)
+    visits = asked.mapInArrow(visits_of(at_home, STEP), visited).unionByName(others.mapInArrow(visits_of(elsewhere, STEP), visited))
+    return Probed(hits, asked, visits, index.shape.cells)
 
 
 def search_approximately(index: DataFrame | BucketIndex, queries: DataFrame, k: int | None = None, recall: float = RECALL, cell_rows: int = CELL_ROWS) -> DataFrame:
