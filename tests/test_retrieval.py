@@ -264,3 +264,11 @@ def test_hits_are_cut_as_they_come(k, monkeypatch):
     for q in range(6):
         want = sorted((i for i in range(100) if wanted[q, cells[i]]), key=lambda i: (-scores[q, i], ids[i]))[:k]
         assert at[where == q].tolist() == want
+
+
+def test_k_beyond_the_index_ranks_every_pair(spark, tmp_path):
+    from weftline.plans import QUERIES
+
+    vectors = np.random.default_rng(8).normal(size=(30, 4))
+    frame(spark, vectors, "vec_id").withColumn("label", F.lit(1)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert found(QUERIES["r06_k_beyond_index"](spark, str(tmp_path))) == brute_force(vectors, vectors, 30)
