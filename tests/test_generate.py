@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from weftline.operators import generate as G
@@ -122,3 +123,27 @@ def test_rejected_requests_carry_their_error(spark):
     answers = {r.request_id: r for r in G.generate_with_retrieval(requests, index, lambda *a: "```\nx\n```", "m").collect()}
     assert answers[1].code == "x" and answers[1].error is None
     assert (answers[3].code, answers[3].error) == ("", "rejected: no vector") and answers[2].error.startswith("rejected: vector length 1")
+
+
+def test_a_few_prompts_at_a_time_become_strings(monkeypatch):
+    """A batch of 100 prompts of 1 KB, where parts have 10 KB: slices of about ten rows, and none is lost."""
+    monkeypatch.setattr(G, "PART_BYTES", 10_000)
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "user": ["x" * 1000] * 100})
+    parts = list(G._parts(batch))
+    assert max(p.num_rows for p in parts) < 12 and [i for p in parts for i in p["id"].to_pylist()] == list(range(100))
+    monkeypatch.setattr(G, "PART_BYTES", 1)
+    assert [p.num_rows for p in G._parts(batch)] == [1] * 100 and list(G._parts(batch.slice(0, 0))) == []
+
+
+def test_completion_keeps_other_columns_and_names_failures(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART_BYTES", 1)
+    rows = [(1, "s", "a b c", 0.5, 9, None, ["x", None]), (2, "s", "a b", 0.5, 9, None, None), (3, "s", None, 0.5, 9, "no vector", []), (4, "s", "a", None, None, None, [])]
+    prompts = spark.createDataFrame(rows, "request_id bigint, system string, user string, temperature double, max_tokens int, rejected string, retrieved array<string>").coalesce(1)
+
+    def answer(system, user, temperature, max_tokens):
+        return f"{len(user.split())} {temperature} {max_tokens}" if len(user.split()) != 2 else 1 / 0
+
+    got = {r.request_id: (r.text, r.error, r.retrieved) for r in G.complete(prompts, answer).collect()}
+    assert got == {
+        1: ("3 0.5 9", None, ["x", None]), 2: (None, "ZeroDivisionError: division by zero", None), 3: (None, "rejected: no vector", []),
+        4: (None, "ValueError: cannot convert float NaN to integer", [])}

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from weftline.session import stored
 # Defaults and accepted ranges of a request.
 MAX_TOKENS_DEFAULT, MAX_TOKENS_RANGE = 2048, (64, 4096)
 TEMPERATURE_DEFAULT, TEMPERATURE_RANGE = 0.1, (0.0, 2.0)
+# Bytes of prompts that a task has as Python strings at a time.
+PART_BYTES = 1 << 22
 
 Complete = Callable[[str, str, float, int], str]
 
@@ -105,6 +108,13 @@ def embed_weighted(df: DataFrame, text: str = "description", dim: int = 64, out:
     return counted.withColumn(out, F.when(F.col("_counts").isNotNull(), unit)).drop("_counts")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``PART_BYTES``, or of one row."""
+    step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+    for begin in range(0, batch.num_rows, step):
+        yield batch.slice(begin, step)
+
+
 def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete] | None = None) -> DataFrame:
     """Run ``fn(system, user, temperature, max_tokens)`` on each prompt row.
 
@@ -112,15 +122,18 @@ def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete]
     goes on. A row whose ``rejected`` column gives a reason is not run, and has that as its error. ``per_task`` makes the function once per task instead (say, to open a client).
     """
     columns = prompts.columns
+    used = [c for c in ("system", "user", "temperature", "max_tokens", "rejected") if c in columns]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = per_task() if per_task else fn
-        for batch in batches:
+        # A batch has thousands of rows; only a few texts at a time become Python strings.
+        for part in (part for batch in batches for part in _parts(batch)):
             texts: list[str | None] = []
             errors: list[str | None] = []
-            reasons = batch["rejected"] if "rejected" in columns else [None] * len(batch)
+            asked = pa.Table.from_batches([part.select(used)]).to_pandas()
+            reasons = asked["rejected"] if "rejected" in columns else [None] * len(asked)
             for system, user, temperature, max_tokens, reason in zip(
-                batch["system"], batch["user"], batch["temperature"], batch["max_tokens"], reasons
+                asked["system"], asked["user"], asked["temperature"], asked["max_tokens"], reasons
             ):
                 if reason is not None:
                     texts.append(None)
@@ -132,13 +145,11 @@ def complete(prompts: DataFrame, fn: Complete, per_task: Callable[[], Complete]
                 except Exception as exc:
                     texts.append(None)
                     errors.append(f"{type(exc).__name__}: {exc}")
-            yield batch.assign(
-                text=pd.Series(texts, dtype=object, index=batch.index),
-                error=pd.Series(errors, dtype=object, index=batch.index),
-            )
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*part.schema.names, "text", "error"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in prompts.dtypes) + ", text string, error string"
-    return prompts.mapInPandas(run, schema).select(*columns, "text", "error")
+    return prompts.mapInArrow(run, schema).select(*columns, "text", "error")
 
 
 @F.pandas_udf(BooleanType())
