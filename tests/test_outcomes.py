@@ -55,6 +55,23 @@ def test_outcome_before_request_and_rows_sent_again(streams):
     assert streams.run() == [(1, at(5), True)]
 
 
+def test_rows_are_kept_in_tables_until_their_time_is_over(streams):
+    streams.add([(1, 0), (2, 100)], [(1, 1, True), (2, 101, True)])
+    assert streams.run() == [(1, at(1), True), (2, at(101), True)]  # both have come as far as hour 100, less a day
+    streams.add([(1, 77), (3, 50)], [(1, 78, False), (3, 78, True), (2, 101, True)])  # asked anew; too late; sent again
+    assert streams.run() == [(1, at(1), True), (1, at(78), False), (2, at(101), True)]
+    kept = streams.spark.read.parquet(f"{streams.folder}/progress/pending/1/asked").collect()
+    assert sorted((r.request_id, r.requested_at) for r in kept) == [(1, at(77)), (2, at(100))]
+
+
+def test_no_row_is_held_in_memory_between_batches(streams):
+    streams.add([(1, 0)], [(1, 1, True)])
+    asked, done = (read_request_stream(streams.spark, f"{streams.folder}/in/{name}", schema) for name, schema in (("requests", REQUESTS), ("outcomes", OUTCOMES)))
+    query = O.outcome_stream(asked, done, f"{streams.folder}/log", f"{streams.folder}/progress", "2 days", "1 day")
+    query.awaitTermination()
+    assert query.recentProgress and not any(p.stateOperators for p in query.recentProgress)
+
+
 def test_replay_adds_nothing(streams):
     streams.add([(1, 0), (2, 0)], [(1, 1, True)])
     streams.run()
