@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import compare, connect
-from weftline.llm import exact_dedup, html_text, jaccard_join, langid, line_dedup, packing, pii, sentence_pieces, spotsigs, substring_dedup
+from weftline.llm import exact_dedup, html_text, jaccard_join, langid, line_dedup, packing, pii, sentence_pieces, spotsigs, substring_dedup, wordhash
 from weftline.llm.components import components
 from weftline.llm.queries import ORACLES, QUERIES, tokenizer
 
@@ -148,6 +148,31 @@ def test_similar_documents_against_brute_force(spark):
     assert sorted(map(tuple, got)) == _components(texts)
 
 
+def test_sets_are_summed_up_and_counted_in_one_pass():
+    """One pass over the texts gives each row's summary and the shingles that different sets share; digests and bitmaps are those of the sets, however many come at a time."""
+    texts = ["a b c d e f g h", "A b  c d e f x", "", "z " * 9, "a b c d e f x"]
+    rows = pa.table({"doc": range(5), "text": texts, "h1": range(5), "h2": range(5)}).to_batches()
+    got = pa.Table.from_batches(jaccard_join._summaries(iter(rows))).to_pylist()
+    sets = [set(s.tolist()) for s in jaccard_join.shingle_sets(texts)]
+    summed = [r for r in got if r["token"] is None]
+    assert [(r["doc"], r["n"]) for r in summed] == [(0, 4), (1, 3), (2, 0), (3, 1), (4, 3)] == [(i, len(s)) for i, s in enumerate(sets)]
+    assert {r["token"] % 2**64: r["count"] for r in got if r["token"] is not None} == dict.fromkeys(sets[0] & sets[1], 2)
+    columns = ["n", "c1", "c2", *jaccard_join.BITS]
+    assert [summed[1][c] for c in columns] == [summed[4][c] for c in columns] and len({r["c1"] for r in summed}) == 4
+    for r, s in zip(summed, sets):
+        odd = {b for b in range(1024) if sum(t % 1024 == b for t in s) % 2}
+        assert sum((r[b] % 2**64).bit_count() for b in jaccard_join.BITS) == len(odd) and r["c1"] % 2**64 == sum(s) % 2**64
+
+
+def test_word_hashes_do_not_depend_on_what_is_around():
+    texts = ["", " Ab\tcd\x0b", "é\x1c𝄞 ", "ab" * 3_000_000, "cd"]
+    for lower in (False, True):
+        hashes, begins = wordhash.words(texts, lower)
+        alone = [wordhash.words([t], lower)[0].tolist() for t in ("Ab", "cd", "é\x1c𝄞", "ab" * 3_000_000, "cd")]
+        assert [[h] for h in hashes.tolist()] == alone and begins.tolist() == [0, 0, 2, 3, 4, 5]
+        assert (wordhash.words(["ab"])[0][0] == alone[0][0]) == lower
+
+
 def test_similar_documents_edge_cases(docs):
     rows = jaccard_join.similar_documents(docs).collect()
     got = {r["doc_id"]: r for r in rows}

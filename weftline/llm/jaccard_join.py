@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWEST, document_key, join_hot, partitions, stored, text_keys, whole_text
 from weftline.llm.components import components
-from weftline.llm.wordhash import chunks, mix, runs, words
+from weftline.llm.wordhash import CHUNK_BYTES, chunks, mix, runs, words
 
 SHINGLE = 5
 # Least similarity as a fraction.
@@ -29,6 +29,14 @@ CHANCES, LOOKS, TOGETHER = 3, 4, 512
 BITS = [f"bits{i}" for i in range(16)]
 # The least tokens of a set by which its pairs are told apart from those that an earlier list gives.
 EARLIER = 16
+# Sets whose bitmaps are made at a time, and rows that are taken from or put in a batch at a time.
+SETS_AT_ONCE, ROWS_AT_ONCE = 128, 512
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for short arrays a good deal faster than ``np.unique``, which hashes."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
 
 
 def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
@@ -38,7 +46,7 @@ def shingle_sets(texts: list[str], size: int = SHINGLE) -> list[np.ndarray]:
     out = []
     for b, e in zip(begins[:-1].tolist(), begins[1:].tolist()):
         if e - b >= size:
-            out.append(np.unique(grams[b : e - size + 1]))
+            out.append(_distinct(grams[b : e - size + 1]))
         elif e > b:
             out.append(runs(hashes[b:e], e - b, 1000 + e - b))
         else:
@@ -51,22 +59,33 @@ def prefix_size(n: int) -> int:
     return n - (-(-LEAST[0] * n // LEAST[1])) + 1 if n else 0
 
 
-def _digest(tokens: np.ndarray) -> tuple[int, int]:
-    a = mix(tokens + np.uint64(11)).sum(dtype=np.uint64)
-    b = mix(tokens ^ np.uint64(0x6A09E667F3BCC909)).sum(dtype=np.uint64)
-    return tuple(np.array([a, b], np.uint64).view(np.int64).tolist())
+def _digests(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """128 bits of each set: sums of its tokens, which are hashes, and of their mixed values."""
+    ends = np.cumsum([len(s) for s in sets])
+    tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+    out = []
+    for values in (tokens, mix(tokens ^ np.uint64(0x6A09E667F3BCC909))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])[np.concatenate([[0], ends]).astype(np.int64)]
+        out.append(np.diff(sums).view(np.int64).tolist())
+    return list(zip(*out))
 
 
-def _bitmap(tokens: np.ndarray) -> list[int]:
+def _bitmaps(sets: list[np.ndarray]) -> Iterator[list[int]]:
     """Two bitmaps differ in no more bits than their sets do in tokens (the bitmap filter of set similarity joins)."""
     size = 64 * len(BITS)
-    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    for first in range(0, len(sets), SETS_AT_ONCE):
+        some = sets[first : first + SETS_AT_ONCE]
+        bits = np.concatenate(some) & np.uint64(size - 1)
+        bits = bits.astype(np.int64) + np.repeat(np.arange(len(some)) * size, [len(s) for s in some])
+        odd = np.bincount(bits, minlength=size * len(some)) & 1
+        yield from np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(some), len(BITS)).tolist()
 
 
 def _lots(batches: Iterator[pa.RecordBatch], at: int = 1) -> Iterator[list[tuple]]:
     for batch in batches:
-        yield from chunks(list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))), at)
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            some = batch.slice(first, ROWS_AT_ONCE)
+            yield from chunks(list(zip(*(some.column(i).to_pylist() for i in range(some.num_columns)))), at)
 
 
 def _rows_of(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.RecordBatch:
@@ -75,10 +94,44 @@ def _rows_of(names_types: list[tuple[str, pa.DataType]], rows: list[tuple]) -> p
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Set size, digest and bitmap of each row."""
+    """Set size, digest and bitmap of each row, and, in rows of their own, shingles that different sets share, with their number among about ``COUNTED_TOKENS`` at a time.
+
+    Both come of one pass, since to make the sets costs more than all that is done with them here.
+    """
+    columns = [(c, pa.int64()) for c in (*ROW, "n", "c1", "c2", *BITS)]
+    nothing = lambda names, n: [pa.nulls(n, pa.int64()) for _ in names]
+    counted = ["token", "count"]
+
+    def often(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held.sort()
+        again = held[1:] == held[:-1]
+        first = np.flatnonzero(again & ~np.concatenate([[False], again[:-1]]))
+        last = np.flatnonzero(again & ~np.concatenate([again[1:], [False]]))
+        tokens, counts = held[first].view(np.int64), last - first + 2
+        for k in range(0, len(tokens), 16 * ROWS_AT_ONCE):
+            found = [pa.array(c[k : k + 16 * ROWS_AT_ONCE]) for c in (tokens, counts)]
+            yield pa.RecordBatch.from_arrays([*nothing(columns, len(found[0])), *found], [*(c for c, _ in columns), *counted])
+
+    seen: set[tuple[int, int]] = set()
+    # One array takes all tokens, which is given back whole; it grows if a set needs more.
+    held, size = np.empty(COUNTED_TOKENS + CHUNK_BYTES, np.uint64), 0
     for lot in _lots(batches):
-        rows = [(r[0], *r[2:], len(s), *_digest(s), *_bitmap(s)) for r, s in zip(lot, shingle_sets([r[1] for r in lot]))]
-        yield _rows_of([(c, pa.int64()) for c in (*ROW, "n", "c1", "c2", *BITS)], rows)
+        sets = shingle_sets([r[1] for r in lot])
+        digests = _digests(sets)
+        rows = _rows_of(columns, [(r[0], *r[2:], len(s), *d, *b) for r, s, d, b in zip(lot, sets, digests, _bitmaps(sets))])
+        yield pa.RecordBatch.from_arrays([*rows.columns, *nothing(counted, rows.num_rows)], [*rows.schema.names, *counted])
+        for s, d in zip(sets, digests):
+            if len(s) and d not in seen:
+                seen.add(d)
+                if size + len(s) > len(held):
+                    held = np.concatenate([held[:size], np.empty(len(s), np.uint64)])
+                held[size : size + len(s)] = s
+                size += len(s)
+        if size > COUNTED_TOKENS:
+            yield from often(held[:size])
+            size = 0
+    if size:
+        yield from often(held[:size])
 
 
 def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -86,31 +139,14 @@ def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.
     seen: set[tuple[int, int]] = set()
     for lot in _lots(batches):
         out = []
-        for s in shingle_sets([r[1] for r in lot]):
-            d = _digest(s)
+        sets = shingle_sets([r[1] for r in lot])
+        for s, d in zip(sets, _digests(sets)):
             if len(s) and d not in seen:
                 seen.add(d)
                 out.append((d[0], s))
         yield out
 
 
-def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that different sets share, with their number among about ``COUNTED_TOKENS`` at a time."""
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        many = counts > 1
-        return pa.RecordBatch.from_arrays([pa.array(tokens[many].view(np.int64)), pa.array(counts[many])], ["token", "count"])
-
-    held: list[np.ndarray] = []
-    for lot in _new_sets(batches):
-        held += [s for _, s in lot]
-        if sum(map(len, held)) > COUNTED_TOKENS:
-            yield counted(held)
-            held = []
-    if held:
-        yield counted(held)
-
-
 def _prefixes(frequent):
     """(token, class, set size, whether the token is frequent) for the first tokens of each set: rare ones by hash, then frequent ones by count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +231,9 @@ def _check(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "similar")
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, 2^20 at most, and their counts (of repeats within parts of tasks): few enough to send to everyone."""
-    counted = stored(texts.mapInArrow(_often, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "shingle-counts")
+    counted = stored(shared.groupBy("token").agg(F.sum("count").alias("count")), "shingle-counts")
     rows = counted.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
     tokens, counts = rows["token"].to_numpy().view(np.uint64), rows["count"].to_numpy()
     order = np.argsort(tokens)
@@ -263,14 +299,16 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(document_key().alias("doc"), whole_text().alias("text"))
     keyed = texts.select("doc", "text", *text_keys())
-    sizes = stored(keyed.mapInArrow(_summaries, f"doc long, h1 long, h2 long, n long, c1 long, c2 long, {', '.join(f'{b} long' for b in BITS)}"), "set-sizes")
+    columns = [*ROW, "n", "c1", "c2", *BITS]
+    summed = stored(keyed.mapInArrow(_summaries, ", ".join(f"{c} long" for c in (*columns, "token", "count"))), "set-sizes")
+    sizes = summed.filter("token is null").select(*columns)
     same = sizes.filter("n > 0").groupBy(*ROW, "c1", "c2").agg(F.first("n").alias("n"), F.count("*").alias("same"), *(F.first(b).alias(b) for b in BITS))
     classes = same.groupBy("c1", "c2").agg(
         F.min(F.struct(*ROW, "same", *BITS)).alias("rep"), F.first("n").alias("n"), F.sum("same").alias("docs"))
     classes = classes.select(
         "c1", "c2", F.struct(*(f"rep.{c}" for c in ROW)).alias("rep"), "rep.same", "n", "docs", F.monotonically_increasing_id().alias("node"), *(f"rep.{b}" for b in BITS))
     classes = stored(classes, "classes")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(summed.filter("token is not null").select("token", "count")))
 
     entries = texts.mapInArrow(_prefixes(frequent), "token long, class long, n int, hot boolean")
     entries = entries.select(

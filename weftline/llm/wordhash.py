@@ -9,7 +9,13 @@ import numpy as np
 CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
+_UNBASE = pow(_BASE, -1, 1 << 64)
+# Bytes that are hashed at a time, unless one text is longer, and powers that a task keeps, of the base and of its inverse.
+_BLOCK, _KEPT = 1 << 17, 1 << 18
+_powers = {base: np.ones(1, np.uint64) for base in (_BASE, _UNBASE)}
+# Bytes with A-Z lower-cased, and whether a byte is white space.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SPACE = bytes(b == 32 or 9 <= b <= 13 for b in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,14 +25,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, base: int = _BASE) -> np.ndarray:
     """The first n powers of an odd base modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        steps = np.full(max(n, 2 * len(_powers)), _BASE % 2**64, np.uint64)
+    known = _powers[base]
+    if len(known) < n:
+        steps = np.full(max(n, min(2 * len(known), _KEPT)), base, np.uint64)
         steps[0] = 1
-        _powers = np.cumprod(steps)
-    return _powers[:n]
+        known = np.cumprod(steps)
+        if len(known) <= _KEPT:
+            _powers[base] = known
+    return known[:n]
 
 
 def words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -34,22 +42,39 @@ def words(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray
 
     ``lower`` lower-cases A-Z first. The second array has one entry more than there are texts.
     """
+    found, begins, lot, size = [], [np.zeros(1, np.int64)], [], 0
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    for i, r in enumerate(raw):
+        lot.append(r)
+        size += len(r)
+        if i + 1 == len(raw) or size + len(raw[i + 1]) > _BLOCK:
+            hashed, ends = _hashed(lot, lower)
+            begins.append(ends + begins[-1][-1])
+            found.append(hashed)
+            lot, size = [], 0
+    return np.concatenate([np.zeros(0, np.uint64), *found]), np.concatenate(begins)
+
+
+def _hashed(raw: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word, and where each text's words end."""
     ends = np.cumsum([len(r) + 1 for r in raw])
-    if lower:
-        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+    joint = b"\n".join(raw) + b"\n"
+    data = np.frombuffer(joint.translate(_LOWER) if lower else joint, np.uint8)
+    space = np.frombuffer(joint.translate(_SPACE), np.bool_)
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if not space[0] else edge
     starts, stops = edge[0::2], edge[1::2]
-    sizes = stops - starts
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    first = np.cumsum(sizes) - sizes
-    within = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    values = (data[~space].astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[within]
-    hashed = mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))
-    return hashed, np.concatenate([[0], np.searchsorted(starts, ends)])
+        return np.zeros(0, np.uint64), np.zeros(len(raw), np.int64)
+    # The sum of a word's bytes times powers that begin anew with it, from sums of all bytes so far.
+    sums = data.astype(np.uint64)
+    sums += np.uint64(1)
+    sums *= powers(len(data))
+    np.cumsum(sums, out=sums)
+    before = sums[np.maximum(starts - 1, 0)]
+    before[0] = before[0] if starts[0] else 0
+    hashed = (sums[stops - 1] - before) * powers(len(data), _UNBASE)[starts]
+    return mix(hashed + (stops - starts).astype(np.uint64)), np.searchsorted(starts, ends)
 
 
 def joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
