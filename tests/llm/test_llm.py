@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.oracle import compare, connect
 from weftline.llm import exact_dedup, html_text, jaccard_join, langid, line_dedup, packing, pii, sentence_pieces, spotsigs, substring_dedup, wordhash
+from weftline.llm import components as components_module
+from weftline.llm.common import join_hot, stored
 from weftline.llm.components import components
 from weftline.llm.queries import ORACLES, QUERIES, tokenizer
 
@@ -197,6 +199,33 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
 
 
+def test_driver_has_little_to_do_for_links_that_are_settled(spark, monkeypatch):
+    """Stars, to which a component's links come down, take one look and no round; and a join without hot keys is one join, without a broadcast of none."""
+    steps = []
+    monkeypatch.setattr(components_module, "stored", lambda df, name: steps.append(name) or stored(df, name))
+    edges = [(0, i) for i in range(1, 40)] + [(50, 51)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(40)}, 50: 50, 51: 50} and steps == ["links", "least"]
+
+    rows = spark.range(100).select((F.col("id") % 20).alias("k"), "id")
+    even = stored(spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit(5).alias("n")), "even")
+    hot = stored(even.withColumn("n", F.when(F.col("k") == 0, 1000).otherwise(5)), "hot")
+    found = [join_hot(rows, groups.hint("merge"), ["k"], "n", ["id"]) for groups in (even, hot)]
+    assert [f._jdf.queryExecution().optimizedPlan().toString().count("Join") for f in found] == [1, 2]
+    assert [f.columns for f in found] == [["k", "id", "v"]] * 2
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) == sorted((i % 20, i, i % 20 * 2) for i in range(100))
+
+
+def test_language_counts_are_not_gathered_row_by_row(spark, docs, monkeypatch):
+    """The driver turns the counts of each length into logs from columns; rows of Python objects took several times their room."""
+    monkeypatch.setattr(type(docs), "toPandas", None)
+    model = langid.learn(spark.createDataFrame([(1, "aa bb aa", "x"), (2, "aa bb bb cc", "y"), (3, "aa", None)], "doc_id long, text string, lang string"))
+    assert model.languages == ["x", "y"] and sorted(model.words) == ["aa", "bb"]
+    logs = np.log(np.array([[2.5, 1.5], [1.5, 2.5]]) / [4, 4])
+    logs -= logs.mean(axis=1, keepdims=True)
+    assert np.array_equal([model.words["aa"], model.words["bb"]], logs.astype(np.float32))
+
+
 def test_pieces_equal_the_library():
     from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 

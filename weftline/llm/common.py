@@ -38,16 +38,19 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str]) -> DataFrame:
+def join_hot(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, spread: list[str], weights: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Inner join of ``rows`` with one row per key, where few keys may own most rows.
 
     ``groups`` must be stored (it is read three times); its column ``weight`` says how many rows hold
     the key. With P shuffle partitions, a key above 1/P of all these rows is hot: there are fewer
     than P of those, which bounds the broadcast. A hot key is dealt over as many tasks as its
-    share asks for (2P copies of group rows in all, at most), by a hash of ``spread``.
+    share asks for (2P copies of group rows in all, at most), by a hash of ``spread``. Where no key
+    is hot, this is a plain join. ``weights``: sum and maximum of ``weight``, if the caller knows them.
     """
     parts = partitions(rows.sparkSession)
-    total = groups.agg(F.sum(weight)).first()[0] or 0
+    total, most = (w or 0 for w in weights or groups.agg(F.sum(weight), F.max(weight)).first())
+    if most * parts <= total:
+        return rows.join(groups.drop(weight), keys)
     share = F.ceil(F.col(weight) * parts / F.lit(max(total, 1))).cast("int")
     hot = groups.filter(F.col(weight) * parts > total).select(*keys, share.alias("_deal"))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn(

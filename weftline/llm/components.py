@@ -12,12 +12,14 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _least(near: DataFrame) -> DataFrame:
+    """The least neighbour and the number of neighbours of each node."""
+    return stored(near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _star(near: DataFrame, least: DataFrame, weights: tuple[int, int] | None, large: bool) -> DataFrame:
     """Link neighbours to the least node around: of each node's larger neighbours, or of its smaller ones and itself."""
-    near = _both_ways(edges) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = stored(near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
-    least = least.withColumn("m", F.least("m", "a"))
-    met = join_hot(near, least, ["a"], "n", ["b"])
+    met = join_hot(near, least.withColumn("m", F.least("m", "a")), ["a"], "n", ["b"], weights)
     out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(
         F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return stored(out.filter("a <> b").distinct(), "stars")
@@ -26,17 +28,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that can be reached.
 
-    Large-star and small-star rounds, each a grouping and a join, until nothing changes; a graph of n nodes needs about
-    log n of them. No neighbourhood is gathered in one task. No edges give no rows; loops and repeats are harmless.
+    Large-star and small-star rounds, each a grouping and a join, until no node with a lesser neighbour has another one, too, so that
+    all are linked to their roots alone; a graph of n nodes needs about log n of them. No neighbourhood is gathered in one task.
+    No edges give no rows; loops and repeats are harmless.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = None
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state[0] == 0 or state == before:
+        near = _both_ways(now)
+        least = _least(near)
+        total, most, between = least.agg(F.sum("n"), F.max("n"), F.count_if((F.col("m") < F.col("a")) & (F.col("n") > 1))).first()
+        if not between:
             break
-        before = state
-        now = _star(_star(now, True), False)
+        now = _star(near, least, (total, most), True)
+        now = _star(now, _least(now), None, False)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -222,12 +222,13 @@ def _check(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
     needed = stored(classes.select("node", "rep.*", "same").join(needed.hint("shuffle_hash"), "node"), "pair-classes")
     # Rows of one id and text stand for each other, and however many there are, one of them is taken.
-    found = join_hot(texts.withColumn("_at", F.monotonically_increasing_id()), needed.withColumn("_same", F.col("same")).hint("shuffle_hash"), ROW, "_same", ["_at"])
-    if (needed.agg(F.max("same")).first()[0] or 0) > 1:
+    rows, most_rows, ends, most_ends = needed.agg(F.sum("same"), F.max("same"), F.sum("pairs"), F.max("pairs")).first()
+    found = join_hot(texts.withColumn("_at", F.monotonically_increasing_id()), needed.withColumn("_same", F.col("same")).hint("shuffle_hash"), ROW, "_same", ["_at"], (rows, most_rows))
+    if (most_rows or 0) > 1:
         found = found.groupBy("node").agg(F.first("text").alias("text"), F.first("pairs").alias("pairs"))
     held = stored(found.select("node", "text", "pairs"), "pair-texts")
-    left = join_hot(pairs, held.select(F.col("node").alias("a"), F.col("text").alias("text_a"), "pairs"), ["a"], "pairs", ["b"])
-    both = join_hot(left, held.select(F.col("node").alias("b"), F.col("text").alias("text_b"), "pairs"), ["b"], "pairs", ["a"])
+    left = join_hot(pairs, held.select(F.col("node").alias("a"), F.col("text").alias("text_a"), "pairs"), ["a"], "pairs", ["b"], (ends, most_ends))
+    both = join_hot(left, held.select(F.col("node").alias("b"), F.col("text").alias("text_b"), "pairs"), ["b"], "pairs", ["a"], (ends, most_ends))
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "similar")
 
 
@@ -340,12 +341,15 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     bits = bits.select("class", *(F.when(F.col("sets") == 1, F.col(b)).alias(b) for b in BITS))
     mixed = _in_several(lists.select("token", "class", "n").distinct(), labels(roots))
     likely = named(_by_chance(mixed.join(bits, "class")))
-    near = near.unionByName(_check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), keyed, classes))
-    marked = _in_several(mixed.select("token", "class", "n"), labels(stored(components(near), "chance-roots")))
+    # What is joined already goes on as links to its root.
+    links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = _check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), keyed, classes)
+    roots = stored(components(links(roots).unionByName(near)), "chance-roots")
+    marked = _in_several(mixed.select("token", "class", "n"), labels(roots))
     rest = named(_across(marked, bits))
     more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), keyed, classes)
 
-    final = stored(components(near.unionByName(more)), "roots")
+    final = stored(components(links(roots).unionByName(more)), "roots")
     found = classes.join(final, "node", "left").select("c1", "c2", "docs", F.coalesce("root", "node").alias("node"))
     numbered = sizes.filter("n > 0").withColumn("_at", F.monotonically_increasing_id())
     grouped = join_hot(numbered, stored(found, "class-roots"), ["c1", "c2"], "docs", ["_at"]).select(*ROW, "n", "node")

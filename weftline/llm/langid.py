@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,15 +102,16 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lang", "n", "gram", "count"])
 
 
-def _relative(counts: pd.DataFrame, languages: list[str]) -> dict[str, np.ndarray]:
+def _relative(counts: pa.Table, languages: list[str]) -> dict[str, np.ndarray]:
     """Log of each gram's frequency in each language (one added), less the mean over languages."""
-    if counts.empty:
+    if not counts.num_rows:
         return {}
-    table = counts.pivot_table(index="gram", columns="lang", values="count", aggfunc="sum", fill_value=0).reindex(columns=languages, fill_value=0)
-    values = table.to_numpy(np.float64)
+    found = counts["gram"].combine_chunks().dictionary_encode()
+    values = np.zeros((len(found.dictionary), len(languages)), order="F")
+    values[found.indices.to_numpy(), pc.index_in(counts["lang"], pa.array(languages)).to_numpy()] = counts["count"].to_numpy()
     logs = np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * len(values)))
     logs -= logs.mean(axis=1, keepdims=True)
-    return dict(zip(table.index, logs.astype(np.float32)))
+    return dict(zip(found.dictionary.to_pylist(), logs.astype(np.float32)))
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -130,8 +132,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     counts = counts.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     totals = counts.groupBy("n", "gram").agg(F.sum("count").alias("all")).filter(
         F.col("all") >= F.when(F.col("n") == 0, LEAST_WORD).otherwise(LEAST_GRAM))
-    table = stored(counts.join(totals, ["n", "gram"]).select("lang", "n", "gram", "count"), "language-counts").toPandas()
-    tables = [_relative(table[table["n"] == n], languages) for n in range(LONGEST + 1)]
+    table = stored(counts.join(totals, ["n", "gram"]).select("lang", "n", "gram", "count"), "language-counts").toArrow()
+    tables = [_relative(table.filter(pc.equal(table["n"], n)), languages) for n in range(LONGEST + 1)]
     taught = np.array([sizes[k] for k in languages], float)
     return Model(languages, np.log(taught / taught.sum()), tables[0], tables[1:])
 
