@@ -1,6 +1,7 @@
 """The corpus operators on small tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns; and brute force."""
 
 import itertools
+import pickle
 import re
 import time
 import zlib
@@ -16,7 +17,7 @@ from tests.oracle import compare, connect
 from weftline.llm import exact_dedup, html_text, jaccard_join, langid, line_dedup, packing, pii, sentence_pieces, spotsigs, substring_dedup, wordhash
 from weftline.llm import components as components_module
 from weftline.llm.common import join_hot, stored
-from weftline.llm.components import components
+from weftline.llm.components import components, merged
 from weftline.llm.queries import ORACLES, QUERIES, tokenizer
 
 SMALL = "/root/testdata/sf0.001"
@@ -216,6 +217,34 @@ def test_driver_has_little_to_do_for_links_that_are_settled(spark, monkeypatch):
     assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect())) == sorted((i % 20, i, i % 20 * 2) for i in range(100))
 
 
+def test_pairs_are_links_between_roots_when_they_join_components(spark, monkeypatch):
+    """Members of joined components take no part in further rounds, however many there are."""
+    links = []
+    monkeypatch.setattr(components_module, "stored", lambda df, name: (s := stored(df, name), name == "links" and links.append(sorted(map(tuple, s.collect()))))[0])
+    before = [(i, i // 100 * 100) for i in range(300)] + [(i, 400) for i in range(400, 410)]
+    roots = stored(spark.createDataFrame(before, "node long, root long"), "roots")
+    pairs = [(150, 299), (299, 150), (101, 250), (33, 77), (405, 2000), (1000, 1001), (1001, 1002), (7, 7)]
+    got = merged(roots, spark.createDataFrame(pairs, "a long, b long")).collect()
+    want = {i: 0 for i in range(100)} | {i: 100 for i in range(100, 300)} | {i: 400 for i in [*range(400, 410), 2000]} | {i: 1000 for i in range(1000, 1003)}
+    assert len(got) == len(want) and dict(map(tuple, got)) == want
+    assert links == [[(200, 100), (1001, 1000), (1002, 1001), (2000, 400)]]
+    assert sorted(map(tuple, merged(roots, spark.createDataFrame([], "a long, b long")).collect())) == before
+
+
+def test_language_model_is_arrays_on_the_driver(spark):
+    """Names and rows become Python objects in tasks alone; as such they, and what pickles them, took many times the room of the numbers."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(2000)]
+    text = " ".join(words * 3)
+    docs = spark.createDataFrame([(1, text, "x"), (2, text, "y")], "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert langid.identify(docs, model).count() == 2
+    tables = [model.words, *model.grams]
+    assert not any("at" in vars(t) for t in tables)
+    raw = sum(t.values.nbytes + t.names.nbytes for t in tables)
+    assert len(pickle.dumps(model)) < raw + 5000
+    assert sorted(pickle.loads(pickle.dumps(model)).words) == sorted(words) and model.words.get("none") is None
+
+
 def test_language_counts_are_not_gathered_row_by_row(spark, docs, monkeypatch):
     """The driver turns the counts of each length into logs from columns; rows of Python objects took several times their room."""
     monkeypatch.setattr(type(docs), "toPandas", None)

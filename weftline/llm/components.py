@@ -22,7 +22,9 @@ def _star(near: DataFrame, least: DataFrame, weights: tuple[int, int] | None, la
     met = join_hot(near, least.withColumn("m", F.least("m", "a")), ["a"], "n", ["b"], weights)
     out = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(
         F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-    return stored(out.filter("a <> b").distinct(), "stars")
+    out = out.filter("a <> b")
+    # Large stars have no more rows than links went in, repeats or not, and what follows counts and groups them anyway.
+    return stored(out if large else out.distinct(), "stars")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -45,3 +47,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, root) after ``pairs`` (a, b) are added to the links whose components are ``roots`` (stored).
+
+    A pair counts as a link between the roots of its ends, so that the rounds work on what is not yet joined, however large the components are.
+    """
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    named = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = stored(components(named), "moved-roots")
+    kept = roots.join(moved.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    return kept.unionByName(moved.join(roots, "node", "left_anti"))

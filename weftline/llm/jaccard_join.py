@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWEST, document_key, join_hot, partitions, stored, text_keys, whole_text
-from weftline.llm.components import components
+from weftline.llm.components import components, merged
 from weftline.llm.wordhash import CHUNK_BYTES, chunks, mix, runs, words
 
 SHINGLE = 5
@@ -341,15 +341,13 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     bits = bits.select("class", *(F.when(F.col("sets") == 1, F.col(b)).alias(b) for b in BITS))
     mixed = _in_several(lists.select("token", "class", "n").distinct(), labels(roots))
     likely = named(_by_chance(mixed.join(bits, "class")))
-    # What is joined already goes on as links to its root.
-    links = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     near = _check(stored(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "chance-pairs"), keyed, classes)
-    roots = stored(components(links(roots).unionByName(near)), "chance-roots")
+    roots = stored(merged(roots, near), "chance-roots")
     marked = _in_several(mixed.select("token", "class", "n"), labels(roots))
     rest = named(_across(marked, bits))
     more = _check(stored(rest.select("a", "b").distinct(), "other-pairs"), keyed, classes)
 
-    final = stored(components(links(roots).unionByName(more)), "roots")
+    final = stored(merged(roots, more), "roots")
     found = classes.join(final, "node", "left").select("c1", "c2", "docs", F.coalesce("root", "node").alias("node"))
     numbered = sizes.filter("n > 0").withColumn("_at", F.monotonically_increasing_id())
     grouped = join_hot(numbered, stored(found, "class-roots"), ["c1", "c2"], "docs", ["_at"]).select(*ROW, "n", "node")

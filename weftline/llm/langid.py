@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,37 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Rows:
+    """Rows of numbers by name. The driver holds and sends two arrays; only tasks, which look names up, make Python strings of them."""
+
+    def __init__(self, names: pa.Array, values: np.ndarray) -> None:
+        self.names, self.values = names, values
+
+    @cached_property
+    def at(self) -> dict[str, int]:
+        return dict(zip(self.names.to_pylist(), range(len(self.names))))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.at)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.at
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.values[self.at[name]]
+
+    def get(self, name: str) -> np.ndarray | None:
+        return self[name] if name in self.at else None
+
+
 @dataclass
 class Model:
     """What was learnt: languages, their shares, and rows of log frequencies by language for words and n-grams."""
 
     languages: list[str]
     shares: np.ndarray
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]
+    words: Rows
+    grams: list[Rows]
 
 
 class Scorer:
@@ -102,16 +126,20 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lang", "n", "gram", "count"])
 
 
-def _relative(counts: pa.Table, languages: list[str]) -> dict[str, np.ndarray]:
+def _no_rows(languages: list[str]) -> Rows:
+    return Rows(pa.array([], pa.string()), np.zeros((0, len(languages)), np.float32))
+
+
+def _relative(counts: pa.Table, languages: list[str]) -> Rows:
     """Log of each gram's frequency in each language (one added), less the mean over languages."""
     if not counts.num_rows:
-        return {}
+        return _no_rows(languages)
     found = counts["gram"].combine_chunks().dictionary_encode()
     values = np.zeros((len(found.dictionary), len(languages)), order="F")
     values[found.indices.to_numpy(), pc.index_in(counts["lang"], pa.array(languages)).to_numpy()] = counts["count"].to_numpy()
     logs = np.log((values + 0.5) / (values.sum(axis=0) + 0.5 * len(values)))
     logs -= logs.mean(axis=1, keepdims=True)
-    return dict(zip(found.dictionary.to_pylist(), logs.astype(np.float32)))
+    return Rows(found.dictionary, logs.astype(np.float32, order="C"))
 
 
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -124,7 +152,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], np.zeros(0), {}, [{} for _ in range(LONGEST)])
+        return Model([], np.zeros(0), _no_rows([]), [_no_rows([]) for _ in range(LONGEST)])
     share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, sample_docs / sizes[k]))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
