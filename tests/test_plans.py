@@ -112,3 +112,10 @@ def test_adaptive_execution_splits_a_hot_join_key(spark, conf):
     executed = lines.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     executed.collect()
     assert "skew=true" in plan_of(executed)
+
+
+def test_hits_of_all_pairs_are_not_shuffled(spark):
+    """What moves is queries; the rows of the result, as many as there are pairs, leave the task that makes them in order."""
+    text = plan(spark, "r06_k_beyond_index")
+    hits, _, moved = text.partition("CartesianProduct")
+    assert moved and not re.search("Exchange|Sort|Window", hits)

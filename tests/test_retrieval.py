@@ -272,3 +272,37 @@ def test_k_beyond_the_index_ranks_every_pair(spark, tmp_path):
     vectors = np.random.default_rng(8).normal(size=(30, 4))
     frame(spark, vectors, "vec_id").withColumn("label", F.lit(1)).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert found(QUERIES["r06_k_beyond_index"](spark, str(tmp_path))) == brute_force(vectors, vectors, 30)
+
+
+@pytest.mark.parametrize("kind,last_id,query_ids", [("float", None, [*range(19), None]), ("double", 49, [*range(17), 5, 5, 17])])
+def test_all_rows_ranked_by_packs(spark, kind, last_id, query_ids, monkeypatch):
+    """Packs of a few queries meet tiles of a few rows: every pair is ranked, ties go to the lower id, a missing id is last, and hits of a repeated query id are ranked together."""
+    monkeypatch.setattr(R, "PACK_BYTES", 100)
+    monkeypatch.setattr(R, "RANK_BYTES", 8 * 50 * 2)
+    rng = np.random.default_rng(10)
+    index, asks = np.round(rng.normal(size=(50, 3)), 1).astype(np.float32), np.round(rng.normal(size=(20, 3)), 1).astype(np.float32)
+    index[::4] = index[1]
+    ids = [*rng.permutation(49).tolist(), last_id]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, index)], f"example_id bigint, embedding array<{kind}>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(query_ids, asks)], f"query_id bigint, embedding array<{kind}>").repartition(3)
+    got, want = {}, {}
+    for r in R.search(rows, queries, 1000).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.example_id, round(r.score, 10)))
+    for q, own in zip(query_ids, asks.astype(float) @ index.astype(float).T):
+        want.setdefault(q, []).extend((-round(score, 10), i is None, i) for i, score in zip(ids, own))
+    assert {q: sorted(hits) for q, hits in got.items()} == {q: [(rank, i, -score) for rank, (score, _, i) in enumerate(sorted(hits), 1)] for q, hits in want.items()}
+
+
+def test_scores_in_place_of_numbers_are_ranked_as_before():
+    scores = np.array([0.5, np.nan, np.inf, -0.0, 0.0, -np.inf, 0.5])
+    assert R._ranking(scores, np.arange(6, -1, -1)).tolist() == [2, 6, 0, 4, 3, 5]
+
+
+def test_six_digits_are_those_of_round(spark):
+    from weftline.plans.retrieval_queries import _six
+
+    rng = np.random.default_rng(11)
+    values = [0.0, -0.0, 0.5, 1.0000005, -1.0000005, 2.5e-7, 5e-7, -5e-7, 1e-300, 1234.5678905, 1e3, 1e17, -1e300, float("inf"), float("-inf"), float("nan"), None]
+    values += [*rng.normal(size=2000), *(np.arange(-500, 500) / 1e6 + 5e-7), *(rng.integers(-10**6, 10**6, 1000) / 2e6), *(rng.normal(size=200) * 1e6)]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "score double").withColumn("want", F.round("score", 6))
+    assert df.transform(_six).filter("not (score <=> want) or string(score) != string(want)").count() == 0
