@@ -119,3 +119,8 @@ def test_hits_of_all_pairs_are_not_shuffled(spark):
     text = plan(spark, "r06_k_beyond_index")
     hits, _, moved = text.partition("CartesianProduct")
     assert moved and not re.search("Exchange|Sort|Window", hits)
+
+
+def test_more_hits_of_all_pairs_are_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_HITS", 2_000)
+    assert entry_points.queries()["r06_k_beyond_index"](spark, FOLDER).rdd.getNumPartitions() == 125
