@@ -275,9 +275,10 @@ def test_k_beyond_the_index_ranks_every_pair(spark, tmp_path):
 
 
 @pytest.mark.parametrize("kind,last_id,query_ids", [("float", None, [*range(19), None]), ("double", 49, [*range(17), 5, 5, 17])])
-def test_all_rows_ranked_by_packs(spark, kind, last_id, query_ids, monkeypatch):
-    """Packs of a few queries meet tiles of a few rows: every pair is ranked, ties go to the lower id, a missing id is last, and hits of a repeated query id are ranked together."""
-    monkeypatch.setattr(R, "PACK_BYTES", 100)
+def test_all_rows_ranked_a_few_queries_at_a_time(spark, kind, last_id, query_ids, monkeypatch):
+    """Two queries at a time meet tiles of a few rows, which lie in a file: every pair is ranked, ties go to the lower id, a missing id is last, and hits of a repeated query id are ranked together."""
+    monkeypatch.setattr(R, "TILE_ROWS", 7)
+    monkeypatch.setattr(R, "BLOCK_BYTES", 100)
     monkeypatch.setattr(R, "RANK_BYTES", 8 * 50 * 2)
     rng = np.random.default_rng(10)
     index, asks = np.round(rng.normal(size=(50, 3)), 1).astype(np.float32), np.round(rng.normal(size=(20, 3)), 1).astype(np.float32)
